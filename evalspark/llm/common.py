@@ -47,6 +47,12 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with the key (a, b) of id and text; rows alike in both share one."""
+    text, own = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).cast("long")
+    return docs.select(F.coalesce(own, F.lit(0)).alias("a"), F.xxhash64(text, own.isNull()).alias("b"), own.alias("doc_id"), text.cast("binary").alias("bytes"), *keep)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

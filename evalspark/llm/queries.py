@@ -14,6 +14,7 @@ from evalspark.llm.ppm import score_documents
 from evalspark.llm.sharding import shard_documents
 from evalspark.llm.simhash import simhash_groups
 from evalspark.llm.sketch import edited_fingerprints
+from evalspark.llm.suffix import remove_repeats
 from evalspark.llm.topk import top_k
 from evalspark.llm.urlfilter import judge_urls, rule_table
 
@@ -50,6 +51,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), words=3, threshold=2)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), 400).drop("kept")
+
+
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_documents(docs, docs.where(fold("doc_id", 7) != 2))
@@ -74,7 +79,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_packing, op2_sharding, op3_language_id, op4_simhash, op6_lm_score, op7_url_filter, op8_top_k, op9_bpe, op10_fingerprints)
+    own = (op1_packing, op2_sharding, op3_language_id, op4_simhash, op5_suffix_dedup, op6_lm_score, op7_url_filter, op8_top_k, op9_bpe, op10_fingerprints)
     return {f.__name__: f for f in own}
 
 

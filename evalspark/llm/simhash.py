@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import documents, partitions, save
+from evalspark.llm.common import documents, keyed, partitions, save
 from evalspark.llm.graph import components
 
 SEED = 42
@@ -183,3 +183,117 @@ def simhash_groups(docs: DataFrame, *, words: int = 3, threshold: int = 2, id_co
     named = linked.join(groups, "root").select(F.col("node").alias("fp"), "component_id")
     ids = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     return rows.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: For near copies: fingerprints of the set of words that choose the anchors, and of runs of words that decide.
+WORD_PRINTS, RUN_PRINTS = 3, 4
+
+
+def allowed_bits(similarity: float, bits: int = 64 * RUN_PRINTS) -> int:
+    """Differing bits that let a pair of this Jaccard similarity pass more often than not.
+
+    Equal sets of runs with similarity J have the cosine 2J / (1 + J), and each
+    bit differs with the angle's part of a half turn; half a standard deviation is added.
+    """
+    part = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * part + 0.5 * np.sqrt(bits * part * (1 - part)))
+
+
+def _remixed(hashes: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    """n independent versions of the hashes."""
+    for i in range(n):
+        h = (hashes ^ (hashes >> np.uint64(33))) * np.uint64(0x9E3779B97F4A7C15 + 2 * i * 0x632BE5AB)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 4 * i)
+        yield h ^ (h >> np.uint64(32))
+
+
+def _near_links(rows: pd.DataFrame, bits: int) -> pd.DataFrame:
+    """As _links, but a pair is decided by all the fingerprints that its rows carry."""
+    key, node, at_home = rows["key"].to_numpy(), rows["node"].to_numpy(), ~rows["away"].to_numpy(dtype=bool)
+    prints = [rows[f"r{i}"].to_numpy() for i in range(RUN_PRINTS)]
+    ends = np.searchsorted(key, key, side="right")
+    u = v = np.empty(0, np.int64)
+    left, lag = np.flatnonzero(at_home & (ends - np.arange(len(key)) > 1)), 1
+    while len(left):
+        apart = sum(np.bitwise_count((p[left] ^ p[left + lag]).view(np.uint64)).astype(np.int16) for p in prints)
+        near = left[(apart <= bits) & (node[left] != node[left + lag])]
+        u, v = np.concatenate([u, node[near]]), np.concatenate([v, node[near + lag]])
+        if len(u) > 1 << 20:
+            u, v = _forest(u, v)
+        lag += 1
+        left = left[ends[left] - left > lag]
+    u, v = _forest(u, v)
+    return pd.DataFrame({"u": u, "v": v})
+
+
+def near_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(a, b, doc_id, group): groups of documents whose runs of words are similar.
+
+    a and b are the key of keyed().  The anchors of the blocks of fingerprints
+    over the set of words bring candidates together; of a candidate pair the 256
+    bits over the runs decide, which both carry, so every pair that meets is
+    decided and none is capped.  Documents alike in all bits are one node.
+    """
+    names = ["a", "b", "doc_id", *(f"w{i}" for i in range(WORD_PRINTS)), *(f"r{i}" for i in range(RUN_PRINTS))]
+    hashed = lambda runs: np.array([xxhash.xxh64_intdigest(x, SEED) for x in runs], dtype="<u8")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[list[int]] = [[] for _ in names[3:]]
+            for data in batch.column(3):
+                text = data.as_py().decode()
+                single, runs = hashed(set(shingles(text, 1))), hashed(set(shingles(text, words)))
+                for own, h in zip(found, [*_remixed(single, WORD_PRINTS), *_remixed(runs, RUN_PRINTS)], strict=True):
+                    own.append(fingerprint(h))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(x, pa.int64()) for x in found)], names=names)
+
+    rows = keyed(docs, id_col, text_col).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    rows = save(rows.withColumn("node", F.xxhash64(*names[3:])), "prints")
+    nodes = rows.groupBy("node").agg(*(F.first(n).alias(n) for n in names[3:]))
+
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), 4000):
+                some = frame.iloc[at : at + 4000]
+                for i in range(2 * WORD_PRINTS):
+                    part = (some[f"w{i // 2}"].to_numpy().view(np.uint64) >> np.uint64(BLOCK * (i % 2))) & np.uint64((1 << BLOCK) - 1)
+                    home, far = anchors(part)
+                    away = far != home[:, None]
+                    which = np.concatenate([np.arange(len(some)), np.repeat(np.arange(len(some)), away.sum(axis=1))])
+                    out = some[["node", *names[3 + WORD_PRINTS :]]].iloc[which]
+                    yield out.assign(key=np.concatenate([home, far[away]]).astype(np.int64) | (i << BLOCK), away=np.arange(len(which)) >= len(some))
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for frame in frames:
+            both = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            key = both["key"].to_numpy()
+            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            yield _near_links(both.iloc[:cut], bits)
+            rest = both.iloc[cut:]
+        if rest is not None:
+            yield _near_links(rest, bits)
+
+    bits = allowed_bits(similarity)
+    carried = ["node", *names[3 + WORD_PRINTS :]]
+    dealt = nodes.mapInPandas(deal, ", ".join([*(f"{n} long" for n in carried), "key long", "away boolean"]))
+    edges = dealt.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "away").mapInPandas(compare, "u long, v long")
+    linked = components(edges)
+    return rows.join(linked, "node", "left").select("a", "b", "doc_id", F.coalesce("root", "node").alias("group"))
+
+
+def drop_near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each group of near copies: the one with the smallest id, then key.
+
+    Null ids come last.  Of rows alike in id and text one stays; a null text is
+    the empty text, and all texts without words are one group.
+    """
+    groups = save(near_groups(docs, words=words, similarity=similarity, id_col=id_col, text_col=text_col), "groups")
+    kept = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "a", "b")).alias("k")).select("k.a", "k.b")
+    columns = docs.columns
+    own = docs.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)))
+    named = {c: f"_c{i}" for i, c in enumerate(columns)}
+    rows = keyed(own, named[id_col], named[text_col], tuple(named.values())).drop("doc_id", "bytes").join(kept, ["a", "b"], "left_semi")
+    if groups.select("a", "b").distinct().count() < groups.count():
+        rows = rows.dropDuplicates(["a", "b"])
+    return rows.select(*(F.col(n).alias(c) for c, n in named.items()))
