@@ -1,0 +1 @@
+"""Evaluation analytics over stored runs, as DataFrame and SQL expressions."""

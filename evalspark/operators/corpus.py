@@ -1,0 +1,79 @@
+"""Corpora under review: manifests, reviews, freezes, rubrics."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Mapping
+from datetime import datetime
+from typing import Any
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from evalspark.functions.hashing import content_hash
+
+# Names that no reviewer has.
+PLACEHOLDERS = ("tbd", "todo", "unknown", "n/a", "none", "placeholder", "reviewer")
+
+#: Short rubrics of our own: labels with their scores, and the placeholders of the prompt.
+RUBRICS: dict[str, dict[str, Any]] = {
+    "hallucination": {"direction": "minimize", "choices": {"hallucinated": 1.0, "factual": 0.0}, "prompt": "Question: {{input}}\nContext: {{reference}}\nAnswer: {{output}}\nIs every claim of the answer supported by the context?"},
+    "tool_selection": {"direction": "maximize", "choices": {"correct": 1.0, "incorrect": 0.0}, "prompt": "Request: {{input}}\nTools: {{tools}}\nChosen: {{output}}\nIs the chosen tool the right one?"},
+    "tool_invocation": {"direction": "maximize", "choices": {"correct": 1.0, "incorrect": 0.0}, "prompt": "Request: {{input}}\nTools: {{tools}}\nCall: {{output}}\nAre the call's arguments right and complete?"},
+    "tool_response_handling": {"direction": "maximize", "choices": {"correct": 1.0, "incorrect": 0.0}, "prompt": "Call and result: {{input}}\nReply: {{output}}\nDoes the reply use the result rightly?"},
+    "user_friction": {"direction": "minimize", "choices": {"friction": 1.0, "no_friction": 0.0}, "prompt": "Conversation: {{input}}\nDid the user meet an obstacle?"},
+}
+
+
+def load_rubric(name: str) -> dict[str, Any]:
+    if not re.fullmatch(r"[a-z][a-z0-9_]*", name) or name not in RUBRICS:
+        raise KeyError(name)
+    return RUBRICS[name]
+
+
+def substitute(rubric: Mapping[str, Any], names: Mapping[str, str]) -> dict[str, Any]:
+    """The rubric with its prompt's placeholders renamed to a dataset's fields."""
+    prompt = re.sub(r"\{\{\s*([\w.-]+)\s*\}\}", lambda m: "{{" + names.get(m[1], m[1]) + "}}", rubric["prompt"])
+    return {**rubric, "prompt": prompt}
+
+
+def clean_reviewer(name: Column) -> Column:
+    """White space collapsed; null for a blank or a placeholder."""
+    text = F.trim(F.regexp_replace(name, r"(?U)\s+", " "))
+    return F.when((text != "") & ~F.lower(text).isin(*PLACEHOLDERS), text)
+
+
+def review_complete() -> Column:
+    """A checklist is blessed with every check true; an annotation is approved."""
+    checklist = F.coalesce("blessed", F.lit(False)) & F.coalesce(F.forall(F.map_values("checks"), lambda x: F.coalesce(x, F.lit(False))), F.lit(False))
+    return F.when(F.col("profile") == "checklist", checklist).otherwise(F.coalesce(F.col("review_status") == "approved", F.lit(False)))
+
+
+def manifest_violations(cases: DataFrame, reviews: DataFrame) -> DataFrame:
+    """(case_id, rule) for each case without exactly one complete review by a named reviewer, and each review without a case."""
+    sums = reviews.withColumn("ok", review_complete()).withColumn("named", clean_reviewer(F.col("reviewer")).isNotNull()).groupBy("case_id").agg(F.count("*").alias("n"), F.bool_and("ok").alias("ok"), F.bool_and("named").alias("named"))
+    both = cases.select("case_id", F.lit(True).alias("known")).join(sums, "case_id", "full_outer")
+    rules = {"no_review": F.col("n").isNull(), "no_case": F.col("known").isNull(), "many_reviews": F.col("n") > 1, "incomplete": ~F.col("ok"), "unnamed_reviewer": ~F.col("named")}
+    found = F.filter(F.array(*[F.when(t, F.lit(r)) for r, t in rules.items()]), lambda x: x.isNotNull())
+    return both.select("case_id", F.explode(found).alias("rule"))
+
+
+def count_violations(counts: Mapping[str, int], total: int) -> list[str]:
+    """What is wrong with a manifest's counts: names, signs, sum."""
+    found = [f"count {k!r}" for k, v in counts.items() if not k.strip() or v < 0]
+    return found + ([f"sum {sum(counts.values())} is not {total}"] if sum(counts.values()) != total else [])
+
+
+def build_freeze(config: Mapping[str, Any], sources: Mapping[str, str], corpus: Any, created_at: datetime, hypotheses: tuple[str, ...] = (), world: Any = None) -> dict[str, Any]:
+    """The hashes of everything that a run depends on, with an id over all of them."""
+    if created_at.tzinfo is None:
+        raise ValueError("created_at needs a time zone")
+    if not sources or any(not n.strip() for n in sources):
+        raise ValueError("sources need names")
+    body = {"createdAt": created_at.isoformat(), "configHash": content_hash(config), "corpusHash": content_hash(corpus), "sourceHashes": {n: content_hash({"source": sources[n]}) for n in sorted(sources)}, "hypotheses": list(hypotheses), "world": world}
+    return {"id": content_hash(body), **body}
+
+
+def render_preregistration(freeze: Mapping[str, Any]) -> str:
+    lines = ["# Preregistration", "", f"- freeze: {freeze['id']}", f"- created: {freeze['createdAt']}", f"- configuration: {freeze['configHash']}", f"- corpus: {freeze['corpusHash']}", "", "## Hypotheses", ""]
+    return "\n".join([*lines, *(f"{i}. {h}" for i, h in enumerate(freeze["hypotheses"], 1)), "", "## Sources", "", *(f"- {n}: {h}" for n, h in freeze["sourceHashes"].items()), ""])
