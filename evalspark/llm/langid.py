@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.llm.common import save
+
 UNKNOWN = "und"
 SIZES = (3, 4)
 SLOTS, HASHES = 1 << 20, 3
@@ -123,21 +125,19 @@ def fit(labelled: DataFrame, *, max_docs: int = TRAIN_DOCS, id_col: str = "doc_i
         rows = rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(1 << 20)) < int(max_docs / n * (1 << 20)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lang in sorted(set(langs)):
-                parts = [h for _, _, h, _ in ngrams([t for t, own in zip(texts, langs, strict=True) if own == lang])]
-                grams, counts = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams.view(np.int64)), pa.array(counts)], names=["lang", "gram", "n"])
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                langs, texts = (c.to_pylist() for c in whole.slice(at, 256).columns)
+                for lang in sorted(set(langs)):
+                    for _, _, h, _ in ngrams([t for t, own in zip(texts, langs, strict=True) if own == lang]):
+                        grams, counts = np.unique(h, return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams.view(np.int64)), pa.array(counts)], names=["lang", "gram", "n"])
 
     counts = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, "lang string, gram long, n long")
-    counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
-    try:
-        totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        least = F.create_map(*[x for lang, t in totals.items() for x in (F.lit(lang), F.lit(t * MIN_SHARE))]) if totals else None
-        kept = counts.where(F.col("n") >= least[F.col("lang")]).toPandas() if totals else None
-    finally:
-        counts.unpersist()
+    counts = save(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "ngrams")
+    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    least = F.create_map(*[x for lang, t in totals.items() for x in (F.lit(lang), F.lit(t * MIN_SHARE))]) if totals else None
+    kept = counts.where(F.col("n") >= least[F.col("lang")]).toPandas() if totals else None
     langs = sorted(totals, key=lambda x: (-totals[x], x))
     if not langs:
         return Filters([], {})
@@ -158,7 +158,7 @@ def predict(docs: DataFrame, filters: Filters, *, id_col: str = "doc_id", text_c
     names = ["doc_id", "lang_pred", "score", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, len(whole), 256)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             langs, scores = filters.predict(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *batch.columns[2:]], names=names)
