@@ -35,7 +35,7 @@ def read_file(spark: SparkSession, path: str) -> DataFrame:
     whole = spark.read.text(path, wholetext=True)
     if not whole.where((F.length("value") > 0) & ~F.col("value").endswith("\n")).isEmpty():
         raise LedgerError(f"{path}: the last line is cut off")
-    lines = whole.select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("seq", "line")).where("seq > 0 OR line <> ''")
+    lines = whole.where("value <> ''").select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("seq", "line"))
     rows = lines.select((F.col("seq") + 1).cast("long").alias("seq"), F.try_parse_json("line").alias("v"), F.from_json("line", SCHEMA).alias("r")).select("seq", F.col("v").isNotNull().alias("json"), "r.*")
     rows = rows.withColumn("why", F.when(~F.col("json"), "JSON").otherwise(record_violation()))
     if bad := rows.where("why IS NOT NULL").orderBy("seq").select("seq", "why").take(1):
