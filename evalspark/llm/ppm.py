@@ -17,10 +17,10 @@ ORDER = 4
 START, END = 0xFE, 0xFF
 SYMBOLS = 255
 #: Longest contexts with a symbol that the model keeps, the most frequent ones; so it has a fixed size at most.
-MAX_GRAMS = 1 << 21
+MAX_GRAMS = 1 << 19
 #: Words whose counts every task gets, and the bytes such a word may have; other words' counts are joined.
-HEAD_WORDS, HEAD_BYTES = 300_000, 32
-BLOCK = 1 << 21
+HEAD_WORDS, HEAD_BYTES = 100_000, 32
+BLOCK = 1 << 20
 _NO = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -144,12 +144,25 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys, np.bincount(at, weights=np.concatenate([c for _, c in parts]), minlength=len(keys)).astype(np.int64)
 
 
-def train(texts: DataFrame, *, max_grams: int = MAX_GRAMS) -> Trie:
-    """The trie of the column text of all rows; null texts are empty.
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows with the largest n, down to a count that keeps most of them at most."""
+    n = F.col("n")
+    # Up to 999 each count is a step, beyond each tenth more: a bounded number of steps.
+    step = F.when(n < 1000, n).otherwise(1000 + F.floor(F.log(n / 1000) / F.log(F.lit(1.1))))
+    held, least = 0, None
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("rows"), F.min("n").alias("least")).orderBy(F.desc("step")).collect():
+        held += r["rows"]
+        if held > most:
+            break
+        least = r["least"]
+    return counts.limit(0) if least is None else counts.where(n >= least)
 
-    Counts are taken over all rows and added up by Spark.  The max_grams most
-    frequent longest contexts with their symbols make up the model, level by
-    level of the count as far as they fit.
+
+def train(texts: DataFrame, *, max_grams: int = MAX_GRAMS) -> tuple[np.ndarray, np.ndarray]:
+    """Packed contexts with their symbols, sorted, and their counts, for a Trie.
+
+    Counts are taken over the column text of all rows and added up by Spark; the
+    max_grams most frequent ones at most make up the model.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,20 +183,10 @@ def train(texts: DataFrame, *, max_grams: int = MAX_GRAMS) -> Trie:
             yield out(parts)
 
     counts = save(texts.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    least = 1
-    if counts.count() > max_grams:
-        # Rows by count: the logarithm to base 1.1 of the largest count is their number.
-        step = F.floor(F.log(F.col("n")) / F.log(F.lit(1.1)))
-        held = 0
-        for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("rows"), F.min("n").alias("least")).orderBy(F.desc("step")).collect():
-            held += r["rows"]
-            if held > max_grams:
-                break
-            least = r["least"]
-    kept = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "gram").limit(max_grams).toPandas().sort_values("gram") if least == 1 else counts.where(F.col("n") >= least).toPandas()
+    kept = frequent(counts, max_grams).toPandas()
     keys, n = kept["gram"].to_numpy(dtype=np.int64).view(np.uint64), kept["n"].to_numpy(dtype=np.int64)
     order = np.argsort(keys)
-    return Trie(keys[order], n[order])
+    return keys[order], n[order]
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -211,6 +214,19 @@ def _word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class Model:
+    """What every task needs, sent as plain arrays."""
+
+    def __init__(self, words: list[bytes], times: np.ndarray, keys: np.ndarray, counts: np.ndarray):
+        self.words, self.times, self.keys, self.counts = words, times, keys, counts
+        self.made: tuple[dict[bytes, float], Trie] | None = None
+
+    def ready(self) -> tuple[dict[bytes, float], Trie]:
+        if self.made is None:
+            self.made = dict(zip(self.words, np.log10(self.times + 1.0).tolist(), strict=True)), Trie(self.keys, self.counts)
+        return self.made
+
+
 def score_documents(docs: DataFrame, train_on: DataFrame, *, max_grams: int = MAX_GRAMS, head_words: int = HEAD_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores every whole text of docs with what the texts of train_on teach.
 
@@ -231,34 +247,37 @@ def score_documents(docs: DataFrame, train_on: DataFrame, *, max_grams: int = MA
     counts = save(_word_counts(learned), "words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     low = float(np.log10(total["n"] + total["v"] + 1))
-    top = counts.where(F.length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(head_words).toPandas()
-    head = dict(zip(map(bytes, top["word"]), top["n"].tolist(), strict=True))
-    trie = train(learned, max_grams=max_grams)
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((head, trie))  # bounded by head_words times HEAD_BYTES and by max_grams
+    top = frequent(counts.where(F.length("word") <= HEAD_BYTES), head_words).toPandas()
+    words, times = list(map(bytes, top["word"])), top["n"].to_numpy()
+    # Bounded by head_words times HEAD_BYTES and by max_grams; each worker makes its trie and map once.
+    shared = docs.sparkSession.sparkContext.broadcast(Model(words, times, *train(learned, max_grams=max_grams)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, trie = shared.value
-        logs = {w: float(np.log10(n + 1)) for w, n in head.items()}
-        for batch in batches:
-            texts = _bytes(batch.column(2))
-            scores = np.zeros(len(texts))
-            for at, end, key, owner in grams(texts):
-                scores[at:end] = np.bincount(owner, weights=trie.log10(key), minlength=end - at)
-            tokens, known, base, rest = [], [], [], []
-            for text in texts:
-                words = text.lower().split()
-                words.append(b" ")
-                found = [logs[w] for w in words if w in logs]
-                rare = Counter(w for w in words if w not in logs) if len(found) < len(words) else {}
-                tokens.append(len(words))
-                known.append(len(found))
-                base.append(sum(found))
-                rest.append([{"word": w, "times": n} for w, n in rare.items()])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), pa.array(rest, pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))],
-                names=["row", "doc_id", "n_tokens", "n_known", "base", "score", "rest"],
-            )
+        logs, trie = shared.value.ready()
+        for whole in batches:
+            for start in range(0, len(whole), 256):
+                batch = whole.slice(start, 256)
+                texts = _bytes(batch.column(2))
+                scores = np.zeros(len(texts))
+                for at, end, key, owner in grams(texts):
+                    scores[at:end] = np.bincount(owner, weights=trie.log10(key), minlength=end - at)
+                tokens, known, base, offsets = [], [], [], [0]
+                rare_words: list[bytes] = []
+                rare_times: list[int] = []
+                for text in texts:
+                    words = text.lower().split()
+                    words.append(b" ")
+                    found = [logs[w] for w in words if w in logs]
+                    rare = Counter(w for w in words if w not in logs) if len(found) < len(words) else {}
+                    tokens.append(len(words))
+                    known.append(len(found))
+                    base.append(sum(found))
+                    rare_words += rare.keys()
+                    rare_times += rare.values()
+                    offsets.append(len(rare_words))
+                each = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_times, pa.int64())], names=["word", "times"])
+                columns = [pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), each)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["row", "doc_id", "n_tokens", "n_known", "base", "score", "rest"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     scored = save(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, rest array<struct<word: binary, times: long>>"), "scored")
