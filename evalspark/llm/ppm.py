@@ -7,17 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.llm.common import save
 
-ORDER = 4
+ORDER = 5
 #: Bytes that UTF-8 never has: before a text's start, and at its end.
 START, END = 0xFE, 0xFF
 SYMBOLS = 255
-#: Longest contexts with a symbol that the model keeps, the most frequent ones; so it has a fixed size at most.
-MAX_GRAMS = 1 << 19
+#: Longest contexts with a symbol whose probabilities every task gets, the most frequent ones; all others' are joined.
+HEAD_GRAMS = 1_000_000
 #: Words whose counts every task gets, and the bytes such a word may have; other words' counts are joined.
 HEAD_WORDS, HEAD_BYTES = 100_000, 32
 BLOCK = 1 << 20
@@ -79,64 +79,70 @@ class Table:
         return out
 
 
-class Trie:
-    """Contexts of 0 to order bytes with the counts of their symbols, flat by level.
+def _low(column: Column, size: int) -> Column:
+    """The last bytes of packed ones."""
+    return column.bitwiseAND(F.lit((1 << 8 * size) - 1))
+
+
+def _small(table: DataFrame, size: int) -> DataFrame:
+    """Keys of two bytes are 65,536 at most, a proven bound; such a table goes to every task."""
+    return F.broadcast(table) if size <= 2 else table
 
-    A level's symbols are those of the next longer contexts added up, so what
-    follows a context also follows its shorter one, and leaving out the symbols
-    of the longer context leaves the known sums n - left_n and q - left_q.
+
+class Trie:
+    """Contexts of 0 to order bytes with the counts of their symbols: two tables a level, all distributed.
+
+    symbols[d] has (gram, n), d bytes of context and the symbol after them;
+    contexts[d] has (context, n, q, left): occurrences, distinct symbols, and
+    what these symbols count in the next shorter context.  A level's symbols are
+    those of the next longer contexts added up, so what follows a context also
+    follows its shorter one, and leaving out the symbols of the longer context
+    leaves the known sums n - left and q - q of the longer one.
     """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int = ORDER):
-        self.order = order
-        levels = {order: (keys, counts.astype(np.int64))}
+    def __init__(self, grams: DataFrame, order: int = ORDER):
+        self.order, self.symbols, self.contexts = order, {order: grams}, {}
         for d in range(order - 1, -1, -1):
-            k, c = levels[d + 1]
-            short, at = np.unique(k & np.uint64((1 << 8 * (d + 1)) - 1), return_inverse=True)
-            levels[d] = short, np.bincount(at, weights=c, minlength=len(short)).astype(np.int64)
-        self.counts, self.symbols, self.n, self.q, self.contexts, self.left_n = {}, {}, {}, {}, {}, {}
+            shorter = self.symbols[d + 1].groupBy(_low(F.col("gram"), d + 1).alias("gram")).agg(F.sum("n").alias("n"))
+            self.symbols[d] = save(shorter, f"symbols{d}")
         for d in range(order + 1):
-            k, c = levels[d]
-            context, at = np.unique(k >> np.uint64(8), return_inverse=True)
-            self.contexts[d], self.symbols[d], self.counts[d] = Table(context), Table(k), c
-            self.n[d] = np.bincount(at, weights=c, minlength=len(context)).astype(np.int64)
-            self.q[d] = np.bincount(at, minlength=len(context))
-            if d:  # counts at the shorter context of the symbols that this context has
-                lower = self.counts[d - 1][self.symbols[d - 1].find(k & np.uint64((1 << 8 * d) - 1))]
-                self.left_n[d] = np.bincount(at, weights=lower, minlength=len(context)).astype(np.int64)
-        row = self.contexts[order].find(keys >> np.uint64(8))
-        self.top = np.log10(counts / (self.n[order][row] + self.q[order][row])) if len(keys) else np.zeros(0)
-
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """log10 of each symbol's probability after its context."""
-        row = self.symbols[self.order].find(keys)
-        out = np.zeros(len(keys))
-        hit = row >= 0
-        out[hit] = self.top[row[hit]]
-        if len(miss := np.flatnonzero(~hit)):
-            some, at = np.unique(keys[miss], return_inverse=True)
-            out[miss] = self._escaped(some)[at]
-        return out
-
-    def _escaped(self, keys: np.ndarray) -> np.ndarray:
-        out, open_ = np.zeros(len(keys)), np.ones(len(keys), dtype=bool)
-        left_n, left_q = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
-        for d in range(self.order, -1, -1):
-            key = keys & np.uint64((1 << 8 * (d + 1)) - 1)
-            context = self.contexts[d].find(key >> np.uint64(8))
-            symbol = self.symbols[d].find(key)
-            known = open_ & (context >= 0)
-            n = np.where(known, self.n[d][context] if len(self.n[d]) else 0, 0) - left_n * known
-            q = np.where(known, self.q[d][context] if len(self.q[d]) else 0, 0) - left_q * known
-            hit, go = known & (symbol >= 0), known & (symbol < 0) & (q > 0)
-            out[hit] += np.log10(self.counts[d][symbol[hit]] / (n[hit] + q[hit]))
-            out[go] += np.log10(q[go] / (n[go] + q[go]))
-            open_ &= ~hit
+            rows = self.symbols[d].select(F.shiftright("gram", 8).alias("context"), "n", _low(F.col("gram"), d).alias("short"))
             if d:
-                left_n[known] = self.left_n[d][context[known]]
-            left_q[known] = self.q[d][context[known]]
-        out[open_] -= np.log10(np.maximum(SYMBOLS - left_q[open_], 1))
-        return out
+                lower = self.symbols[d - 1].select(F.col("gram").alias("short"), F.col("n").alias("lower"))
+                rows = rows.join(_small(lower, d), "short")
+            sums = (F.sum("n").alias("n"), F.count("*").alias("q"), F.sum("lower" if d else F.lit(0)).alias("left"))
+            self.contexts[d] = save(rows.groupBy("context").agg(*sums), f"contexts{d}")
+
+    def seen(self) -> DataFrame:
+        """(gram, n, log10) of all grams of the longest contexts that were learned."""
+        own = self.contexts[self.order].select("context", F.col("n").alias("all"), "q")
+        rows = self.symbols[self.order].withColumn("context", F.shiftright("gram", 8)).join(own, "context")
+        return rows.select("gram", "n", F.log10(F.col("n") / (F.col("all") + F.col("q"))).alias("log10"))
+
+    def unseen(self, grams: DataFrame) -> DataFrame:
+        """(gram, log10) of distinct grams that were not learned: coded in the longest context that has their symbol."""
+        rows = grams.select("gram", F.lit(0.0).alias("log10"), F.lit(True).alias("open"), F.lit(0).cast("long").alias("left_n"), F.lit(0).cast("long").alias("left_q"))
+        for d in range(self.order, -1, -1):
+            own = self.contexts[d].select("context", F.col("n").alias("all"), "q", "left")
+            rows = rows.withColumn("context", F.shiftright(_low(F.col("gram"), d + 1), 8)).join(_small(own, d), "context", "left")
+            if d < self.order:
+                symbols = self.symbols[d].select(F.col("gram").alias("symbol"), F.col("n").alias("times"))
+                rows = rows.join(_small(symbols, d + 1), _low(F.col("gram"), d + 1) == F.col("symbol"), "left")
+            else:
+                rows = rows.withColumn("times", F.lit(None).cast("long"))
+            n, q, known = F.col("all") - F.col("left_n"), F.col("q") - F.col("left_q"), F.col("q").isNotNull()
+            hit = F.col("open") & known & F.col("times").isNotNull()
+            leave = F.col("open") & known & F.col("times").isNull() & (q > 0)
+            cost = F.when(hit, F.log10(F.col("times") / (n + q))).when(leave, F.log10(q / (n + q))).otherwise(0.0)
+            rows = rows.select(
+                "gram",
+                (F.col("log10") + cost).alias("log10"),
+                (F.col("open") & ~hit).alias("open"),
+                F.when(known, F.col("left")).otherwise(F.col("left_n")).alias("left_n"),
+                F.when(known, F.col("q")).otherwise(F.col("left_q")).alias("left_q"),
+            )
+        even = F.log10(F.greatest(SYMBOLS - F.col("left_q"), F.lit(1)))
+        return rows.select("gram", (F.col("log10") - F.when(F.col("open"), even).otherwise(0.0)).alias("log10"))
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -158,12 +164,8 @@ def frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.limit(0) if least is None else counts.where(n >= least)
 
 
-def train(texts: DataFrame, *, max_grams: int = MAX_GRAMS) -> tuple[np.ndarray, np.ndarray]:
-    """Packed contexts with their symbols, sorted, and their counts, for a Trie.
-
-    Counts are taken over the column text of all rows and added up by Spark; the
-    max_grams most frequent ones at most make up the model.
-    """
+def gram_counts(texts: DataFrame) -> DataFrame:
+    """(gram, n): packed longest contexts with their symbols over the column text of all rows, for a Trie."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(parts: list) -> pa.RecordBatch:
@@ -182,11 +184,7 @@ def train(texts: DataFrame, *, max_grams: int = MAX_GRAMS) -> tuple[np.ndarray,
         if parts:
             yield out(parts)
 
-    counts = save(texts.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    kept = frequent(counts, max_grams).toPandas()
-    keys, n = kept["gram"].to_numpy(dtype=np.int64).view(np.uint64), kept["n"].to_numpy(dtype=np.int64)
-    order = np.argsort(keys)
-    return keys[order], n[order]
+    return texts.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -214,34 +212,37 @@ def _word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Model:
-    """What every task needs, sent as plain arrays."""
+class Head:
+    """What every task needs of the frequent words and grams, sent as plain arrays of bounded size."""
 
-    def __init__(self, words: list[bytes], times: np.ndarray, keys: np.ndarray, counts: np.ndarray):
-        self.words, self.times, self.keys, self.counts = words, times, keys, counts
-        self.made: tuple[dict[bytes, float], Trie] | None = None
+    def __init__(self, words: list[bytes], times: np.ndarray, keys: np.ndarray, log10: np.ndarray):
+        self.words, self.times, self.keys, self.log10 = words, times, keys, log10
+        self.made: tuple[dict[bytes, float], Table] | None = None
 
-    def ready(self) -> tuple[dict[bytes, float], Trie]:
+    def ready(self) -> tuple[dict[bytes, float], Table]:
         if self.made is None:
-            self.made = dict(zip(self.words, np.log10(self.times + 1.0).tolist(), strict=True)), Trie(self.keys, self.counts)
+            self.made = dict(zip(self.words, np.log10(self.times + 1.0).tolist(), strict=True)), Table(self.keys)
         return self.made
 
 
-def score_documents(docs: DataFrame, train_on: DataFrame, *, max_grams: int = MAX_GRAMS, head_words: int = HEAD_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, train_on: DataFrame, *, head_grams: int = HEAD_GRAMS, head_words: int = HEAD_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores every whole text of docs with what the texts of train_on teach.
 
     Returns doc_id, n_tokens, n_known, train_tokens, base_score and score.  score
     is the log10 probability of the text's bytes and its end by a byte trie of
-    contexts up to 4 bytes: a symbol is coded in the longest context that has
+    contexts up to 5 bytes: a symbol is coded in the longest context that has
     it; leaving a context with q symbols in n occurrences costs q / (n + q); and
     symbols of a context that was left no longer count in shorter ones.
     base_score adds log10((c + 1) / (N + V + 1)) over the words and the end.
 
-    Counts of frequent words go to every task, in bounded number and length;
-    those of all others are joined, so no count is left out.
+    The trie holds all grams of the training texts, in distributed tables.  The
+    frequent words and grams go to every task, in bounded number and length;
+    those of all others are joined, so none is left out and the bounds change no
+    result.
 
     A null text is empty: it has the end only.  Without a row to learn from all
-    counts are zero.  Null ids stay null; repeated rows are scored each.
+    counts are zero and all symbols alike.  Null ids stay null; repeated rows
+    are scored each.
     """
     learned = train_on.select(F.col(text_col).alias("text"))
     counts = save(_word_counts(learned), "words")
@@ -249,18 +250,28 @@ def score_documents(docs: DataFrame, train_on: DataFrame, *, max_grams: int = MA
     low = float(np.log10(total["n"] + total["v"] + 1))
     top = frequent(counts.where(F.length("word") <= HEAD_BYTES), head_words).toPandas()
     words, times = list(map(bytes, top["word"])), top["n"].to_numpy()
-    # Bounded by head_words times HEAD_BYTES and by max_grams; each worker makes its trie and map once.
-    shared = docs.sparkSession.sparkContext.broadcast(Model(words, times, *train(learned, max_grams=max_grams)))
+    trie = Trie(save(gram_counts(learned), "grams"))
+    seen = save(trie.seen(), "seen")
+    often = frequent(seen, head_grams).toPandas()
+    keys, logs10 = often["gram"].to_numpy(dtype=np.int64).view(np.uint64), often["log10"].to_numpy(dtype=np.float64)
+    # Bounded by head_words times HEAD_BYTES and by head_grams; each worker makes its table and map once.
+    shared = docs.sparkSession.sparkContext.broadcast(Head(words, times, keys, logs10))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, trie = shared.value.ready()
+        logs, table = shared.value.ready()
+        log10 = np.append(shared.value.log10, 0.0)  # the last is for grams that are not in the head
         for whole in batches:
             for start in range(0, len(whole), 256):
                 batch = whole.slice(start, 256)
                 texts = _bytes(batch.column(2))
-                scores = np.zeros(len(texts))
+                scores, others, ends = np.zeros(len(texts)), [], []
                 for at, end, key, owner in grams(texts):
-                    scores[at:end] = np.bincount(owner, weights=trie.log10(key), minlength=end - at)
+                    found_at = table.find(key)
+                    scores[at:end] = np.bincount(owner, weights=log10[found_at], minlength=end - at)
+                    other = key[found_at < 0].view(np.int64)
+                    ends.append(np.bincount(owner[found_at < 0], minlength=end - at))
+                    others.append(other)
+                grams_of = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], *ends]).cumsum(), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *others])))
                 tokens, known, base, offsets = [], [], [], [0]
                 rare_words: list[bytes] = []
                 rare_times: list[int] = []
@@ -276,23 +287,28 @@ def score_documents(docs: DataFrame, train_on: DataFrame, *, max_grams: int = MA
                     rare_times += rare.values()
                     offsets.append(len(rare_words))
                 each = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_times, pa.int64())], names=["word", "times"])
-                columns = [pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), each)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["row", "doc_id", "n_tokens", "n_known", "base", "score", "rest"])
+                columns = [pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), each), grams_of]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["row", "doc_id", "n_tokens", "n_known", "base", "score", "rest", "grams"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scored = save(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, rest array<struct<word: binary, times: long>>"), "scored")
-    rare = (
-        scored.select("row", F.explode("rest").alias("r"))
-        .select("row", "r.word", "r.times")
-        .join(counts, "word")
+    scored = save(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, rest array<struct<word: binary, times: long>>, grams array<long>"), "scored")
+    rare_words = scored.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.times").join(counts, "word")
+    others = scored.select("row", F.explode("grams").alias("gram")).groupBy("row", "gram").agg(F.count("*").alias("times"))
+    others = save(others, "others")
+    unseen = trie.unseen(others.select("gram").distinct().join(seen, "gram", "left_anti"))
+    other_grams = others.join(seen.select("gram", "log10").unionAll(unseen), "gram")
+    nothing = F.lit(0.0)
+    more = (
+        rare_words.select("row", "times", (F.col("times") * F.log10(F.col("n") + 1)).alias("gain"), nothing.alias("log10"))
+        .unionAll(other_grams.select("row", F.lit(0).cast("long"), nothing, F.col("times") * F.col("log10")))
         .groupBy("row")
-        .agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("gain"))
+        .agg(F.sum("times").alias("more"), F.sum("gain").alias("gain"), F.sum("log10").alias("log10"))
     )
-    return scored.drop("rest").join(rare, "row", "left").select(
+    return scored.drop("rest", "grams").join(more, "row", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(total["n"]).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("gain", F.lit(0.0)) - F.col("n_tokens") * F.lit(low)).alias("base_score"),
-        "score",
+        (F.col("base") + F.coalesce("gain", nothing) - F.col("n_tokens") * F.lit(low)).alias("base_score"),
+        (F.col("score") + F.coalesce("log10", nothing)).alias("score"),
     )

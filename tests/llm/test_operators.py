@@ -241,14 +241,20 @@ def test_suffix_order():
         assert cut == sorted(cut)
 
 
-def test_ppm_is_a_distribution():
+def test_ppm_is_a_distribution(spark):
     texts = [b"abracadabra", b"abc", b"", "ñandú".encode(), b"abra abra"]
-    trie = ppm.Trie(*ppm._merge([np.unique(k, return_counts=True) for _, _, k, _ in ppm.grams(texts)]))
-    for context in (b"\xfe\xfe\xfe\xfe", b"abra", b"zzzz", b"zabr", b"\xfe\xfeab"):
-        keys = np.array([int.from_bytes(context, "big") << 8 | s for s in range(256) if s != ppm.START], dtype=np.uint64)
-        assert (10 ** trie.log10(keys)).sum() == pytest.approx(1)
-    empty = ppm.Trie(np.empty(0, np.uint64), np.empty(0, np.int64))
-    assert empty.log10(np.array([5], np.uint64))[0] == pytest.approx(-math.log10(255))
+    keys, counts = ppm._merge([np.unique(k, return_counts=True) for _, _, k, _ in ppm.grams(texts)])
+    trie = ppm.Trie(spark.createDataFrame([(int(k), int(n)) for k, n in zip(keys, counts, strict=True)], "gram long, n long"))
+    seen = {r.gram: r.log10 for r in trie.seen().collect()}
+    contexts = (b"\xfe\xfe\xfe\xfe\xfe", b" abra", b"zzzzz", b"zzabr", b"\xfe\xfe\xfeab")
+    symbols = [s for s in range(256) if s != ppm.START]
+    packed = lambda context, s: int.from_bytes(context, "big") << 8 | s
+    rest = [(packed(c, s),) for c in contexts for s in symbols if packed(c, s) not in seen]
+    both = seen | {r.gram: r.log10 for r in trie.unseen(spark.createDataFrame(rest, "gram long")).collect()}
+    for context in contexts:
+        assert sum(10 ** both[packed(context, s)] for s in symbols) == pytest.approx(1)
+    empty = ppm.Trie(spark.createDataFrame([], "gram long, n long"))
+    assert empty.unseen(spark.createDataFrame([(5,)], "gram long")).first().log10 == pytest.approx(-math.log10(255))
 
 
 def brute_ppm(train, text):
@@ -277,11 +283,11 @@ def brute_ppm(train, text):
     return total
 
 
-@pytest.mark.parametrize("head", [0, 3, 10_000])
+@pytest.mark.parametrize("head", [0, 30, 10_000])
 def test_lm_scores(spark, texts, ids, head):
     docs = frame(spark, texts, ids)
     learn = langid.fold("doc_id", 7) != 2
-    rows = ppm.score_documents(docs, docs.where(learn), head_words=head).collect()
+    rows = ppm.score_documents(docs, docs.where(learn), head_words=head, head_grams=head).collect()
     held = [zlib.crc32((str(i) if i is not None else "").encode()) % 7 == 2 for i in ids]
     tokens = [[*(t or "").encode().lower().split(), b" "] for t in texts]
     c = Counter(w for h, ws in zip(held, tokens, strict=True) if not h for w in ws)
