@@ -248,12 +248,12 @@ def score_documents(docs: DataFrame, train_on: DataFrame, *, head_grams: int = H
     counts = save(_word_counts(learned), "words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     low = float(np.log10(total["n"] + total["v"] + 1))
-    top = frequent(counts.where(F.length("word") <= HEAD_BYTES), head_words).toPandas()
-    words, times = list(map(bytes, top["word"])), top["n"].to_numpy()
+    top = frequent(counts.where(F.length("word") <= HEAD_BYTES), head_words).select("word", "n").toArrow()
+    words, times = top["word"].to_pylist(), top["n"].to_numpy()
     trie = Trie(save(gram_counts(learned), "grams"))
     seen = save(trie.seen(), "seen")
-    often = frequent(seen, head_grams).toPandas()
-    keys, logs10 = often["gram"].to_numpy(dtype=np.int64).view(np.uint64), often["log10"].to_numpy(dtype=np.float64)
+    often = frequent(seen, head_grams).select("gram", "log10").toArrow()
+    keys, logs10 = often["gram"].to_numpy().view(np.uint64), often["log10"].to_numpy()
     # Bounded by head_words times HEAD_BYTES and by head_grams; each worker makes its table and map once.
     shared = docs.sparkSession.sparkContext.broadcast(Head(words, times, keys, logs10))
 
