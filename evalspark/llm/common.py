@@ -26,11 +26,22 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Spark deletes the shuffle files of a query at its end if this is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def save(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage and survives lost executors."""
+    """Writes df to the shared folder and reads it back: cuts lineage and survives lost executors.
+
+    The shuffle files behind the table go once it is written.
+    """
     spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}"
-    df.write.parquet(path)
+    path, before = f"{scratch(spark)}/{name}", spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
