@@ -21,7 +21,7 @@ TRAIN_DOCS = 40_000
 MIN_SHARE = 5e-6
 #: ... and this part of its share in the language where it is most frequent.
 MIN_PART = 0.25
-CHARS = 1 << 20
+CHARS = 1 << 18
 
 
 @lru_cache(maxsize=1)
