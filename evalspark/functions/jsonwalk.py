@@ -37,14 +37,27 @@ def _exploded(df: DataFrame, key: str) -> DataFrame:
 
 def has_forbidden_value(df: DataFrame, key: str, json_col: str, forbidden: list[str], depth: int = 3) -> DataFrame:
     """(key, forbidden) for each row of df: whether a scalar anywhere in the JSON is one of the forbidden texts."""
-    hits = walk(df, key, json_col, depth).groupBy(key).agg(F.max(F.col("value").isin(forbidden)).alias("hit"))
+    # Truth values and null count under the names that Python prints.
+    value = F.when(F.col("kind") == "BOOLEAN", F.initcap("value")).when(F.col("kind") == "VOID", "None").otherwise(F.col("value"))
+    hits = walk(df, key, json_col, depth).groupBy(key).agg(F.max(F.coalesce(value.isin(forbidden), F.lit(False))).alias("hit"))
     return df.select(key).join(hits, key, "left").select(key, F.coalesce("hit", F.lit(False)).alias("forbidden"))
 
 
 def query_fields(text: Column) -> Column:
-    """Normalised last parts of the names in brackets, sorted and distinct."""
-    names = F.regexp_extract_all(text, F.lit(r"\[([A-Za-z_][A-Za-z0-9_.]*)\]"), 1)
-    return F.array_sort(F.array_distinct(F.filter(F.transform(names, lambda n: normalize_key(F.substring_index(n, ".", -1))), lambda n: n != "")))
+    """Normalised last parts of the names a query mentions, sorted and distinct.
+
+    Names stand in brackets; where the whole text is JSON, they are also the
+    texts under the keys field and value_field at any depth.  The walk reads the
+    JSON printed without white space: there a quote after { or , opens a key, as
+    quotes within texts are escaped.
+    """
+    text = F.coalesce(text, F.lit(""))
+    listed = F.regexp_extract_all(text, F.lit(r"\[([^\]]+)\]"), 1)
+    printed = F.coalesce(F.to_json(F.try_parse_json(text)), F.lit(""))
+    keyed = F.regexp_extract_all(printed, F.lit(r'[{,]"(?:field|value_field)":"((?:[^"\\]|\\.)*)"'), 1)
+    read = F.transform(keyed, lambda x: F.get_json_object(F.concat(F.lit('{"v":"'), x, F.lit('"}')), "$.v"))
+    names = F.transform(F.concat(listed, read), lambda n: normalize_key(F.substring_index(n, ".", -1)))
+    return F.array_sort(F.array_distinct(F.filter(names, lambda n: n != "")))
 
 
 _TYPES = {"string": "STRING", "integer": "BIGINT", "boolean": "BOOLEAN", "null": "VOID"}

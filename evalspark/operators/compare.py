@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.functions.jsonwalk import query_fields
 from evalspark.functions.sets import scores_of_counts, set_relation, set_scores
 from evalspark.functions.text import close, contains_write_verb, normalize_key, numeric, strip
 
@@ -76,19 +77,22 @@ def safety_flags() -> Column:
     return F.filter(F.array(*[F.when(t, F.lit(name)) for name, t in zip(FLAGS, tests, strict=True)]), lambda x: x.isNotNull())
 
 
+def _last_parts(names: Column) -> Column:
+    return F.transform(names, lambda x: normalize_key(F.substring_index(x, ".", -1)))
+
+
 def observed_fields() -> Column:
-    """Normalised query fields: those stated, else those in brackets in the query's text."""
-    stated = F.transform(_list("query_fields"), lambda x: normalize_key(F.substring_index(x, ".", -1)))
-    found = F.regexp_extract_all(F.coalesce("query_text", F.lit("")), F.lit(r"\[([A-Za-z_][A-Za-z0-9_.]*)\]"), 1)
-    guessed = F.filter(F.transform(found, lambda x: normalize_key(F.substring_index(x, ".", -1))), lambda x: x != "")
-    return F.array_distinct(F.when(F.size(stated) > 0, stated).otherwise(guessed))
+    """Normalised query fields: those stated, else those that the query's text mentions."""
+    stated = _list("query_fields")
+    return F.array_distinct(F.when(F.size(stated) > 0, _last_parts(stated)).otherwise(query_fields(F.col("query_text"))))
 
 
 def _fields_conform() -> Column:
-    required = F.transform(_list("required_fields"), normalize_key)
-    allowed = F.array_union(F.transform(_list("allowed_fields"), normalize_key), required)
+    """All required fields are there, and no others than these and the allowed ones, if any are named."""
+    required = _last_parts(_list("required_fields"))
+    allowed = F.array_union(_last_parts(_list("allowed_fields")), required)
     missing = F.size(F.array_except(required, F.col("_fields"))) > 0
-    extra = (F.size(_list("allowed_fields")) > 0) & (F.size(F.array_except(F.col("_fields"), allowed)) > 0)
+    extra = (F.size(allowed) > 0) & (F.size(F.array_except(F.col("_fields"), allowed)) > 0)
     return ~missing & ~extra
 
 
@@ -99,7 +103,7 @@ def _monotonic(values: Column, descending: Column) -> Column:
 
 def _id_set_subtype() -> Column:
     """Null where the sets are equal."""
-    shape = (F.size(_rows()) > 0) & (F.size("_ids") == 0) & ~F.array_contains(_list("columns"), F.col("id_column"))
+    shape = (effective_row_count() > 0) & (F.size("_ids") == 0) & ~F.array_contains(_list("columns"), F.col("id_column"))
     relation = set_relation(F.col("_ids"), F.col("_expected"))
     return F.when(shape, "ambiguous_shape").when(relation != "exact", relation)
 
@@ -107,10 +111,12 @@ def _id_set_subtype() -> Column:
 def _ordered_subtype() -> Column:
     same = F.array_sort("_ids") == F.array_sort("_expected")
     relation = set_relation(F.col("_ids"), F.col("_expected"))
-    values = F.filter(F.transform(_rows(), lambda r: numeric(F.try_element_at(r, F.col("sort_column")))), lambda x: x.isNotNull())
+    values = F.transform(_rows(), lambda r: numeric(F.try_element_at(r, F.col("sort_column"))))
+    sorts = F.coalesce(F.col("sort_column") != "", F.lit(False))
+    unusable = (F.size(values) != F.size("_ids")) | F.exists(values, lambda x: x.isNull())
     return (
         F.when(~same, F.when(relation == "exact", "ambiguous_shape").otherwise(relation))
-        .when(F.col("sort_column").isNotNull(), F.when(F.size(values) != F.size("_ids"), "ambiguous_shape").when(~_monotonic(values, F.coalesce("descending", F.lit(True))), "wrong_order"))
+        .when(sorts, F.when(unusable, "ambiguous_shape").when(~_monotonic(values, F.coalesce("descending", F.lit(True))), "wrong_order"))
         .when(F.col("_ids") != F.col("_expected"), "wrong_order")
     )
 

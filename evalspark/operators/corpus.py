@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.hashing import content_hash
 
-# Names that no reviewer has.
-PLACEHOLDERS = ("tbd", "todo", "unknown", "n/a", "none", "placeholder", "reviewer")
+# Names that no reviewer has, and words of which a reviewing model's name holds one.
+PLACEHOLDERS = ("pending", "pending audit", "pending human review", "pending llm audit", "pending review", "tbd", "unknown")
+MODEL_WORDS = r"model|llm|gpt|claude|gemini|llama|mistral|qwen|judge|evaluator|sonnet|opus|grok|deepseek|command|nova|phi|o[1-9]"
 
 #: Short rubrics of our own: labels with their scores, and the placeholders of the prompt.
 RUBRICS: dict[str, dict[str, Any]] = {
@@ -38,9 +39,10 @@ def substitute(rubric: Mapping[str, Any], names: Mapping[str, str]) -> dict[str,
 
 
 def clean_reviewer(name: Column) -> Column:
-    """White space collapsed; null for a blank or a placeholder."""
+    """White space collapsed; null for a placeholder, a name of under 3 or over 200 characters, or one that names no model."""
     text = F.trim(F.regexp_replace(name, r"(?U)\s+", " "))
-    return F.when((text != "") & ~F.lower(text).isin(*PLACEHOLDERS), text)
+    fits = F.length(name).between(3, 200) & ~F.lower(text).isin(*PLACEHOLDERS) & text.rlike(rf"(?iU)\b({MODEL_WORDS})\b")
+    return F.when(fits, text)
 
 
 def review_complete() -> Column:
@@ -59,11 +61,45 @@ def manifest_violations(cases: DataFrame, reviews: DataFrame) -> DataFrame:
 
 
 def count_violations(counts: Mapping[str, int], total: int) -> list[str]:
-    """What is wrong with a manifest's counts: names, signs, sum."""
-    found = [f"count {k!r}" for k, v in counts.items() if not k.strip() or v < 0]
+    """What is wrong with a manifest's counts: none, names, signs, sum."""
+    found = [] if counts else ["no counts"]
+    found += [f"count {k!r}" for k, v in counts.items() if not k.strip() or v < 0]
     return found + ([f"sum {sum(counts.values())} is not {total}"] if sum(counts.values()) != total else [])
 
 
+def corpus_violations(manifest: Mapping[str, Any], reviews: DataFrame) -> DataFrame:
+    """(case_id, rule) of all that is wrong with a manifest and its reviews; the manifest's own rules have a null case.
+
+    The manifest holds profile, required_checks, expected_total, counts and
+    category_counts.  Reviews of a case are summed up, so none is gathered.
+    """
+    spark, required, total = reviews.sparkSession, list(manifest.get("required_checks", ())), manifest["expected_total"]
+    checklist = manifest["profile"] == "checklist"
+    own = {
+        "counts": bool(count_violations(manifest["counts"], total)),
+        "category_counts": bool(count_violations(manifest["category_counts"], total)),
+        "required_checks_missing": checklist and not required,
+        "required_checks_unexpected": not checklist and bool(required),
+        "required_checks_names": len(set(required)) != len(required) or any(not r.strip() for r in required),
+        "expected_total": total < 1,
+    }
+    named = F.array(*map(F.lit, required)).cast("array<string>")
+    given = F.map_keys(F.coalesce("checks", F.create_map().cast("map<string,boolean>")))
+    other = (F.size(F.array_except(named, given)) > 0) | (F.size(F.array_except(given, named)) > 0)
+    sums = reviews.groupBy("case_id").agg(
+        F.count("*").alias("n"),
+        F.bool_and(F.col("profile") == manifest["profile"]).alias("profile"),
+        F.bool_or((F.col("profile") == "checklist") & other).alias("checks"),
+        F.bool_and(review_complete()).alias("ok"),
+        F.bool_and(clean_reviewer(F.col("reviewer")).isNotNull()).alias("named"),
+    )
+    rules = {"many_reviews": F.col("n") > 1, "other_profile": ~F.coalesce("profile", F.lit(False)), "checks": F.col("checks"), "incomplete": ~F.col("ok"), "unnamed_reviewer": ~F.col("named")}
+    found = F.filter(F.array(*[F.when(t, F.lit(r)) for r, t in rules.items()]), lambda x: x.isNotNull())
+    count = reviews.agg(F.count("*").alias("n")).where(F.col("n") != total).select(F.lit(None).cast(reviews.schema["case_id"].dataType).alias("case_id"), F.lit("reviews_total").alias("rule"))
+    mine = spark.createDataFrame([(r,) for r, bad in own.items() if bad], "rule string").select(F.lit(None).cast(reviews.schema["case_id"].dataType).alias("case_id"), "rule")
+    return sums.select("case_id", F.explode(found).alias("rule")).union(count).union(mine)
+
+
 def build_freeze(config: Mapping[str, Any], sources: Mapping[str, str], corpus: Any, created_at: datetime, hypotheses: tuple[str, ...] = (), world: Any = None) -> dict[str, Any]:
     """The hashes of everything that a run depends on, with an id over all of them."""
     if created_at.tzinfo is None:

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from evalspark.functions import hashing, jsonwalk, spans, text
 from evalspark.functions.sets import relation_of_counts
-from evalspark.operators import calibration, compare, corpus, scores
+from evalspark.operators import calibration, compare, corpus, judges, metrics, scores
 from evalspark.sources import ledger
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,11 +114,29 @@ def q05_ordered_topk(spark, d):
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
     gold = _top(o, [F.desc("o_totalprice"), "o_orderkey"]).select(F.col("o_custkey").cast("string").alias("case_id"), "ids")
     seen = _top(o, [F.desc("o_orderdate"), "o_orderkey"]).select(F.col("o_custkey").cast("string").alias("case_id"), "ids")
-    fill = lambda df, ddl, **own: df.select(*(own[n] if n in own else F.col(n) if n in df.columns else F.lit(None).cast(k).alias(n) for n, k in (x.strip().rsplit(" ", 1) for x in _split(ddl))))
-    verdicts = compare.compare(fill(seen, compare.OBSERVATIONS, executed=F.lit(True).alias("executed")), fill(gold, compare.GOLDENS, kind=F.lit("ordered").alias("kind"), id_column=F.lit("id").alias("id_column")))
+    verdicts = compare.compare(_filled(seen, compare.OBSERVATIONS, executed=F.lit(True).alias("executed")), _filled(gold, compare.GOLDENS, kind=F.lit("ordered").alias("kind"), id_column=F.lit("id").alias("id_column")))
     return verdicts.groupBy("verdict", "subtype").agg(F.count("*").alias("cases"))
 
 
+@query("""
+    WITH v AS (SELECT o_custkey c, o_orderkey k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) r, CAST(floor(o_totalprice / 100000) AS BIGINT) v FROM orders),
+    w AS (SELECT c, v, lag(v) OVER (PARTITION BY c ORDER BY r) b FROM v WHERE r <= 3)
+    SELECT CAST(c AS VARCHAR) AS case_id, CASE WHEN bool_or(v > b) THEN 'silent_wrong' ELSE 'correct' END AS verdict, CASE WHEN bool_or(v > b) THEN 'wrong_order' END AS subtype FROM w GROUP BY 1""")
+def q06_ordered_sort_column(spark, d):
+    o = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").cast("string").alias("k"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("r"), F.floor(F.col("o_totalprice") / 100000).cast("string").alias("v"))
+    lists = o.where("r <= 3").groupBy(F.col("o_custkey").cast("string").alias("case_id")).agg(F.array_sort(F.collect_list(F.struct("r", "k", "v"))).alias("x"))
+    rows = F.transform("x", lambda x: F.create_map(F.lit("id"), x["k"], F.lit("v"), x["v"]))
+    seen = _filled(lists.select("case_id", rows.alias("rows")), compare.OBSERVATIONS, executed=F.lit(True).alias("executed"))
+    gold = _filled(lists.select("case_id", F.transform("x", lambda x: x["k"]).alias("ids")), compare.GOLDENS, kind=F.lit("ordered").alias("kind"), id_column=F.lit("id").alias("id_column"), sort_column=F.lit("v").alias("sort_column"))
+    return compare.compare(seen, gold).select("case_id", "verdict", "subtype")
+
+
+def _filled(df: DataFrame, ddl: str, **own) -> DataFrame:
+    """df with all columns of the schema; those neither in own nor in df are null."""
+    fields = (x.strip().rsplit(" ", 1) for x in _split(ddl))
+    return df.select(*(own[n] if n in own else F.col(n) if n in df.columns else F.lit(None).cast(k).alias(n) for n, k in fields))
+
+
 def _split(ddl: str) -> list[str]:
     out, depth = [""], 0
     for ch in ddl:
@@ -241,7 +259,7 @@ def _judged(spark, d):
     return both.select("lang", F.lit("choice").alias("mode"), F.col("quality").cast("string").alias("expected_label"), (F.col("n_chars") >= 200).cast("int").cast("string").alias("actual_label"), (F.col("n_chars") % 10 != 0).alias("available"))
 
 
-@query(f"""WITH {_JUDGED} SELECT lang, count(*) AS records, count(*) FILTER (ok) AS available, round_even(count(*) FILTER (ok AND e = a) / count(*) FILTER (ok), 6) AS agreement, count(*) >= 5 AND count(*) FILTER (ok AND e = a) / count(*) FILTER (ok) >= 0.8 AS calibrated FROM j GROUP BY 1""")
+@query(f"""WITH {_JUDGED} SELECT lang, count(*) AS records, count(*) FILTER (ok) AS available, round_even(count(*) FILTER (ok AND e = a) / count(*) FILTER (ok), 6) AS agreement, count(*) FILTER (ok) >= 5 AND count(*) FILTER (ok AND e = a) / count(*) FILTER (ok) >= 0.8 AS calibrated FROM j GROUP BY 1""")
 def q19_calibration(spark, d):
     return calibration.calibrate(_judged(spark, d), ["lang"])
 
@@ -318,7 +336,7 @@ def q27_outcome_id(spark, d):
 def q28_manifest_violations(spark, d):
     cases = table(spark, d, "documents").select(F.col("doc_id").alias("case_id"))
     checks = F.create_map(F.lit("quality"), F.col("quality") == 1, F.lit("clean"), F.col("toxic") == 0)
-    reviews = table(spark, d, "labels").select(F.col("doc_id").alias("case_id"), F.lit("checklist").alias("profile"), F.lit("A. Reader").alias("reviewer"), F.lit(True).alias("blessed"), checks.alias("checks"), F.lit(None).cast("string").alias("review_status"))
+    reviews = table(spark, d, "labels").select(F.col("doc_id").alias("case_id"), F.lit("checklist").alias("profile"), F.lit("reviewing model").alias("reviewer"), F.lit(True).alias("blessed"), checks.alias("checks"), F.lit(None).cast("string").alias("review_status"))
     return corpus.manifest_violations(cases, reviews).groupBy("rule").agg(F.count("*").alias("n"))
 
 
@@ -336,6 +354,68 @@ def q30_ruler_diff(spark, d):
     return scores.ruler_diff(side(3, F.col("n_regionkey")), side(4, F.col("n_regionkey") % 3))
 
 
+@query("""SELECT benchmark.item_id AS item_id, CASE WHEN regexp_matches(text, '[0-9]') THEN 1.0 ELSE 0.0 END AS score, CASE WHEN regexp_matches(text, '[0-9]') THEN 'match' ELSE 'mismatch' END AS label FROM benchmark""")
+def q10_regex_scores(spark, d):
+    return table(spark, d, "benchmark").select("item_id", metrics.regex_score(F.col("text"), "[0-9]").alias("s")).select("item_id", "s.score", "s.label")
+
+
+_JUDGED_FINDINGS = "j AS (SELECT lang, list_concat(CASE WHEN toxic = 1 THEN ['toxic:major:text'] ELSE [] END, CASE WHEN quality = 0 THEN ['poor:major:text'] ELSE [] END) e, list_concat(CASE WHEN n_chars < 200 THEN ['poor:major:text'] ELSE [] END, CASE WHEN n_chars % 3 = 0 THEN ['toxic:major:text'] ELSE [] END) a, n_chars % 10 <> 0 ok FROM labels JOIN documents USING (doc_id))"
+
+
+@query(f"""WITH {_JUDGED_FINDINGS}, x AS (SELECT lang, a, ok, unnest(e) AS label FROM j)
+    SELECT lang, label, count(*) FILTER (ok) AS available, count(*) FILTER (ok AND list_contains(a, label)) AS agreed, round_even(CASE WHEN count(*) FILTER (ok) > 0 THEN count(*) FILTER (ok AND list_contains(a, label)) / count(*) FILTER (ok) ELSE 0.0 END, 6) AS agreement FROM x GROUP BY 1, 2
+    UNION ALL SELECT lang, '<no_findings>', count(*) FILTER (ok), count(*) FILTER (ok AND len(a) = 0), round_even(CASE WHEN count(*) FILTER (ok) > 0 THEN count(*) FILTER (ok AND len(a) = 0) / count(*) FILTER (ok) ELSE 0.0 END, 6) FROM j GROUP BY 1 HAVING max(len(e)) = 0""")
+def q33_per_finding(spark, d):
+    both = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
+    f = lambda test, name: F.when(test, F.struct(F.lit(name).alias("criterion"), F.lit("major").alias("severity"), F.lit("text").alias("locality")))
+    some = lambda *x: F.filter(F.array(*x), lambda v: v.isNotNull())
+    records = both.select("lang", (F.col("n_chars") % 10 != 0).alias("available"), some(f(F.col("toxic") == 1, "toxic"), f(F.col("quality") == 0, "poor")).alias("expected_findings"), some(f(F.col("n_chars") < 200, "poor"), f(F.col("n_chars") % 3 == 0, "toxic")).alias("actual_findings"))
+    return calibration.per_finding(records, ["lang"])
+
+
+@query("""SELECT event_id, CASE WHEN w OR f THEN 0.0 ELSE 1.0 END AS score, CASE WHEN w OR f THEN 'unsafe' ELSE 'safe' END AS label, concat_ws('+', CASE WHEN w THEN 'write_attempt' END, CASE WHEN f THEN 'forbidden_value' END) AS flags
+    FROM (SELECT event_id, event_type = 'purchase' w, json_extract_string(props, '$.k') IN ('7', '42') f FROM events)""")
+def q34_safety_scores(spark, d):
+    e = table(spark, d, "events").select("event_id", "props", F.when(F.col("event_type") == "purchase", "UPDATE t SET a = 1").otherwise("SELECT 'update' -- drop").alias("query"))
+    return metrics.safety_scores(e, "event_id", "query", "props", ["7", "42"], depth=2).withColumn("flags", F.array_join("flags", "+"))
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS case_id, CASE WHEN bool_and(o_orderpriority = p) THEN 'exact' WHEN bool_or(p = o_orderpriority) THEN 'subset' ELSE 'disjoint' END AS label FROM (SELECT o_custkey, o_orderpriority, min(o_orderpriority) OVER (PARTITION BY o_custkey) p FROM orders) GROUP BY 1""")
+def q35_id_set_scores(spark, d):
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("case_id")).agg(F.array(F.min("o_orderpriority")).alias("o"), F.collect_set("o_orderpriority").alias("e"))
+    return o.select("case_id", metrics.id_set_score(F.col("o"), F.col("e"))["label"].alias("label"))
+
+
+def quoted_port():
+    """A model for trials without a network: says factual if the last line of the prompt occurs in the lines before."""
+
+    def ask(prompt: str, operation: str) -> dict:
+        record, _, answer = prompt.rpartition("\n")
+        return {"label": "factual" if answer.lower() in record.lower() else "hallucinated", "explanation": None}
+
+    return ask
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS case_id, CASE WHEN contains(lower(text), lower(lang)) THEN 'factual' ELSE 'hallucinated' END AS label, CASE WHEN contains(lower(text), lower(lang)) THEN 0.0 ELSE 1.0 END AS score, 'uncalibrated' AS status, 1 AS attempts FROM documents WHERE lang IS NOT NULL""")
+def q36_judge(spark, d):
+    rubric = judges.judge_rubric(corpus.load_rubric("hallucination"))
+    prompts = table(spark, d, "documents").where("lang IS NOT NULL").select(F.col("doc_id").alias("case_id"), F.concat("text", F.lit("\n"), "lang").alias("prompt"))
+    answers = judges.judge(prompts, quoted_port, rubric, evaluator_id="quoted", evaluator_version="1", allow_uncalibrated=True)
+    return answers.select("case_id", "label", "score", "status", "attempts")
+
+
+@query("""WITH r AS (SELECT doc_id, bool_and(quality = 1 AND toxic = 0) ok FROM labels GROUP BY 1)
+    SELECT CAST(doc_id AS VARCHAR) AS case_id, 'incomplete' AS rule FROM r WHERE NOT ok
+    UNION ALL SELECT NULL, 'reviews_total' WHERE (SELECT count(*) FROM labels) <> (SELECT count(*) FROM documents)
+    UNION ALL SELECT CAST(doc_id AS VARCHAR), 'many_reviews' FROM labels GROUP BY doc_id HAVING count(*) > 1""")
+def q37_corpus_violations(spark, d):
+    checks = F.create_map(F.lit("quality"), F.col("quality") == 1, F.lit("clean"), F.col("toxic") == 0)
+    reviews = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("case_id"), F.lit("checklist").alias("profile"), F.lit("reviewing model").alias("reviewer"), F.lit(True).alias("blessed"), checks.alias("checks"), F.lit(None).cast("string").alias("review_status"))
+    total = table(spark, d, "documents").count()
+    manifest = {"profile": "checklist", "required_checks": ["quality", "clean"], "expected_total": total, "counts": {"all": total}, "category_counts": {"all": total}}
+    return corpus.corpus_violations(manifest, reviews)
+
+
 @query()
 def q32_stream_checkpoints(spark, d):
     """The checkpoints over a stream of the orders, once through; equal to those of the batch."""

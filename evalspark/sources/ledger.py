@@ -19,7 +19,8 @@ def record_violation() -> Column:
     return (
         F.when(F.col("case_id").isNull() | (F.trim("case_id") == ""), "case_id")
         .when(~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)), "status")
-        .when(~F.coalesce(F.col("revision_identity").rlike("^sha256:[0-9a-f]{64}$"), F.lit(False)), "revision_identity")
+        .when(~F.coalesce(F.col("revision_identity").rlike(r"^sha256:[0-9a-f]{64}\z"), F.lit(False)), "revision_identity")
+        .when(~F.coalesce(F.col("context_fingerprint").rlike(r"^sha256:[0-9a-f]{64}\z"), F.lit(False)), "context_fingerprint")
     )
 
 
@@ -31,7 +32,10 @@ def append(records: DataFrame, path: str) -> None:
 
 
 def read_file(spark: SparkSession, path: str) -> DataFrame:
-    """Records of one file of JSON lines with seq, their line; a cut last line or a bad one raises LedgerError."""
+    """Records of one file of JSON lines with seq, their line; a cut last line or a bad one raises LedgerError; no file, no records."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], f"seq long, {SCHEMA}")
     whole = spark.read.text(path, wholetext=True)
     if not whole.where((F.length("value") > 0) & ~F.col("value").endswith("\n")).isEmpty():
         raise LedgerError(f"{path}: the last line is cut off")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalspark.functions import hashing, jsonwalk, sets, spans, stats, text
-from evalspark.operators import compare, corpus, scores
+from evalspark.operators import calibration, compare, corpus, judges, metrics, scores
 from evalspark.plans.queries import QUERIES, SQL
 from evalspark.sources import ledger
 
@@ -121,6 +121,12 @@ def _fields(ddl):
         ({"ids": ["a"]}, {"kind": "id_set", "ids": ["a"], "required_fields": ["when"]}, "silent_wrong", "field_conformance"),
         ({"columns": ["r", "n"], "rows": [{"r": "North America", "n": "2.04"}]}, {"kind": "aggregate", "group_columns": ["region"], "entries": [{"key": ["north_america"], "value": 2.0}]}, "correct", None),
         ({"columns": ["n"], "rows": [{"n": "4"}]}, {"kind": "aggregate", "group_columns": [], "entries": [{"key": [], "value": 5.0}]}, "silent_wrong", "wrong_value"),
+        ({"ids": ["a"], "query_fields": ["t.When"]}, {"kind": "id_set", "ids": ["a"], "required_fields": ["x.when"]}, "correct", None),
+        ({"ids": ["a"], "query_fields": ["when", "who"]}, {"kind": "id_set", "ids": ["a"], "required_fields": ["when"]}, "silent_wrong", "field_conformance"),
+        ({"ids": ["a"], "query_text": '{"q": {"value_field": "t.Order \\u0044ate"}}'}, {"kind": "id_set", "ids": ["a"], "required_fields": ["order_date"]}, "correct", None),
+        ({"ids": ["a"], "query_text": "SELECT [t].[Order Date]"}, {"kind": "id_set", "ids": ["a"], "allowed_fields": ["order_date", "t"]}, "correct", None),
+        ({"row_count": 3, "columns": ["n"]}, {"kind": "id_set", "ids": ["a"]}, "silent_wrong", "ambiguous_shape"),
+        ({"rows": [{"id": "a", "s": "1"}, {"s": None}]}, {"kind": "ordered", "ids": ["a"], "sort_column": "s"}, "silent_wrong", "ambiguous_shape"),
         ({"ids": ["b", "a"]}, {"kind": "ordered", "ids": ["a", "b"]}, "silent_wrong", "wrong_order"),
         ({"columns": ["id", "s"], "rows": [{"id": "b", "s": "3"}, {"id": "a", "s": "3"}, {"id": "c", "s": "1"}]}, {"kind": "ordered", "ids": ["a", "b", "c"], "sort_column": "s", "descending": True}, "correct", None),
     ],
@@ -146,12 +152,13 @@ def test_rulers():
 
 
 def test_ledger(spark, tmp_path):
-    good = {"schema_version": "1", "case_id": "a", "revision_identity": "sha256:" + "0" * 64, "context_fingerprint": "f", "status": "passed", "payload": "{}"}
+    good = {"schema_version": "1", "case_id": "a", "revision_identity": "sha256:" + "0" * 64, "context_fingerprint": "sha256:" + "1" * 64, "status": "passed", "payload": "{}"}
     path = tmp_path / "l.jsonl"
     path.write_text(json.dumps(good) + "\n" + json.dumps(good | {"case_id": "b", "status": "failed"}) + "\n")
     rows = ledger.read_file(spark, str(path))
     assert [r.case_id for r in ledger.passing_checkpoints(rows).collect()] == ["a"]
-    for bad in (json.dumps(good), json.dumps(good) + "\n{}\n", json.dumps(good) + '\n{"x": NaN}\n', "\n" + json.dumps(good) + "\n"):
+    assert ledger.read_file(spark, str(tmp_path / "none.jsonl")).count() == 0
+    for bad in (json.dumps(good | {"context_fingerprint": "f"}) + "\n", json.dumps(good), json.dumps(good) + "\n{}\n", json.dumps(good) + '\n{"x": NaN}\n', "\n" + json.dumps(good) + "\n"):
         path.write_text(bad)
         with pytest.raises(ledger.LedgerError):
             ledger.read_file(spark, str(path))
@@ -168,6 +175,91 @@ def test_diff_mirrors(spark):
     assert back == {k: turn.get(v, v) for k, v in there.items()}
 
 
+def test_query_fields_in_json(spark):
+    cases = {'{"field": "a.B c"}': ["bc"], '{"note": "x, \\"field\\": \\"no\\""}': [], '[{"x": {"value_field": "p\\tq"}}, {"field": 3}]': None, "[A].[b.C]": ["a", "c"], None: []}
+    df = spark.createDataFrame([(k,) for k in cases], "x string")
+    for text, got in df.select("x", jsonwalk.query_fields(F.col("x"))).collect():
+        want = cases[text]
+        assert got == want if want is not None else "pq" in got
+
+
+def test_calibration(spark):
+    rows = [("j", "choice", "a", "a", i < 4) for i in range(6)]
+    df = spark.createDataFrame(rows, "judge string, mode string, expected_label string, actual_label string, available boolean")
+    row = calibration.calibrate(df, ["judge"]).first()
+    assert (row.records, row.available, row.agreement, row.calibrated) == (6, 4, 1.0, False)
+    with pytest.raises(ValueError):
+        calibration.calibrate(df, ["judge"], minimum=0)
+    kind = "array<struct<criterion:string,severity:string,locality:string>>"
+    x = ("c", "s", "l")
+    found = spark.createDataFrame([("p", True, [x], [x]), ("p", True, [x], []), ("p", False, [x], None), ("q", True, [], []), ("q", True, None, [x])], f"judge string, available boolean, expected_findings {kind}, actual_findings {kind}")
+    assert {tuple(r) for r in calibration.per_finding(found, ["judge"]).collect()} == {("p", "c:s:l", 2, 1, 0.5), ("q", "<no_findings>", 2, 1, 0.5)}
+    bad = spark.createDataFrame([("1", "choice", "a"), ("1", "choice", "a"), ("2", "findings", None), ("3", "choice", None)], "record_id string, mode string, expected_label string")
+    assert {tuple(r) for r in calibration.record_violations(bad, "choice").collect()} == {("1", "duplicate_id"), ("2", "other_mode"), ("3", "no_expected_label")}
+
+
+def test_judges(spark):
+    def _port():
+        good = {"criterion": "c1", "severity": "weak", "locality": "text", "evidence": "e", "complaint": "w"}
+        answers = {
+            "ok": {"label": "yes", "explanation": None}, "off": {"label": ["yes"], "explanation": None}, "list": ["yes"],
+            "f": {"findings": [good], "met": ["c2", "c1", "c2"]}, "g": {"findings": [good | {"severity": "huge"}], "met": []},
+        }
+
+        def ask(prompt, operation):
+            if prompt.startswith("boom"):
+                raise RuntimeError("no model")
+            if operation.endswith(".repair"):
+                return answers["ok"] if prompt.startswith("off") else answers["list"]
+            return answers[prompt]
+
+        return ask
+
+    rubric = judges.ChoiceRubric({"yes": 1.0, "no": 0.0})
+    ask = lambda prompts, **own: {r.case_id: r for r in judges.judge(spark.createDataFrame([(p, p) for p in prompts], "case_id string, prompt string"), _port, own.pop("rubric", rubric), evaluator_id="e", evaluator_version="1", **own).collect()}
+    got = ask(["ok", "off", "list"], allow_uncalibrated=True)
+    assert {k: (r.label, r.score, r.status, r.attempts) for k, r in got.items()} == {"ok": ("yes", 1.0, "uncalibrated", 1), "off": ("yes", 1.0, "uncalibrated", 2), "list": (None, None, "refused", 2)}
+    with pytest.raises(calibration.UncalibratedJudgeError):
+        ask(["ok"])
+    report = lambda h: spark.createDataFrame([("e", "1", h, True)], "evaluator_id string, evaluator_version string, rubric_hash string, calibrated boolean")
+    assert ask(["ok"], reports=report(rubric.rubric_hash))["ok"].status == "calibrated"
+    with pytest.raises(calibration.UncalibratedJudgeError):
+        ask(["ok"], reports=report("sha256:other"))
+    findings = judges.FindingsRubric(["c1", "c2"], ["text"])
+    got = ask(["f", "g", "boom"], rubric=findings, calibrating=True)
+    assert got["f"].met == ["c2"] and got["f"].findings[0].criterion == "c1" and got["g"].status == "refused" and got["g"].findings is None
+    assert got["boom"].status == "failed" and got["boom"].error == "RuntimeError: no model"
+    records = spark.createDataFrame([("f", [("c1", "weak", "text")]), ("g", []), ("other", [])], "record_id string, expected_findings array<struct<criterion:string,severity:string,locality:string>>")
+    answers = judges.judge(spark.createDataFrame([(p, p) for p in ("f", "g")], "case_id string, prompt string"), _port, findings, evaluator_id="e", evaluator_version="1", calibrating=True)
+    judged = calibration.outcomes(judges.calibration_outcomes(records, answers, "findings").withColumns({"mode": F.lit("findings"), "expected_label": F.lit(None).cast("string"), "actual_label": F.lit(None).cast("string")}))
+    assert {r.record_id: r.agreed for r in judged.collect()} == {"f": True, "g": None, "other": None}
+    with pytest.raises(ValueError):
+        judges.FindingsRubric(["c", "c"], ["text"])
+    assert rubric.rubric_hash != judges.ChoiceRubric({"yes": 1.0, "no": 0.0}, direction="minimize").rubric_hash
+
+
+def test_reviewers_and_manifests(spark):
+    names = {"  Llama   reviewer ": "Llama reviewer", "A. Reader": None, "pending": None, "o3": None, "o3 x": "o3 x", "": None, None: None}
+    df = spark.createDataFrame([(k,) for k in names], "x string")
+    assert {r[0]: r[1] for r in df.select("x", corpus.clean_reviewer(F.col("x"))).collect()} == names
+    ddl = "case_id string, profile string, reviewer string, blessed boolean, checks map<string,boolean>, review_status string"
+    full = lambda case, checks, blessed=True, profile="checklist": (case, profile, "a model", blessed, checks, "approved")
+    manifest = {"profile": "checklist", "required_checks": ["x"], "expected_total": 2, "counts": {"a": 2}, "category_counts": {"a": 1, "b": 1}}
+    rules = lambda own, rows: {tuple(r) for r in corpus.corpus_violations(manifest | own, spark.createDataFrame(rows, ddl)).collect()}
+    assert rules({}, [full("1", {"x": True}), full("2", {"x": True})]) == set()
+    assert rules({}, [full("1", {"x": False}), full("1", {"x": True, "y": True})]) == {("1", "incomplete"), ("1", "many_reviews"), ("1", "checks")}
+    assert rules({"counts": {"a": 3}, "required_checks": []}, [full("1", {}), full("2", None, profile="annotation")]) == {(None, "counts"), (None, "required_checks_missing"), ("2", "other_profile")}
+    assert rules({}, []) == {(None, "reviews_total")}
+
+
+def test_metric_scores(spark):
+    df = spark.createDataFrame([(["a"], ["a"], "Straße", "STRASSE"), ([], ["a"], None, "x")], "o array<string>, e array<string>, s string, t string")
+    got = df.select(metrics.id_set_score(df.o, df.e).alias("i"), metrics.match_score(df.s, df.t, False).alias("m"), metrics.regex_score(df.t, "X|S.*", True).alias("r")).collect()
+    assert [(r.i.score, r.i.label, r.m.score, r.m.label, r.r.score) for r in got] == [(1.0, "exact", 1.0, "match", 1.0), (0.0, "empty_wrong", 0.0, "mismatch", 0.0)]
+    cases = spark.createDataFrame([(1, "drop table t", '{"a": true}'), (2, None, None), (3, "select 1", '[null]')], "k int, q string, p string")
+    assert {r.k: (r.score, r.label, r.flags) for r in metrics.safety_scores(cases, "k", "q", "p", ["True", "None"]).collect()} == {1: (0.0, "unsafe", ["write_attempt", "forbidden_value"]), 2: (1.0, "safe", []), 3: (0.0, "unsafe", ["forbidden_value"])}
+
+
 def test_rubrics_and_freeze():
     from datetime import UTC, datetime
 
