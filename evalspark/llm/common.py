@@ -79,6 +79,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def join_spread(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """rows joined with table, which has one row for each of their keys and in weight the number of rows of it.
+
+    Keys with more than a part in 4 times the shuffle partitions of all rows,
+    which are that many at most, are broadcast, so their rows stay spread as they
+    are; all others are joined by a shuffle.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) > total / (4 * partitions(rows.sparkSession))
+    large, small = F.broadcast(table.where(hot).drop(weight)), table.where(~hot).drop(weight)
+    return rows.join(large, key).unionByName(rows.join(large.select(key), key, "left_anti").join(small, key))
+
+
 def ranked(df: DataFrame, group: str, ties: list[str], sizes: dict[int, int], name: str = "rank") -> DataFrame:
     """Adds each row's place, from 0 and without gaps, among the rows of its group.
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import documents, keyed, partitions, save
+from evalspark.llm.common import documents, join_spread, keyed, partitions, save
 from evalspark.llm.graph import components
 
 SEED = 42
@@ -177,12 +177,12 @@ def simhash_groups(docs: DataFrame, *, words: int = 3, threshold: int = 2, id_co
     where a component has no id at all; repeated rows each give a row.
     """
     rows = save(fingerprints(docs, words, id_col=id_col, text_col=text_col).withColumnRenamed("fp0", "fp"), "fingerprints")
-    nodes = save(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    nodes = save(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
     linked = components(links(nodes, threshold))
     groups = nodes.join(linked, nodes["fp"] == linked["node"]).groupBy("root").agg(F.min("first").alias("component_id"))
     named = linked.join(groups, "root").select(F.col("node").alias("fp"), "component_id")
-    ids = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return rows.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    ids = save(nodes.join(named, "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id")), "ids")
+    return join_spread(rows, ids, "fp", "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 #: For near copies: fingerprints of the set of words that choose the anchors, and of runs of words that decide.

@@ -13,6 +13,7 @@ from xxhash import xxh64_intdigest
 
 import public_tokenizers
 from evalspark.llm import bpe, langid, packing, ppm, sharding, simhash, sketch, suffix, topk, urlfilter
+from evalspark.llm.common import join_spread
 
 EXTRA = "doc_id long, text string, lang string, source string, n_chars long, rank int, g string, key string, _bucket long"
 
@@ -364,3 +365,11 @@ def test_sketches_estimate_containment(spark):
     both = sketch.with_sketch(sketch.with_sketch(df, "x", "sx"), "y", "sy")
     part, whole = both.select(sketch.containment(both["sx"], both["sy"]), sketch.containment(both["sy"], both["sx"])).first()
     assert abs(part - 0.75) < 0.06 and whole > 0.98
+
+
+def test_join_spread(spark):
+    rows = spark.createDataFrame([(7, i) for i in range(500)] + [(i % 90, -i) for i in range(100)] + [(100 + i, i) for i in range(50)], "k long, v long")
+    table = rows.groupBy("k").agg(F.count("*").alias("n")).withColumn("name", F.col("k") * 2)
+    got = join_spread(rows, table, "k", "n")
+    assert Counter(tuple(r) for r in got.select("k", "v", "name").collect()) == Counter((r.k, r.v, r.k * 2) for r in rows.collect())
+    assert join_spread(rows.where("false"), table.where("false"), "k", "n").count() == 0
