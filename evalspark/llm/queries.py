@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.llm.bpe import encode_decode
+from evalspark.llm.common import small_batches
 from evalspark.llm.langid import fit, fold, predict
 from evalspark.llm.packing import pack_documents
 from evalspark.llm.ppm import score_documents
@@ -52,6 +53,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return remove_repeats(table(spark, sf_dir, "documents"), 400).drop("kept")
 
 
