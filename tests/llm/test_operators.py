@@ -203,6 +203,58 @@ def test_near_copies(spark):
     assert kept[0].__fields__ == [x.split()[0] for x in EXTRA.split(", ")]
 
 
+def brute_groups(texts, words, similarity):
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))})
+    group = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if len(x & y) / len(x | y) >= similarity:
+                group = [group[j] if g == group[i] else g for g in group]
+    return {frozenset(i for i, g in enumerate(group) if g == k) for k in group}
+
+
+def test_near_groups_by_exact_similarity(spark):
+    """Pairs of similarity 0.7 to 0.95: words replaced, text appended, a line of few words, short texts."""
+    r = random.Random(12)
+    word = lambda n=10**6: f"w{r.randint(0, n)}"
+    some = []
+    for kind in range(200):
+        n = (200, 200, 60, 15, 9)[kind % 5]
+        t = [word(10**6 if kind % 2 else 40) for _ in range(n)]
+        if kind % 5 == 0:
+            other = list(t)
+            for i in r.sample(range(n), r.randint(1, 8)):
+                other[i] = word()
+        else:
+            other = t + [word() for _ in range(r.randint(1, n // 4))]
+        some += [" ".join(t), " ".join(other)]
+    want = brute_groups(some, 5, 0.8)
+    assert 60 < sum(len(x) == 2 for x in want) < 180
+    rows = simhash.near_groups(frame(spark, some)).collect()
+    got = defaultdict(set)
+    for x in rows:
+        got[x.group].add(x.doc_id)
+    got = {frozenset(x) for x in got.values()}
+    # No pair below 0.8 is taken; one of exactly 0.8 is met with probability 0.9993.
+    assert all(len(x) == 1 or x in want for x in got)
+    assert sum(len(x) == 2 for x in want - got) <= 1
+
+
+def test_similar_groups():
+    r = random.Random(13)
+    base = [[r.randint(0, 10**6) for _ in range(r.randint(1, 40))] for _ in range(25)]
+    some = [sorted({x if r.random() > p else r.randint(0, 30) for x in b}) for b in base for p in (0, 0.05, 0.1, 0.2)]
+    group = list(range(len(some)))
+    for i, x in enumerate(some):
+        for j, y in enumerate(some[:i]):
+            if len(set(x) & set(y)) / len(set(x) | set(y)) >= 0.8:
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    assert simhash.similar_groups([np.array(x, dtype=np.uint64) for x in some], 0.8).tolist() == group
+
+
 def brute_repeats(texts, length):
     data = [(t or "").encode() for t in texts]
     seen = Counter(t[i : i + length] for t in data for i in range(len(t) - length + 1))
