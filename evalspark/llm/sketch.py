@@ -9,28 +9,35 @@ from pyspark.sql.window import Window
 from evalspark.llm.common import partitions, save
 
 WORDS = 5
-#: One hash in SCALE is retained, on average, whatever the document's length.
+#: Of long texts one hash in SCALE is retained, on average.
 SCALE = 8
+#: A sketch of fewer hashes takes a larger fraction, up to all hashes.
+LEAST = 32
 
 
-def with_sketch(df: DataFrame, text: str, name: str, *, words: int = WORDS, scale: int = SCALE) -> DataFrame:
-    """Adds the sorted distinct hashes below the fixed fraction of all runs of words.
+def with_sketch(df: DataFrame, text: str, name: str, *, words: int = WORDS, scale: int = SCALE, runs: str | None = None) -> DataFrame:
+    """Adds the sorted distinct hashes below a cut of all runs of words, and in the column runs, if named, all of them.
 
-    A text of fewer words is one run; one without a word has no hash.  Where no
-    hash is below the fraction the least one is kept, so only a text without
-    words has an empty sketch.  The sketch of a union is the union of sketches.
+    The cut lets one hash in scale pass, or where LEAST hashes are not below it
+    one in half of scale, and so on up to all.  A sketch has all hashes below its
+    cut, which follows from the sketch itself, so only a text without words has an
+    empty one.  Below the smaller cut, the sketch of a union is the union of
+    sketches.  A text of fewer words is one run; one without a word has no hash.
     """
-    cut = F.lit(-(1 << 63) + (1 << 64) // scale)
-    runs = F.transform(
+    hashes = F.transform(
         F.sequence(F.lit(0), F.size("_words") - words), lambda i: F.xxhash64(*[F.col("_words").getItem(i + j) for j in range(words)])
     )
-    return (
+    out = (
         df.withColumn("_words", F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
-        .withColumn("_runs", F.when(F.size("_words") >= words, runs).when(F.size("_words") > 0, F.array(F.xxhash64(F.array_join("_words", " ")))).otherwise(F.array().cast("array<bigint>")))
-        .withColumn("_low", F.filter("_runs", lambda h: h < cut))
-        .withColumn(name, F.when((F.size("_low") > 0) | (F.size("_runs") == 0), F.array_sort(F.array_distinct("_low"))).otherwise(F.array(F.array_min("_runs"))))
-        .drop("_words", "_runs", "_low")
+        .withColumn("_runs", F.array_distinct(F.when(F.size("_words") >= words, hashes).when(F.size("_words") > 0, F.array(F.xxhash64(F.array_join("_words", " ")))).otherwise(F.array().cast("array<bigint>"))))
+        .withColumn("_low", F.filter("_runs", lambda h: h < F.lit(-(1 << 63) + (1 << 64) // scale)) if scale > 1 else F.col("_runs"))
     )
+    while scale > 1:
+        scale //= 2
+        more = F.filter("_runs", lambda h, cut=-(1 << 63) + (1 << 64) // scale: h < F.lit(cut)) if scale > 1 else F.col("_runs")
+        out = out.withColumn("_low", F.when(F.size("_low") >= LEAST, F.col("_low")).otherwise(more))
+    out = out.withColumn(name, F.array_sort("_low"))
+    return (out.withColumn(runs, F.col("_runs")) if runs else out).drop("_words", "_runs", "_low")
 
 
 def as_text(sketch: Column) -> Column:
@@ -38,7 +45,10 @@ def as_text(sketch: Column) -> Column:
 
 
 def containment(a: Column, b: Column) -> Column:
-    """The part of a's hashes that b has, which estimates how much of a's document is in b's; of two empty ones 1."""
+    """The part of the sketch a's hashes that b has, which estimates how much of a's document is in b's; of two empty ones 1.
+
+    b has all hashes of its document, or is a sketch with a cut that isn't smaller.
+    """
     return F.when(F.size(a) == 0, (F.size(b) == 0).cast("double")).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
@@ -68,7 +78,8 @@ def edited_fingerprints(docs: DataFrame, *, words: int = WORDS, scale: int = SCA
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited and near_next.  The edited text has its last quarter replaced by
     the beginning of the next document.  A fingerprint is the sketch's hashes in
-    hexadecimal; likeness is the part of the document's hashes the other has.
+    hexadecimal; likeness is the part of them that is among all runs of the other
+    text, so it is exact where the sketch has all hashes.
 
     A null text is empty, and equal texts have equal fingerprints.  Null ids
     come first in the order, equal ids follow in the order of their text's hash.
@@ -81,25 +92,31 @@ def edited_fingerprints(docs: DataFrame, *, words: int = WORDS, scale: int = SCA
     ids = base.groupBy("a", "b", "doc_id", F.length("text").cast("long").alias("n_chars")).agg(F.count("*").alias("rows"))
     order = save(following(ids), "next")
     repeated = order.count() < docs.count()
-    texts = with_sketch(base.select("a", "b", "text"), "text", "sketch", words=words, scale=scale).repartition(partitions(docs.sparkSession), "a", "b")
-    wanted = order.select(F.col("a").alias("from_a"), F.col("b").alias("from_b"), F.floor(F.col("n_chars") / 4).cast("int").alias("k"), F.col("next_a").alias("a"), F.col("next_b").alias("b"))
-    sent = texts.join(wanted.hint("shuffle_hash"), ["a", "b"]).select(
-        F.col("from_a").alias("a"), F.col("from_b").alias("b"), F.substring("text", F.lit(1), F.col("k")).alias("head"), F.col("sketch").alias("next_sketch")
+    # Texts are shuffled once for three uses, without sketches: making these again takes no disk.
+    texts = base.select("a", "b", "text").repartition(partitions(docs.sparkSession), "a", "b")
+    sketched = with_sketch(texts, "text", "sketch", words=words, scale=scale)
+    sketches = sketched.select("a", "b", "sketch").join(order.hint("shuffle_hash"), ["a", "b"])
+    if repeated:
+        sketches = sketches.dropDuplicates(["a", "b"])
+    # Each sketch goes to the next text, where all runs of that are at hand.
+    wanted = sketches.select(F.col("a").alias("from_a"), F.col("b").alias("from_b"), F.floor(F.col("n_chars") / 4).cast("int").alias("k"), "sketch", F.col("next_a").alias("a"), F.col("next_b").alias("b"))
+    sent = with_sketch(texts, "text", "_own", words=words, scale=1, runs="next_runs").join(wanted.hint("shuffle_hash"), ["a", "b"]).select(
+        F.col("from_a").alias("a"), F.col("from_b").alias("b"), F.substring("text", F.lit(1), F.col("k")).alias("head"), containment(F.col("sketch"), F.col("next_runs")).alias("near_next")
     )
     if repeated:
         sent = sent.dropDuplicates(["a", "b"])
     n = F.length("text").cast("long")
     whole = (
-        texts.join(sent.hint("shuffle_hash"), ["a", "b"])
+        sketched.join(sent.hint("shuffle_hash"), ["a", "b"])
         .join(order.select("a", "b", "doc_id").hint("shuffle_hash"), ["a", "b"])
-        .select("doc_id", "sketch", "next_sketch", n.alias("n_chars"), F.concat(F.substring("text", F.lit(1), (n - F.floor(n / 4)).cast("int")), "head").alias("edited"))
+        .select("doc_id", "sketch", "near_next", n.alias("n_chars"), F.concat(F.substring("text", F.lit(1), (n - F.floor(n / 4)).cast("int")), "head").alias("edited"))
     )
-    return with_sketch(whole, "edited", "edited_sketch", words=words, scale=scale).select(
+    return with_sketch(whole, "edited", "edited_sketch", words=words, scale=scale, runs="edited_runs").select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         as_text(F.col("sketch")).alias("fingerprint"),
         as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        containment(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        containment(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        containment(F.col("sketch"), F.col("edited_runs")).alias("near_edited"),
+        "near_next",
     )

@@ -420,6 +420,28 @@ def test_sketches_estimate_containment(spark):
     assert abs(part - 0.75) < 0.06 and whole > 0.98
 
 
+def test_short_texts_in_long_ones(spark):
+    """Texts of 5 to 40 words that the next text holds whole, and likeness to the edited text."""
+    r = random.Random(14)
+    some = []
+    for n in (5, 8, 12, 20, 40) * 12:
+        short = [f"w{r.randint(0, 10**6)}" for _ in range(n)]
+        long = [f"w{r.randint(0, 10**6)}" for _ in range(900)]
+        some += [" ".join(short), " ".join(long[:400] + short + long[400:])]
+    runs = lambda t: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(max(1, len(w) - 4))}
+    rows = {x.doc_id: x for x in sketch.edited_fingerprints(frame(spark, some)).collect()}
+    for i, t in enumerate(some):
+        after = some[(i + 1) % len(some)]
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        own, near = runs(t), (rows[i].near_edited, rows[i].near_next)
+        want = (len(own & runs(edited)) / len(own), len(own & runs(after)) / len(own))
+        if i % 2 == 0:
+            assert want[1] == 1 and near == pytest.approx(want)
+            assert len(rows[i].fingerprint) == 16 * len(own)
+        else:
+            assert abs(near[0] - want[0]) < 0.2 and near[1] <= want[1] + 0.2
+
+
 def test_join_spread(spark):
     rows = spark.createDataFrame([(7, i) for i in range(500)] + [(i % 90, -i) for i in range(100)] + [(100 + i, i) for i in range(50)], "k long, v long")
     table = rows.groupBy("k").agg(F.count("*").alias("n")).withColumn("name", F.col("k") * 2)
