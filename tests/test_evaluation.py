@@ -33,6 +33,25 @@ def test_query_against_sql(spark, name):
     assert Counter(pick(r, names) for r in want.fetchall()) == Counter(pick(tuple(r), got.columns) for r in got.collect())
 
 
+def test_spans_of_all_orders(spark):
+    orders = spark.read.parquet(f"{DATA}/orders.parquet").select("o_custkey", "o_orderkey", "o_orderstatus").collect()
+    iou = lambda a, b: max(0, 8 - abs(a - b)) / (8 + abs(a - b))
+    want, pairs = {}, {}
+    for c in {o.o_custkey for o in orders}:
+        gold, guess = (sorted(o.o_orderkey % 40 for o in orders if o.o_custkey == c and o.o_orderstatus == s) for s in "FO")
+        every = sorted(((iou(a, b), i, j) for i, a in enumerate(gold) for j, b in enumerate(guess)), reverse=True)
+        left, right = set(), set()
+        for x, i, j in every:
+            if x >= 0.3 and i not in left and j not in right:
+                left.add(i)
+                right.add(j)
+        want[c] = (len(left), len(guess) - len(left), len(gold) - len(left))
+        if every:
+            pairs[c] = (len(every), round(every[0][0], 9))
+    assert {r.case_id: (r.tp, r.fp, r.fn) for r in QUERIES["q22_span_f1"](spark, DATA).collect()} == want
+    assert {r.case_id: (r.pairs, r.best_iou) for r in QUERIES["q22_span_overlap_all"](spark, DATA).collect()} == pairs
+
+
 def test_streaming_equals_batch(spark):
     batch = QUERIES["q17_ledger_checkpoints"](spark, DATA).collect()
     assert Counter(map(tuple, QUERIES["q32_stream_checkpoints"](spark, DATA).collect())) == Counter(map(tuple, batch))
