@@ -123,8 +123,21 @@ def q05_ordered_topk(spark, d):
     w AS (SELECT c, v, lag(v) OVER (PARTITION BY c ORDER BY r) b FROM v WHERE r <= 3)
     SELECT CAST(c AS VARCHAR) AS case_id, CASE WHEN bool_or(v > b) THEN 'silent_wrong' ELSE 'correct' END AS verdict, CASE WHEN bool_or(v > b) THEN 'wrong_order' END AS subtype FROM w GROUP BY 1""")
 def q06_ordered_sort_column(spark, d):
-    o = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").cast("string").alias("k"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("r"), F.floor(F.col("o_totalprice") / 100000).cast("string").alias("v"))
-    lists = o.where("r <= 3").groupBy(F.col("o_custkey").cast("string").alias("case_id")).agg(F.array_sort(F.collect_list(F.struct("r", "k", "v"))).alias("x"))
+    return _by_sort_column(_numbered_orders(spark, d).where("r <= 3"))
+
+
+@query()
+def q06_ordered_sort_column_all(spark, d):
+    """As q06_ordered_sort_column, over all orders of a customer and not only the first three of its SQL."""
+    return _by_sort_column(_numbered_orders(spark, d))
+
+
+def _numbered_orders(spark, d):
+    return table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").cast("string").alias("k"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("r"), F.floor(F.col("o_totalprice") / 100000).cast("string").alias("v"))
+
+
+def _by_sort_column(o):
+    lists = o.groupBy(F.col("o_custkey").cast("string").alias("case_id")).agg(F.array_sort(F.collect_list(F.struct("r", "k", "v"))).alias("x"))
     rows = F.transform("x", lambda x: F.create_map(F.lit("id"), x["k"], F.lit("v"), x["v"]))
     seen = _filled(lists.select("case_id", rows.alias("rows")), compare.OBSERVATIONS, executed=F.lit(True).alias("executed"))
     gold = _filled(lists.select("case_id", F.transform("x", lambda x: x["k"]).alias("ids")), compare.GOLDENS, kind=F.lit("ordered").alias("kind"), id_column=F.lit("id").alias("id_column"), sort_column=F.lit("v").alias("sort_column"))

@@ -52,6 +52,17 @@ def test_spans_of_all_orders(spark):
     assert {r.case_id: (r.pairs, r.best_iou) for r in QUERIES["q22_span_overlap_all"](spark, DATA).collect()} == pairs
 
 
+def test_sort_column_of_all_orders(spark):
+    lists = {}
+    for o in sorted(spark.read.parquet(f"{DATA}/orders.parquet").collect(), key=lambda o: o.o_orderkey):
+        lists.setdefault(str(o.o_custkey), []).append(o.o_totalprice // 100000)
+    rises = lambda x: any(b > a for a, b in itertools.pairwise(x))
+    assert any(rises(x) and not rises(x[:3]) for x in lists.values())
+    want = {c: ("silent_wrong", "wrong_order") if rises(x) else ("correct", None) for c, x in lists.items()}
+    rows = QUERIES["q06_ordered_sort_column_all"](spark, DATA).collect()
+    assert len(rows) == len(want) and {r.case_id: (r.verdict, r.subtype) for r in rows} == want
+
+
 def test_streaming_equals_batch(spark):
     batch = QUERIES["q17_ledger_checkpoints"](spark, DATA).collect()
     assert Counter(map(tuple, QUERIES["q32_stream_checkpoints"](spark, DATA).collect())) == Counter(map(tuple, batch))
