@@ -121,10 +121,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, factor: int =
     Vectors that are null or hold a null or a component that isn't finite, and
     null ids, take no part; only vectors of equal length are compared; ties go
     to the smaller id; rows with the query's id are its own, whatever they hold,
-    and a repeated query is answered once; fewer than k rows give them all.
+    and a query repeated with the same vector is answered once, with other
+    vectors by one ranking of the products of all of them; fewer than k rows give them all.
     """
     part = lambda df: df.select(F.col(id_col).cast("long").alias("id"), whole_numbers(F.col(vector_col), factor).alias("v")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
-    left, right = part(queries).dropDuplicates(["id"]), part(vectors)
+    left, right = part(queries).dropDuplicates(["id", "v"]), part(vectors)
     n_left, n_right = queries.count(), vectors.count()
     by_left, by_right = max(1, -(-n_left // per_block)), max(1, -(-n_right // rows))
     left = left.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(by_left))).withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(by_right - 1)).cast("array<bigint>")))

@@ -391,6 +391,12 @@ def test_top_k(spark, blocks):
     assert topk.top_k(vectors.where("false"), vectors.where("false"), 5).count() == 0
 
 
+def test_top_k_of_a_query_with_two_vectors(spark):
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [3.0, 0.0]), (2, [0.0, 2.0]), (3, [1.0, 0.5])], "vec_id long, embedding array<float>")
+    rows = topk.top_k(vectors, vectors.where("vec_id = 0"), 3, factor=2).collect()
+    assert sorted(map(tuple, rows)) == [(0, 1, 1, 12), (0, 2, 2, 8), (0, 3, 3, 4)]
+
+
 def test_sketches(spark, texts, ids):
     rows = sketch.edited_fingerprints(frame(spark, texts, ids)).collect()
     assert len(rows) == len(texts)
