@@ -2,66 +2,142 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
+#: Folders of tables that this process wrote and has not deleted.
+_written: dict[str, SparkSession] = {}
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder in the shared folder the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is missing, as in tests on one machine, a temporary
-    folder is taken instead.
+    Only where that setting is missing and driver and executors are one process
+    on one machine, as in tests, a temporary folder is taken instead.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="evalspark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-#: Spark deletes the shuffle files of a query at its end if this is set.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written, Spark deletes the shuffle files of the query at its end, and Python gets batches of
+#: bounded rows and bytes: whole texts make batches of Spark's usual 10,000 rows large.  So do those of a scan.
+WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
+}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session has these settings inside, and those it had before afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def save(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage and survives lost executors.
 
-    The shuffle files behind the table go once it is written.
+    The session's settings are the same afterwards.  The table stays until
+    drop() or clear() or the end of the driver's process.
     """
     spark = df.sparkSession
-    path, before = f"{scratch(spark)}/{name}", spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    top = scratch(spark)
+    if not _written:
+        atexit.register(clear)
+    _written[top] = spark
+    with settings(spark, WRITING):
+        df.write.parquet(f"{top}/{name}")
+    return spark.read.schema(df.schema).parquet(f"{top}/{name}")
 
 
-def drop(df: DataFrame) -> None:
-    """Deletes the files of a table that save() wrote."""
-    spark = df.sparkSession
-    for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(top)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(top: str) -> None:
+    spark = _written.pop(top)
+    path = spark._jvm.org.apache.hadoop.fs.Path(top)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes the folders of tables that save() wrote."""
+    for df in tables:
+        for top in {f.rsplit("/", 2)[0] for f in df.inputFiles()}:
+            for known in [t for t in _written if t.rsplit("/", 1)[1] == top.rsplit("/", 1)[1]]:
+                _delete(known)
+
+
+def drop_since(before: list[str], *keep: DataFrame) -> None:
+    """Deletes the folders written since written() gave before, but for those of the tables to keep."""
+    kept = {f.rsplit("/", 3)[1] for df in keep for f in df.inputFiles()}
+    clear([t for t in _written if t not in set(before) and t.rsplit("/", 1)[1] not in kept])
+
+
+def written() -> list[str]:
+    """The folders of tables that stand at this time."""
+    return list(_written)
+
+
+def clear(tops: Iterable[str] | None = None) -> None:
+    """Deletes these folders, or all that save() wrote and drop() has left; frames that read them can't be used any more."""
+    for top in list(_written) if tops is None else tops:
+        with suppress(Exception):  # at the end of the process the session may be gone
+            _delete(top)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, after which a worker process gives freed memory back; workers are used again by later tasks."""
 
+    def leaner(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
 
-#: Rows in a batch that Python gets; whole texts make batches of Spark's usual 10,000 rows large.
-BATCH_ROWS = 1024
+    return leaner
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Holds batches sent to Python to BATCH_ROWS rows, unless the session asks for fewer."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+def slices(batches: Iterator[pa.RecordBatch], text: int, rows: int = 512, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batches cut to so many rows, and to about size bytes of the column numbered text; a longer text comes alone."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(ends):
+            before = ends[at - 1] if at else 0
+            end = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, side="right"))))
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.llm.bpe import encode_decode
-from evalspark.llm.common import small_batches
 from evalspark.llm.langid import fit, fold, predict
 from evalspark.llm.packing import pack_documents
 from evalspark.llm.ppm import score_documents
@@ -53,12 +52,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
-    return remove_repeats(table(spark, sf_dir, "documents"), 400).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents"), 400).withColumnRenamed("kept", "text")
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     scored = score_documents(docs, docs.where(fold("doc_id", 7) != 2))
     return scored.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -4,8 +4,9 @@ A passage of LENGTH bytes is repeated if it starts at two places of the corpus.
 Each window of that length picks the least hash among its runs of GRAM bytes as
 its anchor, so equal windows pick the same anchor at the same place.  Windows
 next to each other with one anchor make up a context.  Contexts whose anchor
-occurs once can't repeat; all others are compared by sorting the suffixes at
-their windows.
+occurs once can't repeat; of all others the suffixes at their windows are
+sorted, and what a suffix shares with the one before it decides.  Contexts alike
+are sorted as two, so copies too are found by the sort and not by counting.
 """
 
 from __future__ import annotations
@@ -19,17 +20,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import keyed, partitions, save
+from evalspark.llm.common import drop, drop_since, keyed, lean, partitions, save, slices, written
 
 LENGTH, GRAM = 400, 32
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _INDEX = np.uint64((1 << 24) - 1)
-#: Distinct contexts of one anchor that are sorted in one task; more are split into narrower ones.
-HOT = 1024
-#: Windows of a context after each splitting; one window at last, which counting settles.
+#: Windows of the contexts of one anchor that are sorted in one task; groups of more are split into narrower ones.
+HOT = 1 << 16
+#: Windows of a context after each splitting.
 WIDTHS = (32, 4, 1)
-#: Windows that are sorted at once.
-LIVE = 1 << 18
+#: Windows that are sorted at once, besides those of one group.
+LIVE = 1 << 16
 
 
 def _hashes(data: np.ndarray) -> np.ndarray:
@@ -169,48 +170,52 @@ def _sort(classes: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        live, last = 0, None
+        live, last = 0, (None, None)
 
         def out() -> Iterator[pa.RecordBatch]:
             rows: list[tuple[bytes, int, int]] = []
-            for (_, c, n, _, dup), hit in zip(held, repeated_windows([x[3] for x in held], [x[2] for x in held], length), strict=True):
-                for a, b in [(0, n - 1)] if dup else zip(*_intervals(hit), strict=True):
-                    rows.append((c, a, b))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.int32(), pa.int32()), strict=True)], names=["c", "first", "last"])
-
-        for batch in batches:
+            twins = [x for x in held if x[4]]
+            hits = repeated_windows([x[3] for x in held + twins], [x[2] for x in held + twins], length)
+            for (_, c, *_), hit in zip(held, hits, strict=False):
+                rows += [(c, a, b) for a, b in zip(*_intervals(hit), strict=True)]
+            for at in range(0, len(rows), 1 << 14):
+                columns = zip(zip(*rows[at : at + (1 << 14)], strict=True), (pa.binary(), pa.int32(), pa.int32()), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names=["c", "first", "last"])
+
+        for batch in slices(batches, 3):
             for row in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-                if row[0] != last and live >= LIVE:
+                if row[:2] == last:  # rows alike in id and text give the same context twice
+                    continue
+                if row[0] != last[0] and live >= LIVE:
                     yield from out()
                     held, live = [], 0
                 held.append(row)
-                live, last = live + row[2], row[0]
+                live, last = live + row[2], row[:2]
         if held:
             yield from out()
 
     parts = partitions(classes.sparkSession)
-    rows = classes.select("g", "c", "n", "ctx", "dup").repartition(parts, "g").sortWithinPartitions("g")
-    return rows.mapInArrow(run, "c binary, first int, last int")
+    rows = classes.select("g", "c", "n", "ctx", "dup").repartition(parts, "g").sortWithinPartitions("g", "c")
+    return rows.mapInArrow(lean(run), "c binary, first int, last int")
 
 
-def _solve(classes: DataFrame, length: int, widths: tuple[int, ...], hot: int) -> DataFrame:
-    """Repeated windows of contexts (g, c, n, off, ctx, dup), which are distinct; dup ones occur twice or more.
+def _solve(classes: DataFrame, sizes: DataFrame, length: int, widths: tuple[int, ...], hot: int) -> DataFrame:
+    """Repeated windows of contexts (g, c, n, off, ctx, dup); dup ones occur twice or more, whether or not they stand here twice.
 
-    Groups of over hot contexts are split: each context into slices of width
-    windows, at fixed distances from the anchor, grouped by the bytes that all
-    windows of the slice have in common.  Slices alike are one, and those alone
-    in their group can't repeat.
+    sizes has the windows of each group g.  Groups of over hot windows are split:
+    each context into slices of width windows, at fixed distances from the
+    anchor, grouped by the bytes that all windows of the slice have in common.
+    Slices alike are one, and those alone in their group can't repeat.
     """
-    sizes = classes.groupBy("g").agg(F.count("*").alias("size"))
-    large = sizes.where(F.col("size") > hot)
-    if not widths or large.isEmpty():
+    large = save(sizes.where(F.col("size") > hot).select("g"), "large") if widths else None
+    if large is None or large.isEmpty():
         return _sort(classes, length)
     small = _sort(classes.join(large, "g", "left_anti"), length)
     width = widths[0]
     slice_ = lambda x: F.floor(x / width)
     cut = (
-        classes.join(large.select("g"), "g")
+        classes.join(large, "g")
+        .dropDuplicates(["g", "c"])
         .withColumn("j", F.explode(F.sequence(slice_(F.col("off") - F.col("n") + 1), slice_(F.col("off")))))
         # Windows whose distance to the anchor is from j * width to j * width + width - 1.
         .withColumn("from", F.greatest(F.lit(0), F.col("off") - F.col("j") * width - (width - 1)).cast("int"))
@@ -222,13 +227,10 @@ def _solve(classes: DataFrame, length: int, widths: tuple[int, ...], hot: int) -
         .withColumn("c", F.unhex(F.md5(F.concat(F.col("ctx"), F.concat_ws(",", "g", "n", "off").cast("binary")))))
     )
     cut = save(cut, "slices")
-    narrow = cut.groupBy("g", "c").agg(F.first("n").alias("n"), F.first("off").alias("off"), F.first("ctx").alias("ctx"), (F.max("dup") | (F.count("*") > 1)).alias("dup"))
-    met = narrow.groupBy("g").agg(F.count("*").alias("size"), F.max("dup").alias("any")).where("size > 1 OR any")
-    narrow = save(narrow.join(met.select("g"), "g"), "narrow")
-    if width == 1:
-        found = narrow.where("dup").select("c", F.lit(0).alias("first"), F.lit(0).alias("last"))
-    else:
-        found = _solve(narrow, length, widths[1:], hot)
+    narrow = save(cut.groupBy("g", "c").agg(F.first("n").alias("n"), F.first("off").alias("off"), F.first("ctx").alias("ctx"), (F.max("dup") | (F.count("*") > 1)).alias("dup")), "narrow")
+    met = narrow.groupBy("g").agg(F.sum(F.col("n") * (1 + F.col("dup").cast("int"))).alias("size"), (F.max("dup") | (F.count("*") > 1)).alias("met"))
+    met = save(met.where("met").select("g", "size"), "met")
+    found = _solve(narrow.join(met.select("g"), "g"), met, length, widths[1:], hot)
     back = found.join(cut.select("whole", "c", "from"), "c")
     return small.union(back.select(F.col("whole").alias("c"), (F.col("first") + F.col("from")).alias("first"), (F.col("last") + F.col("from")).alias("last")))
 
@@ -237,31 +239,40 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, *, hot: int = HOT, wi
     """(a, b, ranges): for each key, the windows that are repeated, as [first, last] pairs.  rows: a, b, bytes."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 512):
-                some = batch.slice(at, 512)
-                texts = some.column(2).to_pylist()
-                found = [(doc, p, n, off, key, xxhash.xxh3_128_digest(ctx + b"%d,%d" % (n, off), key & 0xFFFFFFFF)) for doc, p, n, off, key, ctx in contexts(texts, length)]
-                if found:
-                    doc, p, n, off, key, c = zip(*found, strict=True)
-                    doc = pa.array(doc)
-                    yield pa.RecordBatch.from_arrays([some.column(0).take(doc), some.column(1).take(doc), pa.array(p, pa.int64()), pa.array(n, pa.int32()), pa.array(off, pa.int32()), pa.array(key, pa.int64()), pa.array(c, pa.binary())], names=["a", "b", "p", "n", "off", "g", "c"])
-
-    places = save(rows.select("a", "b", "bytes").mapInArrow(find, "a long, b long, p long, n int, off int, g long, c binary"), "contexts")
-    classes = places.groupBy("g", "c").agg(F.count("*").alias("rows"), F.min(F.struct("a", "b", "p", "n", "off")).alias("at"))
-    groups = classes.groupBy("g").agg(F.count("*").alias("size"), F.sum("rows").alias("rows")).where("rows > 1").select("g", "size")
-    classes = save(classes.join(groups, "g").select("g", "c", "size", (F.col("rows") > 1).alias("dup"), "at.*"), "classes")
-    # A context that is alone with its copies is repeated as a whole; the bytes of the others are fetched.
-    alone = classes.where("size = 1").select("c", F.lit(0).alias("first"), (F.col("n") - 1).alias("last"))
-    wanted = classes.where("size > 1").groupBy("a", "b").agg(F.collect_list(F.struct("g", "c", "n", "off", "dup", "p")).alias("wanted"))
+        for some in slices(batches, 2, size=BLOCK):
+            found = []
+            for doc, p, n, off, key, ctx in contexts(some.column(2).to_pylist(), length):
+                found.append((doc, p, n, off, key, xxhash.xxh3_128_digest(ctx + b"%d,%d" % (n, off), key & 0xFFFFFFFF)))
+                if len(found) >= 1 << 14:
+                    yield table(some, found)
+                    found = []
+            if found:
+                yield table(some, found)
+
+    def table(some: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+        doc, p, n, off, key, c = zip(*found, strict=True)
+        doc = pa.array(doc)
+        return pa.RecordBatch.from_arrays([some.column(0).take(doc), some.column(1).take(doc), pa.array(p, pa.int64()), pa.array(n, pa.int32()), pa.array(off, pa.int32()), pa.array(key, pa.int64()), pa.array(c, pa.binary())], names=["a", "b", "p", "n", "off", "g", "c"])
+
+    before = written()
+    places = save(rows.select("a", "b", "bytes").mapInArrow(lean(find), "a long, b long, p long, n int, off int, g long, c binary"), "contexts")
+    # c settles n and off; a, b and p are those of whichever row comes first.
+    classes = places.groupBy("g", "c").agg(F.count("*").alias("rows"), F.first("a").alias("a"), F.first("b").alias("b"), F.first("p").alias("p"), F.first("n").alias("n"), F.first("off").alias("off"))
+    # Twins of copies count, as they are sorted too.
+    sizes = classes.groupBy("g").agg(F.sum("rows").alias("rows"), F.sum(F.col("n") * F.when(F.col("rows") > 1, 2).otherwise(1)).alias("size"))
+    sizes = save(sizes.where("rows > 1").select("g", "size"), "sizes")
+    classes = save(classes.join(sizes.select("g"), "g"), "classes")
+    wanted = classes.groupBy("a", "b").agg(F.collect_list(F.struct("g", "c", "n", "off", (F.col("rows") > 1).alias("dup"), "p")).alias("wanted"))
     mixed = (
         rows.select("a", "b", "bytes")
         .join(wanted.hint("shuffle_hash"), ["a", "b"])
         .select("bytes", F.explode("wanted").alias("w"))
         .select("w.g", "w.c", "w.n", "w.off", "w.dup", F.expr(f"substring(bytes, CAST(w.p AS INT) + 1, w.n + {length - 1})").alias("ctx"))
-        .dropDuplicates(["g", "c"])  # rows alike in id and text give the same
     )
-    found = alone.union(_solve(save(mixed, "mixed"), length, widths, hot))
+    mixed = save(mixed, "mixed")
+    drop(classes)
+    found = save(_solve(mixed, sizes, length, widths, hot), "found")
+    drop_since(before, places, found)
     return (
         places.join(found, "c")
         .groupBy("a", "b")
@@ -287,7 +298,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, *, id_col: str = "doc_
     ranges = repeated_ranges(rows, length, hot=hot, widths=widths)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             out = []
             for data, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 spans = sorted((s["first"], s["last"] + length) for s in spans or ())
@@ -300,9 +311,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, *, id_col: str = "doc_
                 kept.append(data[at:])
                 left = b"".join(kept)
                 out.append((len(data), len(data) - len(left), runs, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 3 + [pa.string()] * 2, strict=True)), *batch.columns[3:]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *names])
+            columns = zip(zip(*out, strict=True), [pa.int64()] * 3 + [pa.string()] * 2, strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in columns), *batch.columns[3:]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *names])
 
     schema = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string", *(f"{n} {kinds[c]}" for n, c in zip(names, keep, strict=True))])
-    done = rows.join(ranges.hint("shuffle_hash"), ["a", "b"], "left").select("doc_id", "bytes", "ranges", *names).mapInArrow(cut, schema)
+    done = rows.join(ranges.hint("shuffle_hash"), ["a", "b"], "left").select("doc_id", "bytes", "ranges", *names).mapInArrow(lean(cut), schema)
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)))
