@@ -8,39 +8,38 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.functions.hashing import json_number
 from evalspark.functions.text import normalize_key
 
 
-def walk(df: DataFrame, key: str, json_col: str, depth: int = 12) -> DataFrame:
-    """(key, name, value, kind) of every scalar in a JSON text, level by level; JSON deeper than depth raises an error."""
-    level = df.select(key, F.lit(None).cast("string").alias("name"), F.try_parse_json(json_col).alias("v")).where("v IS NOT NULL")
-    found = None
-    for at in range(depth + 1):
-        kind = F.schema_of_variant("v")
-        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        flat = level.where(~nested).select(key, "name", F.expr("try_variant_get(v, '$', 'string')").alias("value"), kind.alias("kind"))
-        found = flat if found is None else found.union(flat)
-        inner = level.where(nested)
-        if at == depth:
-            return found.union(inner.select(key, "name", F.raise_error(F.lit("JSON is nested too deeply")).cast("string"), F.lit("")))
-        level = _exploded(inner, key)
-    return found
+#: A text of JSON, without recursion and so of any length, and what may follow if it is a key; or another scalar.
+_TEXT = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_TOKEN = _TEXT + r"\s*+:?+|true|false|null|-?[0-9][0-9.eE+-]*+"
+# Fixed value: names in brackets.
+BRACKETED = r"\[([^\]]+)\]"
 
 
-def _exploded(df: DataFrame, key: str) -> DataFrame:
-    keep = df.select(F.col(key).alias("_k"), F.col("name").alias("_n"), F.col("v").alias("_v"))
-    name = f"_walk_{id(df)}"
-    keep.createOrReplaceTempView(name)
-    out = df.sparkSession.sql(f"SELECT _k, coalesce(e.key, _n) AS name, e.value AS v FROM {name}, LATERAL variant_explode(_v) AS e")
-    return out.select(F.col("_k").alias(key), "name", "v")
+def scalars(json_col: Column | str) -> Column:
+    """All scalars of a JSON text at any depth, as Python prints them; null where the text isn't JSON.
+
+    One pass over the text finds its tokens: a text is read as a whole, so
+    nothing within it counts, and one before a colon is a key.
+    """
+    text = F.col(json_col) if isinstance(json_col, str) else json_col
+    tokens = F.filter(F.regexp_extract_all(text, F.lit(_TOKEN), 0), lambda t: ~t.endswith(":"))
+    read = F.from_json(F.concat(F.lit("["), F.array_join(tokens, ","), F.lit("]")), "array<string>")
+    shown = lambda t, v: F.when(t.startswith('"'), v).when(t == "true", "True").when(t == "false", "False").when(t == "null", "None").when(t.rlike("[.eE]"), json_number(t.try_cast("double"))).when(t == "-0", "0").otherwise(t)
+    return F.when(F.try_parse_json(text).isNotNull(), F.zip_with(tokens, read, shown))
+
+
+def forbidden_value(json_col: Column | str, forbidden: list[str]) -> Column:
+    """Whether a scalar anywhere in the JSON, keys apart, is one of the forbidden texts."""
+    return F.coalesce(F.arrays_overlap(scalars(json_col), F.array(*map(F.lit, forbidden)).cast("array<string>")), F.lit(False))
 
 
-def has_forbidden_value(df: DataFrame, key: str, json_col: str, forbidden: list[str], depth: int = 3) -> DataFrame:
-    """(key, forbidden) for each row of df: whether a scalar anywhere in the JSON is one of the forbidden texts."""
-    # Truth values and null count under the names that Python prints.
-    value = F.when(F.col("kind") == "BOOLEAN", F.initcap("value")).when(F.col("kind") == "VOID", "None").otherwise(F.col("value"))
-    hits = walk(df, key, json_col, depth).groupBy(key).agg(F.max(F.coalesce(value.isin(forbidden), F.lit(False))).alias("hit"))
-    return df.select(key).join(hits, key, "left").select(key, F.coalesce("hit", F.lit(False)).alias("forbidden"))
+def has_forbidden_value(df: DataFrame, key: str, json_col: str, forbidden: list[str]) -> DataFrame:
+    """(key, forbidden) for each row of df: one scan, at any depth."""
+    return df.select(key, forbidden_value(json_col, forbidden).alias("forbidden"))
 
 
 def query_fields(text: Column) -> Column:
@@ -52,10 +51,10 @@ def query_fields(text: Column) -> Column:
     quotes within texts are escaped.
     """
     text = F.coalesce(text, F.lit(""))
-    listed = F.regexp_extract_all(text, F.lit(r"\[([^\]]+)\]"), 1)
+    listed = F.regexp_extract_all(text, F.lit(BRACKETED), 1)
     printed = F.coalesce(F.to_json(F.try_parse_json(text)), F.lit(""))
-    keyed = F.regexp_extract_all(printed, F.lit(r'[{,]"(?:field|value_field)":"((?:[^"\\]|\\.)*)"'), 1)
-    read = F.transform(keyed, lambda x: F.get_json_object(F.concat(F.lit('{"v":"'), x, F.lit('"}')), "$.v"))
+    keyed = F.regexp_extract_all(printed, F.lit(rf'[{{,]"(?:field|value_field)":({_TEXT})'), 1)
+    read = F.transform(keyed, lambda x: F.get_json_object(F.concat(F.lit('{"v":'), x, F.lit("}")), "$.v"))
     names = F.transform(F.concat(listed, read), lambda n: normalize_key(F.substring_index(n, ".", -1)))
     return F.array_sort(F.array_distinct(F.filter(names, lambda n: n != "")))
 

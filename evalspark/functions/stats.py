@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def required_successes(n: Column) -> Column:
-    """Two thirds, rounded up."""
-    return F.floor((n * 2 + 2) / 3).cast("int")
+    """Two thirds, rounded up; fewer than one attempt raises an error."""
+    return F.when(n < 1, F.raise_error(F.lit("at least one attempt is required")).cast("int")).otherwise(F.floor((n * 2 + 2) / 3).cast("int"))
 
 
 def threshold_strictness(n: Column) -> Column:
@@ -16,7 +16,11 @@ def threshold_strictness(n: Column) -> Column:
 
 
 def reporting_probability(rate: Column, n: Column) -> Column:
-    """The chance of reaching the required successes: the upper tail of the binomial distribution."""
+    """The chance of reaching the required successes: the upper tail of the binomial distribution.
+
+    A rate outside 0 to 1 raises an error.
+    """
+    rate = F.when((rate < 0) | (rate > 1) | F.isnan(rate), F.raise_error(F.lit("a rate lies between 0 and 1")).cast("double")).otherwise(rate)
     start = F.struct(F.lit(1.0).alias("ways"), F.lit(0.0).alias("sum"))
     need = required_successes(n)
 
