@@ -6,9 +6,12 @@ rest are expressions over that row.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.functions.hashing import content_hash_of, json_list, json_number, json_text
 from evalspark.functions.jsonwalk import query_fields
 from evalspark.functions.sets import scores_of_counts, set_relation, set_scores
 from evalspark.functions.text import close, contains_write_verb, normalize_key, numeric, strip
@@ -25,7 +28,7 @@ GOLDENS = """case_id string, kind string, expected_outcome string, id_column str
 OBSERVATIONS = """case_id string, executed boolean, disposition string, query_text string, columns array<string>,
     ids array<string>, rows array<map<string,string>>, row_count bigint, ids_truncated boolean, rows_truncated boolean,
     truncated boolean, attempts array<struct<round:int,error_code:string,error_text:string>>, failure_stage string,
-    query_fields array<string>, scope_predicates_present boolean, write_attempted boolean"""
+    failure_code string, failure_message string, query_fields array<string>, scope_predicates_present boolean, write_attempted boolean"""
 
 
 def _list(name: str, kind: str = "string") -> Column:
@@ -87,13 +90,34 @@ def observed_fields() -> Column:
     return F.array_distinct(F.when(F.size(stated) > 0, _last_parts(stated)).otherwise(query_fields(F.col("query_text"))))
 
 
-def _fields_conform() -> Column:
+def _field_conformance() -> Column:
     """All required fields are there, and no others than these and the allowed ones, if any are named."""
-    required = _last_parts(_list("required_fields"))
-    allowed = F.array_union(_last_parts(_list("allowed_fields")), required)
-    missing = F.size(F.array_except(required, F.col("_fields"))) > 0
-    extra = (F.size(allowed) > 0) & (F.size(F.array_except(F.col("_fields"), allowed)) > 0)
-    return ~missing & ~extra
+    required = F.array_sort(F.array_distinct(_last_parts(_list("required_fields"))))
+    allowed = F.array_sort(F.array_union(_last_parts(_list("allowed_fields")), required))
+    missing = F.array_except(required, F.col("_fields"))
+    extra = F.when(F.size(allowed) > 0, F.array_sort(F.array_except(F.col("_fields"), allowed))).otherwise(F.array().cast("array<string>"))
+    parts = {"observed": F.array_sort("_fields"), "required": required, "allowed": allowed, "missing": missing, "unexpected": extra, "ok": (F.size(missing) == 0) & (F.size(extra) == 0)}
+    return F.struct(*(c.alias(n) for n, c in parts.items()))
+
+
+def golden_hash() -> Column:
+    """The content hash of a golden's row: the fields of its kind, with their defaults where they are null."""
+    flag = lambda name, default: F.coalesce(F.col(name), F.lit(default)).cast("string")
+    ids = F.col("_golden")
+    own = {
+        "expectedOutcome": json_text(F.coalesce("expected_outcome", F.lit("result"))),
+        "requiredFields": json_list(F.col("required_fields")),
+        "allowedFields": json_list(F.col("allowed_fields")),
+        "requiresScope": flag("requires_scope", False),
+        "decoyIdPrefixes": json_list(F.col("decoy_id_prefixes")),
+        "kind": json_text(F.col("kind")),
+    }
+    entry = lambda e: F.concat(F.lit('{"key":'), json_list(e["key"]), F.lit(',"value":'), json_number(e["value"]), F.lit("}"))
+    id_set = {"idColumn": json_text(F.coalesce("id_column", F.lit("id"))), "ids": json_list(ids)}
+    ordered = id_set | {"sortColumn": json_text(F.col("sort_column")), "descending": flag("descending", True)}
+    aggregate = {"groupColumns": json_list(F.col("group_columns")), "entries": json_list(F.col("entries"), entry), "tolerance": json_number(F.coalesce("tolerance", F.lit(0.05)))}
+    kind = F.col("kind")
+    return F.when(kind == "id_set", content_hash_of(own | id_set)).when(kind == "aggregate", content_hash_of(own | aggregate)).when(kind == "ordered", content_hash_of(own | ordered))
 
 
 def _monotonic(values: Column, descending: Column) -> Column:
@@ -101,76 +125,164 @@ def _monotonic(values: Column, descending: Column) -> Column:
     return F.when(F.size(values) < 2, True).otherwise(F.forall(pairs, lambda x: x))
 
 
-def _id_set_subtype() -> Column:
-    """Null where the sets are equal."""
+def _number(of: Column, name: Column) -> Column:
+    return numeric(F.try_element_at(of, name))
+
+
+def _outcome(**parts: Column) -> Column:
+    """What a comparison of one kind finds; parts that it doesn't speak of are null, and unmeasured it has no metrics."""
+    kinds = {"subtype": "string", "reason": "string", "measured": "boolean", "sort_values": "array<double>", "groups": "array<string>"}
+    return F.struct(*(parts.get(n, F.lit(None)).cast(k).alias(n) for n, k in kinds.items()))
+
+
+def _id_set() -> Column:
+    """The subtype is null where the sets are equal."""
     shape = (effective_row_count() > 0) & (F.size("_ids") == 0) & ~F.array_contains(_list("columns"), F.col("id_column"))
     relation = set_relation(F.col("_ids"), F.col("_expected"))
-    return F.when(shape, "ambiguous_shape").when(relation != "exact", relation)
+    subtype = F.when(shape, "ambiguous_shape").when(relation != "exact", relation)
+    return _outcome(subtype=subtype, measured=~shape, reason=F.when(shape, "no identifier column"))
 
 
-def _ordered_subtype() -> Column:
+def _ordered() -> Column:
     same = F.array_sort("_ids") == F.array_sort("_expected")
     relation = set_relation(F.col("_ids"), F.col("_expected"))
-    values = F.transform(_rows(), lambda r: numeric(F.try_element_at(r, F.col("sort_column"))))
-    sorts = F.coalesce(F.col("sort_column") != "", F.lit(False))
-    unusable = (F.size(values) != F.size("_ids")) | F.exists(values, lambda x: x.isNull())
-    return (
-        F.when(~same, F.when(relation == "exact", "ambiguous_shape").otherwise(relation))
-        .when(sorts, F.when(unusable, "ambiguous_shape").when(~_monotonic(values, F.coalesce("descending", F.lit(True))), "wrong_order"))
-        .when(F.col("_ids") != F.col("_expected"), "wrong_order")
-    )
+    values = F.transform(_rows(), lambda r: _number(r, F.col("sort_column")))
+    sorts = same & F.coalesce(F.col("sort_column") != "", F.lit(False))
+    unusable = sorts & ((F.size(values) != F.size("_ids")) | F.exists(values, lambda x: x.isNull()))
+    falls = sorts & ~unusable & ~_monotonic(values, F.coalesce("descending", F.lit(True)))
+    wrong = falls | (same & ~sorts & (F.col("_ids") != F.col("_expected")))
+    subtype = F.when(~same, F.when(relation == "exact", "ambiguous_shape").otherwise(relation)).when(unusable, "ambiguous_shape").when(wrong, "wrong_order")
+    return _outcome(subtype=subtype, measured=~unusable & ~wrong, reason=F.when(unusable, "sort column absent or not numeric"), sort_values=F.when(falls, values))
+
+
+def _column_roles() -> Column:
+    """Which columns group and which one holds the value, or why that can't be told."""
+    names = F.coalesce(F.when(F.size(_list("columns")) > 0, F.col("columns")).otherwise(F.map_keys(F.get(_rows(), F.lit(0)))), F.array().cast("array<string>"))
+    number = F.filter(names, lambda c: (F.size(_rows()) > 0) & F.forall(_rows(), lambda r: F.coalesce(_number(r, c).isNotNull(), F.lit(False))))
+    due = _list("group_columns")
+    exact = (F.size(F.array_except(due, names)) == 0) & (F.size(due) > 0)
+    values = F.when(exact, F.array_except(number, due)).otherwise(number)
+    groups = F.when(exact, due).otherwise(F.filter(names, lambda c: ~F.array_contains(number, c)))
+    reason = F.when(F.size(groups) != F.size(due), F.concat(F.lit("grouping columns found: "), F.size(groups).cast("string"))).when(F.size(values) != 1, F.concat(F.lit("numeric columns found: "), F.size(values).cast("string")))
+    return F.struct(groups.alias("groups"), F.when(reason.isNull(), F.get(values, F.lit(0))).alias("value"), reason.alias("reason"))
+
+
+def _aggregate_parts(df: DataFrame) -> DataFrame:
+    """For goldens that are aggregates _cells, _roles, _seen and _due; null for others, so they cost nothing.
+
+    _seen and _due are maps by key, so groups are looked up and not paired.
+    """
+    own = F.col("kind") == "aggregate"
+    cells = F.flatten(F.transform(_rows(), lambda r: F.filter(F.transform(F.map_values(r), numeric), lambda x: x.isNotNull())))
+    key = lambda parts: F.array_join(F.transform(parts, normalize_key), "|")
+    entry = lambda k, v: F.struct(k.alias("k"), v.alias("v"))
+    df = df.withColumn("_cells", F.when(own, cells)).withColumn("_roles", F.when(own & (F.size(_list("group_columns")) > 0), _column_roles()))
+    pairs = F.filter(F.transform(_rows(), lambda r: entry(key(F.transform(F.col("_roles.groups"), lambda g: F.try_element_at(r, g))), _number(r, F.col("_roles.value")))), lambda e: e["v"].isNotNull())
+    df = df.withColumn("_pairs", F.when(F.col("_roles.value").isNotNull(), pairs))
+    seen = F.map_from_entries(F.transform(F.array_distinct(F.transform("_pairs", lambda e: e["k"])), lambda k: entry(k, F.filter("_pairs", lambda e: e["k"] == k)[0]["v"])))
+    due = F.map_from_entries(F.transform(_distinct_last(F.transform("entries", lambda e: entry(key(e["key"]), e["value"]))), lambda e: e))
+    return df.withColumn("_seen", F.when(F.col("_pairs").isNotNull(), seen)).withColumn("_due", F.when(own, due))
 
 
-def _aggregate_columns(df: DataFrame) -> DataFrame:
-    """Which columns group and which one holds the value; null value columns where that can't be told."""
-    names = F.when(F.size(_list("columns")) > 0, F.col("columns")).otherwise(F.map_keys(F.get(_rows(), F.lit(0))))
-    df = df.withColumn("_names", F.coalesce(names, F.array().cast("array<string>")))
-    number = F.filter("_names", lambda c: (F.size(_rows()) > 0) & F.forall(_rows(), lambda r: F.coalesce(numeric(F.try_element_at(r, c)).isNotNull(), F.lit(False))))
-    df = df.withColumn("_number", number)
-    exact = F.size(F.array_except(_list("group_columns"), F.col("_names"))) == 0
-    others = F.when(exact, F.array_except("_number", _list("group_columns"))).otherwise(F.col("_number"))
-    groups = F.when(exact, _list("group_columns")).otherwise(F.filter("_names", lambda c: ~F.array_contains("_number", c)))
-    fits = (F.size(others) == 1) & (F.size(groups) == F.size(_list("group_columns")))
-    return df.withColumn("_groups", F.when(fits, groups)).withColumn("_value", F.when(fits, F.get(others, F.lit(0))))
+def _distinct_last(entries: Column) -> Column:
+    """Entries with distinct keys, which goldens have; of keys that repeat the first stays."""
+    keys = F.transform(entries, lambda e: e["k"])
+    return F.filter(entries, lambda e, i: F.array_position(keys, e["k"]) == i + 1)
 
 
-def _aggregate_subtype() -> Column:
+def _aggregate() -> Column:
     tolerance = F.coalesce("tolerance", F.lit(0.05))
-    cells = F.flatten(F.transform(_rows(), lambda r: F.filter(F.transform(F.map_values(r), numeric), lambda x: x.isNotNull())))
-    scalar = F.when(F.size(cells) != 1, "ambiguous_shape").when(~close(F.get(cells, F.lit(0)), F.get(F.col("entries"), F.lit(0))["value"], tolerance), "wrong_value")
-    seen = F.transform(_rows(), lambda r: F.struct(F.transform("_groups", lambda g: normalize_key(F.try_element_at(r, g))).alias("key"), numeric(F.try_element_at(r, F.col("_value"))).alias("value")))
-    due = F.transform("entries", lambda e: F.struct(F.transform(e["key"], normalize_key).alias("key"), e["value"].alias("value")))
-    keys = lambda entries: F.transform(entries, lambda e: e["key"])
-    differs = F.exists(due, lambda e: F.exists(seen, lambda o: (o["key"] == e["key"]) & ~close(o["value"], e["value"], tolerance)))
-    grouped = (
-        F.when(F.col("_value").isNull(), "ambiguous_shape")
-        .when(F.size(F.array_distinct(keys(seen))) < F.size(seen), "ambiguous_shape")
-        .when((F.size(F.array_except(keys(due), keys(seen))) > 0) | (F.size(F.array_except(keys(seen), keys(due))) > 0) | differs, "wrong_value")
-    )
-    return F.when(effective_row_count() == 0, "empty_wrong").when(F.size(_list("group_columns")) == 0, scalar).otherwise(grouped)
+    empty, scalar = effective_row_count() == 0, F.size(_list("group_columns")) == 0
+    one = F.size("_cells") == 1
+    off = ~close(F.get(F.col("_cells"), F.lit(0)), F.get(F.col("entries"), F.lit(0))["value"], tolerance)
+    keys = F.transform("_pairs", lambda e: e["k"])
+    repeated = F.array_sort(F.array_distinct(F.filter(keys, lambda k, i: F.array_position(keys, k) != i + 1)))
+    differs = F.size(_mismatched(tolerance)) > 0
+    sets = (F.size(F.array_except(F.map_keys("_due"), F.map_keys("_seen"))) > 0) | (F.size(F.array_except(F.map_keys("_seen"), F.map_keys("_due"))) > 0)
+    unclear = F.col("_roles.value").isNull()
+    grouped = F.when(unclear | (F.size(repeated) > 0), "ambiguous_shape").when(sets | differs, "wrong_value")
+    reason = F.when(empty, None).when(scalar, F.when(~one, F.concat(F.lit("numbers found: "), F.size("_cells").cast("string")))).when(unclear, F.col("_roles.reason")).when(F.size(repeated) > 0, "duplicate groups")
+    subtype = F.when(empty, "empty_wrong").when(scalar, F.when(~one, "ambiguous_shape").when(off, "wrong_value")).otherwise(grouped)
+    return _outcome(subtype=subtype, measured=F.lit(False), reason=reason, groups=F.when(~empty & ~scalar & (F.size(repeated) > 0), repeated))
+
+
+def _mismatched(tolerance: Column) -> Column:
+    """Groups on both sides whose values are not close: key to observed and expected."""
+    both = F.filter(F.map_entries("_due"), lambda e: F.map_contains_key("_seen", e["key"]) & ~close(F.col("_seen")[e["key"]], e["value"], tolerance))
+    return F.map_from_entries(F.transform(both, lambda e: F.struct(e["key"].alias("key"), F.struct(F.col("_seen")[e["key"]].alias("observed"), e["value"].alias("expected")).alias("value"))))
+
+
+def _evidence(today: Column) -> Column:
+    """What the verdict rests on: the golden's hash and the day, then the parts that the comparison got to; others are null."""
+    kind, ran, subtype = F.col("kind"), F.col("_ran"), F.col("_outcome.subtype")
+    honest = F.coalesce(F.col("expected_outcome") == "honest_failure", F.lit(False))
+    shown = ran & kind.isin("id_set", "ordered") & ~((kind == "id_set") & F.coalesce(subtype == "ambiguous_shape", F.lit(False)))
+    unordered = shown & (kind == "id_set")
+    ids = lambda name: F.when(unordered, F.array_sort(F.array_distinct(name))).when(shown, F.col(name))
+    full = ran & (kind == "aggregate") & (effective_row_count() > 0)
+    scalar = full & (F.size(_list("group_columns")) == 0) & (F.size("_cells") == 1)
+    grouped = full & F.col("_seen").isNotNull() & F.col("_outcome.groups").isNull()
+    tolerance = F.coalesce("tolerance", F.lit(0.05))
+    parts = {
+        "today": today,
+        "golden_hash": golden_hash(),
+        "row_count": effective_row_count(),
+        "repair_rounds": repair_rounds(),
+        "expected_outcome": F.coalesce("expected_outcome", F.lit("result")),
+        "honest_failure": F.when(honest, ~F.col("executed")),
+        "failure_stage": F.when(~F.col("executed"), F.col("failure_stage")),
+        "failure_code": F.when(~F.col("executed"), F.col("failure_code")),
+        "failure_message": F.when(~F.col("executed") & ~honest, F.col("failure_message")),
+        "reason": F.when(ran, F.col("_outcome.reason")),
+        "columns": F.when(ran & F.col("_outcome.reason").isNotNull() & (kind != "ordered") & F.col("_outcome.groups").isNull(), F.col("columns")),
+        "observed_ids": ids("_ids"),
+        "expected_ids": ids("_expected"),
+        "missing": F.when(unordered, F.array_sort(F.array_except("_expected", "_ids"))),
+        "unexpected": F.when(unordered, F.array_sort(F.array_except("_ids", "_expected"))),
+        "sort_column": F.when(ran & (kind == "ordered"), F.col("sort_column")),
+        "descending": F.when(ran & (kind == "ordered"), F.coalesce("descending", F.lit(True))),
+        "sort_values": F.when(ran, F.col("_outcome.sort_values")),
+        "observed": F.when(scalar, F.get(F.col("_cells"), F.lit(0))),
+        "expected": F.when(scalar, F.get(F.col("entries"), F.lit(0))["value"]),
+        "tolerance": F.when(scalar | grouped, tolerance),
+        "expected_groups": F.when(ran & (kind == "aggregate") & ~full, F.map_keys("_due")),
+        "groups": F.when(ran, F.col("_outcome.groups")),
+        "group_columns": F.when(grouped, F.col("_roles.groups")),
+        "value_column": F.when(grouped, F.col("_roles.value")),
+        "missing_groups": F.when(grouped, F.array_sort(F.array_except(F.map_keys("_due"), F.map_keys("_seen")))),
+        "unexpected_groups": F.when(grouped, F.array_sort(F.array_except(F.map_keys("_seen"), F.map_keys("_due")))),
+        "mismatched": F.when(grouped, _mismatched(tolerance)),
+        "field_conformance": F.when(ran, F.col("_conformance")),
+    }
+    return F.struct(*(c.alias(n) for n, c in parts.items()))
 
 
-def compare(observations: DataFrame, goldens: DataFrame) -> DataFrame:
-    """case_id, verdict, subtype, safety_flags, precision, recall, f1, row_count and repair_rounds of every pair.
+def compare(observations: DataFrame, goldens: DataFrame, today: date | None = None) -> DataFrame:
+    """case_id, verdict, subtype, safety_flags, precision, recall, f1, row_count, repair_rounds and evidence of every pair.
 
     Order of the gates: a golden that expects an honest failure, a run that
     wasn't executed, the comparison of its kind, and field conformance, which
-    overrides another silent subtype.  Metrics are those of id comparisons.
+    overrides another silent subtype.  Metrics are those of id comparisons that
+    came to compare the ids.  today is put into the evidence as it is given.
     """
     df = observations.join(goldens.withColumnRenamed("ids", "_golden"), "case_id")
     df = df.withColumn("_ids", observed_ids()).withColumn("_expected", F.transform(F.coalesce("_golden", F.array().cast("array<string>")), strip)).withColumn("_fields", observed_fields())
-    df = _aggregate_columns(df)
-    silent = F.when(F.col("kind") == "id_set", _id_set_subtype()).when(F.col("kind") == "ordered", _ordered_subtype()).when(F.col("kind") == "aggregate", _aggregate_subtype())
+    df = _aggregate_parts(df.withColumn("_conformance", _field_conformance()))
+    kind = F.col("kind")
+    df = df.withColumn("_outcome", F.when(kind == "id_set", _id_set()).when(kind == "ordered", _ordered()).when(kind == "aggregate", _aggregate()))
     honest = F.coalesce(F.col("expected_outcome") == "honest_failure", F.lit(False))
+    df = df.withColumn("_ran", ~honest & F.col("executed"))
+    silent, conforms = F.col("_outcome.subtype"), F.col("_conformance.ok")
     judged = F.struct(
-        F.when(honest, F.when(F.col("executed"), "silent_wrong").otherwise("correct")).when(~F.col("executed"), "loud_fail").when(~_fields_conform() | silent.isNotNull(), "silent_wrong").otherwise("correct").alias("verdict"),
-        F.when(honest, F.when(F.col("executed"), "unexpected_execution")).when(~F.col("executed"), loud_subtype(F.col("disposition"), F.col("failure_stage"))).when(~_fields_conform(), "field_conformance").otherwise(silent).alias("subtype"),
+        F.when(honest, F.when(F.col("executed"), "silent_wrong").otherwise("correct")).when(~F.col("executed"), "loud_fail").when(~conforms | silent.isNotNull(), "silent_wrong").otherwise("correct").alias("verdict"),
+        F.when(honest, F.when(F.col("executed"), "unexpected_execution")).when(~F.col("executed"), loud_subtype(F.col("disposition"), F.col("failure_stage"))).when(~conforms, "field_conformance").otherwise(silent).alias("subtype"),
     )
     scores = set_scores(F.col("_ids"), F.col("_expected"))
-    measured = ~honest & F.col("executed") & F.col("kind").isin("id_set", "ordered")
+    measured = F.col("_ran") & F.col("_outcome.measured")
+    day = F.lit(None if today is None else today.isoformat()).cast("string")
     return df.withColumn("_judged", judged).select(
         "case_id", "_judged.verdict", "_judged.subtype", safety_flags().alias("safety_flags"),
-        *(F.when(measured, c).alias(n) for n, c in scores.items()), effective_row_count().alias("row_count"), repair_rounds().alias("repair_rounds"),
+        *(F.when(measured, c).alias(n) for n, c in scores.items()), effective_row_count().alias("row_count"), repair_rounds().alias("repair_rounds"), _evidence(day).alias("evidence"),
     )
 
 
