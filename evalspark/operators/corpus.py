@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.functions.hashing import content_hash
+from evalspark.functions.hashing import canonical_json, content_hash
 
 # Names that no reviewer has, and words of which a reviewing model's name holds one.
 PLACEHOLDERS = ("pending", "pending audit", "pending human review", "pending llm audit", "pending review", "tbd", "unknown")
@@ -18,7 +19,7 @@ MODEL_WORDS = r"model|llm|gpt|claude|gemini|llama|mistral|qwen|judge|evaluator|s
 
 #: Short rubrics of our own: labels with their scores, and the placeholders of the prompt.
 RUBRICS: dict[str, dict[str, Any]] = {
-    "hallucination": {"direction": "minimize", "choices": {"hallucinated": 1.0, "factual": 0.0}, "prompt": "Question: {{input}}\nContext: {{reference}}\nAnswer: {{output}}\nIs every claim of the answer supported by the context?"},
+    "hallucination": {"direction": "minimize", "choices": {"hallucinated": 1.0, "grounded": 0.0}, "prompt": "Question: {{input}}\nContext: {{reference}}\nAnswer: {{output}}\nIs every claim of the answer supported by the context?"},
     "tool_selection": {"direction": "maximize", "choices": {"correct": 1.0, "incorrect": 0.0}, "prompt": "Request: {{input}}\nTools: {{tools}}\nChosen: {{output}}\nIs the chosen tool the right one?"},
     "tool_invocation": {"direction": "maximize", "choices": {"correct": 1.0, "incorrect": 0.0}, "prompt": "Request: {{input}}\nTools: {{tools}}\nCall: {{output}}\nAre the call's arguments right and complete?"},
     "tool_response_handling": {"direction": "maximize", "choices": {"correct": 1.0, "incorrect": 0.0}, "prompt": "Call and result: {{input}}\nReply: {{output}}\nDoes the reply use the result rightly?"},
@@ -26,10 +27,28 @@ RUBRICS: dict[str, dict[str, Any]] = {
 }
 
 
+def available_rubrics() -> tuple[str, ...]:
+    return tuple(sorted(RUBRICS))
+
+
+def rubric_violations(rubric: Mapping[str, Any]) -> list[str]:
+    """What is wrong with a rubric: its direction, an empty prompt, choices without labels, scores that aren't finite."""
+    found = [] if rubric.get("direction") in ("maximize", "minimize") else ["direction"]
+    found += [] if str(rubric.get("prompt") or "").strip() else ["prompt"]
+    choices = rubric.get("choices") or {}
+    found += [] if choices and all(str(k).strip() for k in choices) else ["choices"]
+    bad = [k for k, v in choices.items() if v is not None and not (isinstance(v, (int, float)) and math.isfinite(v))]
+    return found + [f"score of {k!r}" for k in bad]
+
+
 def load_rubric(name: str) -> dict[str, Any]:
-    if not re.fullmatch(r"[a-z][a-z0-9_]*", name) or name not in RUBRICS:
-        raise KeyError(name)
-    return RUBRICS[name]
+    """One of the seeds by its name; ValueError for what is no name, KeyError for an unknown one."""
+    if not re.fullmatch(r"[a-z][a-z0-9_]*", name):
+        raise ValueError(f"not a rubric's name: {name!r}")
+    rubric = RUBRICS[name]
+    if found := rubric_violations(rubric):
+        raise ValueError(f"{name}: {', '.join(found)}")
+    return rubric
 
 
 def substitute(rubric: Mapping[str, Any], names: Mapping[str, str]) -> dict[str, Any]:
@@ -100,16 +119,45 @@ def corpus_violations(manifest: Mapping[str, Any], reviews: DataFrame) -> DataFr
     return sums.select("case_id", F.explode(found).alias("rule")).union(count).union(mine)
 
 
-def build_freeze(config: Mapping[str, Any], sources: Mapping[str, str], corpus: Any, created_at: datetime, hypotheses: tuple[str, ...] = (), world: Any = None) -> dict[str, Any]:
-    """The hashes of everything that a run depends on, with an id over all of them."""
-    if created_at.tzinfo is None:
+_SHA = re.compile(r"sha256:[0-9a-f]{64}")
+
+
+def build_freeze(config: Mapping[str, Any], sources: Mapping[str, str | bytes], corpus_hash: str, world: Mapping[str, str], created_at: datetime, hypotheses: Sequence[Mapping[str, Any]] = ()) -> dict[str, Any]:
+    """The hashes of everything that a run depends on, with an id over all of them.
+
+    world has name, revision and contentHash; a time without a zone, a blank
+    source name, no source, or an identity that is no content hash is refused.
+    """
+    if created_at.tzinfo is None or created_at.utcoffset() is None:
         raise ValueError("created_at needs a time zone")
     if not sources or any(not n.strip() for n in sources):
         raise ValueError("sources need names")
-    body = {"createdAt": created_at.isoformat(), "configHash": content_hash(config), "corpusHash": content_hash(corpus), "sourceHashes": {n: content_hash({"source": sources[n]}) for n in sorted(sources)}, "hypotheses": list(hypotheses), "world": world}
-    return {"id": content_hash(body), **body}
+    if not _SHA.fullmatch(corpus_hash) or not _SHA.fullmatch(str(world.get("contentHash"))):
+        raise ValueError("the corpus and the world are named by content hashes")
+    if not str(world.get("name") or "").strip() or not str(world.get("revision") or "").strip():
+        raise ValueError("the world needs a name and a revision")
+    text = lambda x: x.decode("utf-8") if isinstance(x, bytes) else x
+    body = {
+        "schemaVersion": "evalspark-freeze/v1",
+        "createdAt": created_at.isoformat(),
+        "configHash": content_hash(config),
+        "corpusHash": corpus_hash,
+        "sourceHashes": {n: content_hash({"source": text(sources[n])}) for n in sorted(sources)},
+        "world": {"revisions": {}, **world},
+        "hypotheses": [dict(h) for h in hypotheses],
+        "config": dict(config),
+    }
+    return {"manifestId": content_hash(body), **body}
 
 
 def render_preregistration(freeze: Mapping[str, Any]) -> str:
-    lines = ["# Preregistration", "", f"- freeze: {freeze['id']}", f"- created: {freeze['createdAt']}", f"- configuration: {freeze['configHash']}", f"- corpus: {freeze['corpusHash']}", "", "## Hypotheses", ""]
-    return "\n".join([*lines, *(f"{i}. {h}" for i, h in enumerate(freeze["hypotheses"], 1)), "", "## Sources", "", *(f"- {n}: {h}" for n, h in freeze["sourceHashes"].items()), ""])
+    """The freeze for people: its hashes, sources and hypotheses in Markdown."""
+    lines = [f"# Preregistration {freeze['manifestId']}", "", f"- created {freeze['createdAt']}", f"- world {freeze['world']['name']} at {freeze['world']['revision']}", f"- configuration {freeze['configHash']}", f"- corpus {freeze['corpusHash']}", "", "## Sources", ""]
+    lines += [f"- {n}: {h}" for n, h in freeze["sourceHashes"].items()]
+    stated = [f"- {h.get('id') or 'no id'}: {h.get('statement') or canonical_json(h)}" for h in freeze["hypotheses"]]
+    return "\n".join([*lines, "", "## Hypotheses", "", *(stated or ["- none"]), ""])
+
+
+def preregistration_files(freeze: Mapping[str, Any]) -> dict[str, str]:
+    """The contents of the two files by name; whoever calls writes them."""
+    return {"preregistration.json": canonical_json(freeze) + "\n", "preregistration.md": render_preregistration(freeze)}

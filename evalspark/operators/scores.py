@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Mapping
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalspark.functions.hashing import content_hash
 from evalspark.functions.stats import reporting_probability, required_successes, threshold_strictness
@@ -16,6 +19,12 @@ class RulerError(ValueError):
     """Two runs weren't graded by the same standard."""
 
 
+# What makes a score, and which way is better.
+KINDS, DIRECTIONS = ("code", "llm", "human"), ("maximize", "minimize")
+SCORES = """name string, evaluator_id string, evaluator_version string, kind string, direction string, score double, label string,
+    explanation string, evidence string, world struct<name:string,revision:string,content_hash:string>, dataset string, case_id string, run_id string"""
+
+
 def normalize_scores(scores: DataFrame) -> DataFrame:
     """Blank texts become null; a score that isn't finite raises an error."""
     bad = F.isnan("score") | (F.abs("score") == float("inf"))
@@ -23,6 +32,22 @@ def normalize_scores(scores: DataFrame) -> DataFrame:
     return scores.withColumns(fixed | {"score": F.when(bad, F.raise_error(F.lit("a score must be finite")).cast("double")).otherwise(F.col("score"))})
 
 
+def score_rows(df: DataFrame, scored: Column, *, name: str, evaluator_id: str, evaluator_version: str = "1", kind: str = "code", direction: str = "maximize", **own: Column) -> DataFrame:
+    """Rows of the normal form SCORES from a metric's struct of score, label and what they rest on, which becomes the evidence as JSON.
+
+    own gives the other columns: explanation, world, dataset, case_id, run_id; those not given are null.
+    """
+    if kind not in KINDS or direction not in DIRECTIONS or not (name.strip() and evaluator_id.strip() and evaluator_version.strip()):
+        raise ValueError("a score needs names, a known kind and a direction")
+    parts = [f.name for f in df.select(scored.alias("s")).schema["s"].dataType.fields if f.name not in ("score", "label")]
+    s = F.col("_scored")
+    evidence = F.to_json(F.struct(*(s[n].alias(n) for n in parts))) if parts else F.lit("{}")
+    fixed = {"name": F.lit(name), "evaluator_id": F.lit(evaluator_id), "evaluator_version": F.lit(evaluator_version), "kind": F.lit(kind), "direction": F.lit(direction), "score": s["score"], "label": s["label"], "evidence": evidence}
+    fields = T.StructType.fromDDL(SCORES).fields
+    rows = df.withColumn("_scored", scored)
+    return normalize_scores(rows.select(*((fixed | own).get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields)))
+
+
 def verdict_scores(verdicts: DataFrame) -> DataFrame:
     return verdicts.select("case_id", (F.col("verdict") == "correct").cast("double").alias("score"), F.coalesce("subtype", "verdict").alias("label"))
 
@@ -39,11 +64,41 @@ def ruler_paths(ruler: dict[str, Any], at: str = "") -> dict[str, Any]:
     return out
 
 
-def compare_rulers(before: dict[str, Any] | None, after: dict[str, Any] | None) -> dict[str, tuple[Any, Any]]:
+_SHA = re.compile(r"sha256:[0-9a-f]{64}")
+
+
+def ruler_violations(ruler: Mapping[str, Any]) -> list[str]:
+    """What is wrong with a ruler: criteria that are blank or repeated, identities that are no content hashes."""
+    criteria, found = list(ruler.get("criteria") or ()), []
+    if not criteria or any(not str(c).strip() for c in criteria):
+        found.append("criteria need names")
+    if len(set(criteria)) != len(criteria):
+        found.append("criteria repeat")
+    if not str(ruler.get("taxonomyVersion") or ""):
+        found.append("taxonomyVersion is missing")
+    for part in ("judgeRubricHashes", "calibrationIds"):
+        if any(not k.strip() or not _SHA.fullmatch(str(v)) for k, v in dict(ruler.get(part) or {}).items()):
+            found.append(f"{part} must map names to content hashes")
+    if ruler.get("freezeId") is not None and not _SHA.fullmatch(str(ruler["freezeId"])):
+        found.append("freezeId must be a content hash")
+    return found
+
+
+def ruler_of(artifact: Mapping[str, Any]) -> dict[str, Any]:
+    """The ruler that a run's artifact records under ruler, in whole; none, or one that isn't valid, is refused."""
+    ruler = artifact.get("ruler")
+    if not isinstance(ruler, Mapping):
+        raise RulerError("the artifact has no ruler")
+    if found := ruler_violations(ruler):
+        raise RulerError("the artifact's ruler is not valid: " + "; ".join(found))
+    return {"judgeRubricHashes": {}, "calibrationIds": {}, "freezeId": None, **ruler, "criteria": list(ruler["criteria"])}
+
+
+def compare_rulers(before: Mapping[str, Any] | None, after: Mapping[str, Any] | None) -> dict[str, tuple[Any, Any]]:
     """Changed paths with both values; a missing ruler is refused."""
     if not before or not after:
         raise RulerError("both runs need a recorded ruler")
-    a, b = ruler_paths(before), ruler_paths(after)
+    a, b = ruler_paths(dict(before)), ruler_paths(dict(after))
     return {p: (a.get(p), b.get(p)) for p in sorted({*a, *b}) if (p in a) != (p in b) or a.get(p) != b.get(p)}
 
 
@@ -101,7 +156,7 @@ def diff_cases(deltas: DataFrame) -> DataFrame:
 
 
 def transitions(deltas: DataFrame) -> DataFrame:
-    name = lambda c: F.coalesce(c, F.lit("<none>"))
+    name = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("<none>"))
     return deltas.where("on_both").groupBy("criterion", F.concat(name("before_label"), F.lit(" -> "), name("after_label")).alias("transition")).agg(F.count("*").alias("n"))
 
 
