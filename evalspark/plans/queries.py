@@ -55,6 +55,7 @@ def _ladder(spark, d):
         F.expr("CAST(array() AS array<map<string,string>>)").alias("rows"), F.lit(None).cast("long").alias("row_count"), (F.col("o_orderkey") % 11 == 0).alias("truncated"),
         F.lit(False).alias("ids_truncated"), F.lit(False).alias("rows_truncated"), F.expr("CAST(array() AS array<struct<round:int,error_code:string,error_text:string>>)").alias("attempts"),
         F.when(F.col("o_orderpriority").startswith("1"), "generation").when(F.col("o_orderpriority").startswith("2"), "pre_execution").when(F.col("o_orderpriority").startswith("3"), "context").otherwise("execution").alias("failure_stage"),
+        F.lit(None).cast("string").alias("failure_code"), F.lit(None).cast("string").alias("failure_message"),
         F.array().cast("array<string>").alias("query_fields"), F.lit(None).cast("boolean").alias("scope_predicates_present"), F.lit(None).cast("boolean").alias("write_attempted"),
     )
     gold = o.select(
@@ -120,15 +121,9 @@ def q05_ordered_topk(spark, d):
 
 @query("""
     WITH v AS (SELECT o_custkey c, o_orderkey k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) r, CAST(floor(o_totalprice / 100000) AS BIGINT) v FROM orders),
-    w AS (SELECT c, v, lag(v) OVER (PARTITION BY c ORDER BY r) b FROM v WHERE r <= 3)
+    w AS (SELECT c, v, lag(v) OVER (PARTITION BY c ORDER BY r) b FROM v)
     SELECT CAST(c AS VARCHAR) AS case_id, CASE WHEN bool_or(v > b) THEN 'silent_wrong' ELSE 'correct' END AS verdict, CASE WHEN bool_or(v > b) THEN 'wrong_order' END AS subtype FROM w GROUP BY 1""")
 def q06_ordered_sort_column(spark, d):
-    return _by_sort_column(_numbered_orders(spark, d).where("r <= 3"))
-
-
-@query()
-def q06_ordered_sort_column_all(spark, d):
-    """As q06_ordered_sort_column, over all orders of a customer and not only the first three of its SQL."""
     return _by_sort_column(_numbered_orders(spark, d))
 
 
@@ -180,17 +175,17 @@ def q09_text_matches(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("docs"), F.count_if(text.matches_regex("text", r"(?s)The.*", full_match=True)).alias("starts_the"), F.count_if(F.col("text").rlike("[0-9]{3}")).alias("has_digits"), F.count_if(text.exact_match("source", F.lit("SRC1"), case_sensitive=False)).alias("src1"))
 
 
-# The criterion that is better when lower, and the dates between runs.
-_RUN = "CAST(CASE WHEN ts < TIMESTAMP '2024-01-04' THEN 0 ELSE 1 END AS INT)"
+# Two runs: the events before a date and all from it on.
+_RUN = "CAST(CASE WHEN ts < TIMESTAMP '2024-01-15' THEN 0 ELSE 1 END AS INT)"
 _SCORES = f"""
-    s AS (SELECT CAST(user_id AS VARCHAR) case_id, event_type AS name, {_RUN} run, floor(avg(value) / 20) score, count(*) n FROM events WHERE ts < TIMESTAMP '2024-01-07' GROUP BY ALL),
+    s AS (SELECT CAST(user_id AS VARCHAR) case_id, event_type AS name, {_RUN} run, floor(avg(value) / 20) score, count(*) n FROM events GROUP BY ALL),
     j AS (SELECT coalesce(b.case_id, a.case_id) case_id, coalesce(b.name, a.name) criterion, b.score bs, a.score AS az, b.n bn, a.n an FROM (FROM s WHERE run = 0) b FULL JOIN (FROM s WHERE run = 1) a ON a.case_id = b.case_id AND a.name = b.name),
     m AS (SELECT *, CASE WHEN bs IS NULL OR az IS NULL THEN 'incomparable' WHEN bs = az THEN 'unchanged' WHEN (criterion = 'error') = (az < bs) THEN 'improved' ELSE 'regressed' END movement FROM j)"""
 
 
 def _runs(spark, d):
-    e = table(spark, d, "events").where(F.col("ts") < F.expr("TIMESTAMP_NTZ '2024-01-07'"))
-    s = e.groupBy(F.col("user_id").cast("string").alias("case_id"), F.col("event_type").alias("name"), F.expr("ts >= TIMESTAMP_NTZ '2024-01-04'").alias("later")).agg(F.floor(F.avg("value") / 20).cast("double").alias("score"), F.count("*").alias("n"))
+    e = table(spark, d, "events")
+    s = e.groupBy(F.col("user_id").cast("string").alias("case_id"), F.col("event_type").alias("name"), F.expr("ts >= TIMESTAMP_NTZ '2024-01-15'").alias("later")).agg(F.floor(F.avg("value") / 20).cast("double").alias("score"), F.count("*").alias("n"))
     s = s.withColumns({"label": F.when(F.col("n") % 2 == 0, "even"), "direction": F.when(F.col("name") == "error", "minimize").otherwise("maximize"), "evaluator_id": F.lit("mean"), "evaluator_version": F.lit("1")})
     return s.where("NOT later"), s.where("later")
 
@@ -278,7 +273,7 @@ def q19_calibration(spark, d):
 
 
 @query(f"""WITH {_JUDGED}, k AS (SELECT DISTINCT lang, unnest([0, 1, 2]) e FROM j)
-    SELECT k.lang AS lang, CAST(k.e AS VARCHAR) AS label, count(j.e) AS records, count(*) FILTER (ok) AS available, round_even(CASE WHEN count(*) FILTER (ok) > 0 THEN count(*) FILTER (ok AND a = j.e) / count(*) FILTER (ok) ELSE 0.0 END, 6) AS agreement FROM k LEFT JOIN j ON k.lang = j.lang AND k.e = j.e GROUP BY 1, 2""")
+    SELECT k.lang AS lang, CAST(k.e AS VARCHAR) AS label, count(*) FILTER (ok) AS records, count(*) FILTER (ok AND a = j.e) AS agreed, round_even(CASE WHEN count(*) FILTER (ok) > 0 THEN count(*) FILTER (ok AND a = j.e) / count(*) FILTER (ok) ELSE 0.0 END, 6) AS agreement FROM k LEFT JOIN j ON k.lang = j.lang AND k.e = j.e GROUP BY 1, 2""")
 def q20_per_label(spark, d):
     return calibration.per_label(_judged(spark, d), ["lang"], ["0", "1", "2"])
 
@@ -293,16 +288,10 @@ def q21_findings(spark, d):
 
 
 @query("""
-    WITH s AS (SELECT o_custkey c, o_orderkey % 40 AS a, o_orderkey % 40 + 8 AS b, o_orderstatus s, o_orderkey k FROM orders WHERE o_orderkey % 9 = 0)
+    WITH s AS (SELECT o_custkey c, o_orderkey % 40 AS a, o_orderkey % 40 + 8 AS b, o_orderstatus s, o_orderkey k FROM orders)
     SELECT g.c AS case_id, count(*) AS pairs, round(max(greatest(0, least(g.b, p.b) - greatest(g.a, p.a)) / (greatest(g.b, p.b) - least(g.a, p.a))), 9) AS best_iou
     FROM s g JOIN s p ON g.c = p.c AND g.s = 'F' AND p.s = 'O' GROUP BY 1""")
 def q22_span_overlap(spark, d):
-    return _span_overlap(table(spark, d, "orders").where("o_orderkey % 9 = 0"))
-
-
-@query()
-def q22_span_overlap_all(spark, d):
-    """As q22_span_overlap, over all orders and not only those of its SQL."""
     return _span_overlap(table(spark, d, "orders"))
 
 
@@ -312,21 +301,34 @@ def _span_overlap(o):
     return side("F", "g").join(side("O", "p"), "case_id").groupBy("case_id").agg(F.count("*").alias("pairs"), F.round(F.max(spans.span_iou(F.col("g"), F.col("p"))), 9).alias("best_iou"))
 
 
-@query()
+_MATCHED = """
+    s AS (SELECT o_custkey c, o_orderkey % 40 AS a, o_orderstatus s, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey % 40) - 1 i FROM orders),
+    n AS (SELECT c, count(*) FILTER (s = 'F') g, count(*) FILTER (s = 'O') p FROM s GROUP BY 1),
+    x AS (SELECT g.c, greatest(0, 8 - abs(g.a - p.a)) / (8 + abs(g.a - p.a)) iou, g.i gi, p.i pi FROM s g JOIN s p ON g.c = p.c AND g.s = 'F' AND p.s = 'O'),
+    l AS (SELECT c, list([2 * gi, 2 * pi + 1] ORDER BY iou DESC, gi DESC, pi DESC) l FROM x WHERE iou >= 0.3 GROUP BY 1),
+    m AS (SELECT n.c, n.g, n.p, CASE WHEN l.l IS NULL THEN 0 ELSE len(list_reduce(l.l, lambda acc, y: CASE WHEN list_has_any(acc, y) THEN acc ELSE list_concat(acc, y) END)) // 2 END tp FROM n LEFT JOIN l USING (c)),
+    f AS (SELECT *, CASE WHEN p > 0 THEN tp / p ELSE 1.0 END pr, CASE WHEN g > 0 THEN tp / g ELSE 1.0 END re FROM m),
+    t AS (SELECT *, CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0.0 END f1 FROM f)"""
+
+
+@query(f"""WITH {_MATCHED} SELECT c AS case_id, CAST(tp AS INT) AS tp, CAST(p - tp AS INT) AS fp, CAST(g - tp AS INT) AS fn, round(pr, 9) AS precision, round(re, 9) AS recall, round(f1, 9) AS f1 FROM t""")
 def q22_span_f1(spark, d):
     o = table(spark, d, "orders")
-    span = F.struct((F.col("o_orderkey") % 40).alias("start"), (F.col("o_orderkey") % 40 + 8).alias("end"), F.lit(None).cast("string").alias("label"))
-    side = lambda s: F.array_sort(F.collect_list(F.when(F.col("o_orderstatus") == s, span)))
-    cases = o.groupBy(F.col("o_custkey").alias("case_id")).agg(side("F").alias("gold"), side("O").alias("guess"))
-    tp = F.col("tp")
+    cases, tp = _span_sides(o), F.col("tp")
     found = cases.withColumn("tp", spans.match_spans(F.col("gold"), F.col("guess"), 0.3))
     metrics = spans.precision_recall_f1(tp, F.size("guess") - tp, F.size("gold") - tp)
-    return found.select("case_id", "tp", (F.size("guess") - tp).alias("fp"), (F.size("gold") - tp).alias("fn"), *(c.alias(n) for n, c in metrics.items()))
+    return found.select("case_id", "tp", (F.size("guess") - tp).alias("fp"), (F.size("gold") - tp).alias("fn"), *(F.round(c, 9).alias(n) for n, c in metrics.items()))
+
+
+def _span_sides(o):
+    span = F.struct((F.col("o_orderkey") % 40).alias("start"), (F.col("o_orderkey") % 40 + 8).alias("end"), F.lit(None).cast("string").alias("label"))
+    side = lambda s: F.array_sort(F.collect_list(F.when(F.col("o_orderstatus") == s, span)))
+    return o.groupBy(F.col("o_custkey").alias("case_id")).agg(side("F").alias("gold"), side("O").alias("guess"))
 
 
 @query("""SELECT event_id, json_extract_string(props, '$.k') IN ('7', '42') AS forbidden FROM events""")
 def q23_forbidden_values(spark, d):
-    return jsonwalk.has_forbidden_value(table(spark, d, "events").select("event_id", "props"), "event_id", "props", ["7", "42"], depth=2)
+    return jsonwalk.has_forbidden_value(table(spark, d, "events").select("event_id", "props"), "event_id", "props", ["7", "42"])
 
 
 @query("""SELECT CAST(CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) > 50 THEN 1 ELSE 0 END AS INT) AS errors, count(*) AS n FROM events GROUP BY 1""")
@@ -385,7 +387,7 @@ _JUDGED_FINDINGS = "j AS (SELECT lang, list_concat(CASE WHEN toxic = 1 THEN ['to
 
 
 @query(f"""WITH {_JUDGED_FINDINGS}, x AS (SELECT lang, a, ok, unnest(e) AS label FROM j)
-    SELECT lang, label, count(*) FILTER (ok) AS available, count(*) FILTER (ok AND list_contains(a, label)) AS agreed, round_even(CASE WHEN count(*) FILTER (ok) > 0 THEN count(*) FILTER (ok AND list_contains(a, label)) / count(*) FILTER (ok) ELSE 0.0 END, 6) AS agreement FROM x GROUP BY 1, 2
+    SELECT lang, label, count(*) FILTER (ok) AS records, count(*) FILTER (ok AND list_contains(a, label)) AS agreed, round_even(CASE WHEN count(*) FILTER (ok) > 0 THEN count(*) FILTER (ok AND list_contains(a, label)) / count(*) FILTER (ok) ELSE 0.0 END, 6) AS agreement FROM x GROUP BY 1, 2
     UNION ALL SELECT lang, '<no_findings>', count(*) FILTER (ok), count(*) FILTER (ok AND len(a) = 0), round_even(CASE WHEN count(*) FILTER (ok) > 0 THEN count(*) FILTER (ok AND len(a) = 0) / count(*) FILTER (ok) ELSE 0.0 END, 6) FROM j GROUP BY 1 HAVING max(len(e)) = 0""")
 def q33_per_finding(spark, d):
     both = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
@@ -399,7 +401,7 @@ def q33_per_finding(spark, d):
     FROM (SELECT event_id, event_type = 'purchase' w, json_extract_string(props, '$.k') IN ('7', '42') f FROM events)""")
 def q34_safety_scores(spark, d):
     e = table(spark, d, "events").select("event_id", "props", F.when(F.col("event_type") == "purchase", "UPDATE t SET a = 1").otherwise("SELECT 'update' -- drop").alias("query"))
-    return metrics.safety_scores(e, "event_id", "query", "props", ["7", "42"], depth=2).withColumn("flags", F.array_join("flags", "+"))
+    return metrics.safety_scores(e, "event_id", "query", "props", ["7", "42"]).withColumn("flags", F.array_join("flags", "+"))
 
 
 @query("""SELECT CAST(o_custkey AS VARCHAR) AS case_id, CASE WHEN bool_and(o_orderpriority = p) THEN 'exact' WHEN bool_or(p = o_orderpriority) THEN 'subset' ELSE 'disjoint' END AS label FROM (SELECT o_custkey, o_orderpriority, min(o_orderpriority) OVER (PARTITION BY o_custkey) p FROM orders) GROUP BY 1""")
@@ -409,16 +411,16 @@ def q35_id_set_scores(spark, d):
 
 
 def quoted_port():
-    """A model for trials without a network: says factual if the last line of the prompt occurs in the lines before."""
+    """A model for trials without a network: says grounded if the last line of the last message occurs in the lines before."""
 
-    def ask(prompt: str, operation: str) -> dict:
-        record, _, answer = prompt.rpartition("\n")
-        return {"label": "factual" if answer.lower() in record.lower() else "hallucinated", "explanation": None}
+    def ask(messages: list, operation: str) -> dict:
+        record, _, answer = messages[-1]["content"].rpartition("\n")
+        return {"label": "grounded" if answer.lower() in record.lower() else "hallucinated", "explanation": None}
 
     return ask
 
 
-@query("""SELECT CAST(doc_id AS VARCHAR) AS case_id, CASE WHEN contains(lower(text), lower(lang)) THEN 'factual' ELSE 'hallucinated' END AS label, CASE WHEN contains(lower(text), lower(lang)) THEN 0.0 ELSE 1.0 END AS score, 'uncalibrated' AS status, 1 AS attempts FROM documents WHERE lang IS NOT NULL""")
+@query("""SELECT CAST(doc_id AS VARCHAR) AS case_id, CASE WHEN contains(lower(text), lower(lang)) THEN 'grounded' ELSE 'hallucinated' END AS label, CASE WHEN contains(lower(text), lower(lang)) THEN 0.0 ELSE 1.0 END AS score, 'uncalibrated' AS status, 1 AS attempts FROM documents WHERE lang IS NOT NULL""")
 def q36_judge(spark, d):
     rubric = judges.judge_rubric(corpus.load_rubric("hallucination"))
     prompts = table(spark, d, "documents").where("lang IS NOT NULL").select(F.col("doc_id").alias("case_id"), F.concat("text", F.lit("\n"), "lang").alias("prompt"))
@@ -438,16 +440,33 @@ def q37_corpus_violations(spark, d):
     return corpus.corpus_violations(manifest, reviews)
 
 
-@query()
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS case_id, arg_max('sha256:' || sha256('{"case":"' || o_custkey || '","revisions":["' || o_orderpriority || '"]}'), o_orderkey) AS revision_identity FROM orders WHERE o_orderstatus = 'F' GROUP BY 1""")
 def q32_stream_checkpoints(spark, d):
     """The checkpoints over a stream of the orders, once through; equal to those of the batch."""
-    from evalspark.streaming.ledger import stream_checkpoints
+    from evalspark.streaming.ledger import run_through, stream_checkpoints
 
     schema = table(spark, d, "orders").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(d)
     status = F.when(F.col("o_orderstatus") == "F", "passed").otherwise("failed")
     rows = stream.select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").cast("string").alias("case_id"), hashing.revision_identity(F.col("o_custkey").cast("string"), F.array("o_orderpriority")).alias("revision_identity"), status.alias("status"))
-    name = f"checkpoints_{abs(hash(d))}"
-    run = stream_checkpoints(rows).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    return run_through(stream_checkpoints(rows))
+
+
+@query("""SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1""")
+def q60_stream_once(spark, d):
+    """Each event arrives twice, and counts once."""
+    from evalspark.streaming.ledger import once, run_through
+
+    rows = lambda: spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d).select("event_id", "ts", "event_type")
+    single = run_through(once(rows().union(rows()), "event_id", "ts", "60 days"), "append")
+    return single.groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS attempts, count(*) FILTER (value >= 30) AS successes, count(*) FILTER (value >= 30) >= (2 * count(*) + 2) // 3 AS passed FROM events GROUP BY 1, 2""")
+def q61_stream_windows(spark, d):
+    from evalspark.streaming.ledger import run_through, windowed_bars
+
+    rows = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    # The window is given as text before the result is stored, so that no later setting shows it in another zone.
+    bars = windowed_bars(rows, "ts", ["event_type"], F.col("value") >= 30)
+    return run_through(bars.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "attempts", "successes", "passed"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions import hashing, jsonwalk, sets, spans, stats, text
 from evalspark.operators import calibration, compare, corpus, judges, metrics, scores
-from evalspark.plans.queries import QUERIES, SQL
+from evalspark.plans import QUERIES, SQL
 from evalspark.sources import ledger
 
 DATA = "/root/testdata/sf0.001"
@@ -49,7 +49,7 @@ def test_spans_of_all_orders(spark):
         if every:
             pairs[c] = (len(every), round(every[0][0], 9))
     assert {r.case_id: (r.tp, r.fp, r.fn) for r in QUERIES["q22_span_f1"](spark, DATA).collect()} == want
-    assert {r.case_id: (r.pairs, r.best_iou) for r in QUERIES["q22_span_overlap_all"](spark, DATA).collect()} == pairs
+    assert {r.case_id: (r.pairs, r.best_iou) for r in QUERIES["q22_span_overlap"](spark, DATA).collect()} == pairs
 
 
 def test_sort_column_of_all_orders(spark):
@@ -59,7 +59,7 @@ def test_sort_column_of_all_orders(spark):
     rises = lambda x: any(b > a for a, b in itertools.pairwise(x))
     assert any(rises(x) and not rises(x[:3]) for x in lists.values())
     want = {c: ("silent_wrong", "wrong_order") if rises(x) else ("correct", None) for c, x in lists.items()}
-    rows = QUERIES["q06_ordered_sort_column_all"](spark, DATA).collect()
+    rows = QUERIES["q06_ordered_sort_column"](spark, DATA).collect()
     assert len(rows) == len(want) and {r.case_id: (r.verdict, r.subtype) for r in rows} == want
 
 
@@ -126,7 +126,7 @@ def test_schema_errors(spark):
 
 def test_forbidden_values(spark):
     df = spark.createDataFrame([(1, '{"a":[{"b":"decoy"}]}'), (2, '{"decoy":1}'), (3, None)], "k int, j string")
-    assert {tuple(r) for r in jsonwalk.has_forbidden_value(df, "k", "j", ["decoy"], 4).collect()} == {(1, True), (2, False), (3, False)}
+    assert {tuple(r) for r in jsonwalk.has_forbidden_value(df, "k", "j", ["decoy"]).collect()} == {(1, True), (2, False), (3, False)}
 
 
 def _compare(spark, observation, golden):
@@ -236,11 +236,13 @@ def test_judges(spark):
             "f": {"findings": [good], "met": ["c2", "c1", "c2"]}, "g": {"findings": [good | {"severity": "huge"}], "met": []},
         }
 
-        def ask(prompt, operation):
-            if prompt.startswith("boom"):
+        def ask(messages, operation):
+            prompt = messages[0]["content"]
+            if prompt == "boom":
                 raise RuntimeError("no model")
             if operation.endswith(".repair"):
-                return answers["ok"] if prompt.startswith("off") else answers["list"]
+                assert [m["role"] for m in messages] == ["user", "assistant", "user"]
+                return answers["ok"] if prompt == "off" else answers["list"]
             return answers[prompt]
 
         return ask
@@ -294,9 +296,222 @@ def test_rubrics_and_freeze():
     from datetime import UTC, datetime
 
     assert len(corpus.RUBRICS) == 5 and corpus.substitute(corpus.load_rubric("hallucination"), {"input": "question"})["prompt"].startswith("Question: {{question}}")
-    with pytest.raises(KeyError):
+    with pytest.raises(ValueError):
         corpus.load_rubric("../x")
-    made = [corpus.build_freeze({"a": 1}, {"s": t}, ["c"], datetime(2024, 1, 1, tzinfo=UTC)) for t in ("x", "y")]
-    assert made[0]["id"] != made[1]["id"]
+    with pytest.raises(KeyError):
+        corpus.load_rubric("other")
+    assert corpus.rubric_violations({"direction": "up", "prompt": " ", "choices": {"a": float("inf")}}) == ["direction", "prompt", "score of 'a'"]
+    sha, now = "sha256:" + "0" * 64, datetime(2024, 1, 1, tzinfo=UTC)
+    world = {"name": "w", "revision": "1", "contentHash": sha}
+    made = [corpus.build_freeze({"a": 1}, {"s": t}, sha, world, now) for t in ("x", b"x", "y")]
+    assert made[0] == made[1] and made[0]["manifestId"] != made[2]["manifestId"] and made[0]["sourceHashes"] != made[2]["sourceHashes"]
+    files = corpus.preregistration_files(made[0])
+    assert json.loads(files["preregistration.json"]) == made[0] and "- none" in files["preregistration.md"]
+    for bad in (({}, {"s": "x"}, sha, world, datetime(2024, 1, 1)), ({}, {}, sha, world, now), ({}, {" ": "x"}, sha, world, now), ({}, {"s": "x"}, "sha256:1", world, now), ({}, {"s": "x"}, sha, world | {"name": ""}, now)):
+        with pytest.raises(ValueError):
+            corpus.build_freeze(*bad)
+
+
+SHA = "sha256:" + "0" * 64
+
+
+def test_evidence_of_ids(spark):
+    row = _compare(spark, {"ids": ["b", " a", "x"]}, {"kind": "id_set", "ids": ["a", "c"]})
+    e = row.evidence
+    assert (row.subtype, e.observed_ids, e.expected_ids, e.missing, e.unexpected, e.reason) == ("overlap", ["a", "b", "x"], ["a", "c"], ["c"], ["b", "x"], None)
+    assert (round(row.precision, 6), row.recall) == (0.333333, 0.5)
+    row = _compare(spark, {"columns": ["n"], "rows": [{"n": "1"}]}, {"kind": "id_set", "ids": ["a"]})
+    assert row.subtype == "ambiguous_shape" and row.precision is None and row.evidence.columns == ["n"] and row.evidence.observed_ids is None
+    row = _compare(spark, {"ids": ["b", "a"]}, {"kind": "ordered", "ids": ["a", "b"]})
+    assert row.subtype == "wrong_order" and row.f1 is None and row.evidence.observed_ids == ["b", "a"]
+    row = _compare(spark, {"ids": ["b"]}, {"kind": "ordered", "ids": ["a", "b"]})
+    assert row.subtype == "subset" and row.recall == 0.5
+    row = _compare(spark, {"rows": [{"id": "a", "s": "1"}, {"id": "b", "s": "2"}]}, {"kind": "ordered", "ids": ["a", "b"], "sort_column": "s"})
+    assert row.subtype == "wrong_order" and row.evidence.sort_values == [1.0, 2.0]
+    row = _compare(spark, {"ids": ["a"], "query_fields": ["q"]}, {"kind": "id_set", "ids": ["a"], "required_fields": ["when"]})
+    assert row.subtype == "field_conformance" and row.f1 == 1 and row.evidence.field_conformance.missing == ["when"] and row.evidence.field_conformance.unexpected == ["q"]
+
+
+def test_evidence_of_failures(spark):
+    failed = {"executed": False, "failure_stage": "execution", "failure_code": "E1", "failure_message": "gone"}
+    e = _compare(spark, failed, {"kind": "id_set", "ids": ["a"]}).evidence
+    assert (e.failure_stage, e.failure_code, e.failure_message, e.honest_failure, e.expected_outcome) == ("execution", "E1", "gone", None, "result")
+    row = _compare(spark, failed, {"kind": "id_set", "expected_outcome": "honest_failure"})
+    assert (row.verdict, row.evidence.honest_failure, row.evidence.failure_message) == ("correct", True, None)
+    assert _compare(spark, {"executed": True}, {"kind": "id_set", "expected_outcome": "honest_failure"}).evidence.honest_failure is False
+
+
+def test_evidence_of_groups(spark):
+    golden = {"kind": "aggregate", "group_columns": ["region"], "entries": [{"key": ["A b"], "value": 1.0}, {"key": ["c"], "value": 2.0}]}
+    row = _compare(spark, {"rows": [{"x": "a_B", "n": "1.5"}, {"x": "D", "n": "1"}], "columns": ["x", "n"]}, golden)
+    e = row.evidence
+    assert (row.subtype, e.missing_groups, e.unexpected_groups, e.group_columns, e.value_column) == ("wrong_value", ["c"], ["d"], ["x"], "n")
+    assert {k: tuple(v) for k, v in e.mismatched.items()} == {"ab": (1.5, 1.0)} and row.f1 is None
+    row = _compare(spark, {"rows": [{"x": "c", "n": "1"}, {"x": "C", "n": "2"}, {"x": "C.", "n": "2"}], "columns": ["x", "n"]}, golden)
+    assert (row.subtype, row.evidence.groups, row.evidence.reason) == ("ambiguous_shape", ["c"], "duplicate groups")
+    row = _compare(spark, {"rows": [{"x": "c", "n": "1", "m": "2"}], "columns": ["x", "n", "m"]}, golden)
+    assert (row.subtype, row.evidence.reason, row.evidence.columns) == ("ambiguous_shape", "numeric columns found: 2", ["x", "n", "m"])
+    row = _compare(spark, {"row_count": 0}, golden)
+    assert (row.subtype, row.evidence.expected_groups) == ("empty_wrong", ["ab", "c"])
+    row = _compare(spark, {"rows": [{"n": "4", "m": "5"}]}, {"kind": "aggregate", "group_columns": [], "entries": [{"key": [], "value": 5.0}]})
+    assert (row.subtype, row.evidence.reason) == ("ambiguous_shape", "numbers found: 2")
+
+
+def test_golden_hashes(spark):
+    own = {"allowedFields": [], "decoyIdPrefixes": ["D"], "expectedOutcome": "result", "requiredFields": [], "requiresScope": True}
+    given = {"decoy_id_prefixes": ["D"], "requires_scope": True}
+    for golden, want in (
+        ({"kind": "id_set", "ids": ['a"', "é"]}, {"kind": "id_set", "idColumn": "id", "ids": ['a"', "é"]}),
+        ({"kind": "ordered", "ids": ["a"], "sort_column": "s", "descending": False}, {"kind": "ordered", "idColumn": "id", "ids": ["a"], "sortColumn": "s", "descending": False}),
+        ({"kind": "aggregate", "group_columns": ["g"], "entries": [{"key": ["x"], "value": 1e22}]}, {"kind": "aggregate", "groupColumns": ["g"], "entries": [{"key": ["x"], "value": 1e22}], "tolerance": 0.05}),
+    ):
+        assert _compare(spark, {"ids": []}, golden | given).evidence.golden_hash == hashing.content_hash(own | want)
+
+
+def test_json_numbers(spark):
+    r = random.Random(5)
+    some = [0.0, -0.0, 1.0, -2.5, 1e15, 1e16, 123456789012345680.0, 1e22, 1e23, 2e-3, 1e-4, 1e-5, 2.3e-308, 1.7976931348623157e308, 0.1 + 0.2, 100.0] + [r.uniform(-1, 1) * 10 ** r.randint(-20, 20) for _ in range(500)]
+    df = spark.createDataFrame([(x,) for x in some], "x double")
+    assert [r[0] for r in df.select(hashing.json_number(df.x)).collect()] == [json.dumps(x) for x in some]
+
+
+def test_canonical_values():
+    import dataclasses
+    import decimal
+    import enum
+    import pathlib
+    from datetime import date
+
+    class Kind(enum.Enum):
+        A = {"z": 1}
+
+    @dataclasses.dataclass
+    class Pair:
+        b: tuple
+        a: frozenset
+
+    value = {1: Pair((decimal.Decimal("1.50"), pathlib.PurePath("a/b")), frozenset({"y", "x"})), "k": Kind.A, "d": date(2024, 1, 2), "t": b"\xc3\xa9", "n": None}
+    assert hashing.canonical_json(value) == '{"1":{"a":["x","y"],"b":["1.50","a/b"]},"d":"2024-01-02","k":{"z":1},"n":null,"t":"é"}'
+
+
+def test_scalars_at_any_depth(spark):
+    deep = "[" * 50 + '"decoy"' + "]" * 50
+    texts = {deep: ["decoy"], '{"a": {"decoy" : [1.50, -0, 2e1, true, null, "x: \\"y\\":"]}}': ["1.5", "0", "20.0", "True", "None", 'x: "y":'], '"one"': ["one"], "{": None, None: None, json.dumps({"a": "q" * 50_000}): ["q" * 50_000], "[]": []}
+    df = spark.createDataFrame([(k,) for k in texts], "x string")
+    assert [r[0] for r in df.select(jsonwalk.scalars("x")).collect()] == list(texts.values())
+    assert [r[0] for r in df.select(jsonwalk.forbidden_value("x", ["decoy"])).collect()] == [True, *[False] * 6]
+
+
+def test_refusals(spark):
+    one = spark.range(1)
+    for bad in (stats.required_successes(F.lit(0)), stats.reporting_probability(F.lit(1.5), F.lit(3)), text.render(F.lit("{{b}} {{a}} {{c}}"), F.create_map(F.lit("c"), F.lit("x"))), spans.precision_recall_f1(F.lit(-1), F.lit(0), F.lit(0))["f1"], spans.checked_spans(F.array(F.struct(F.lit(3).alias("start"), F.lit(3).alias("end"))))):
+        with pytest.raises(Exception) as e:
+            one.select(bad).collect()
+        assert "USER_RAISED" in str(e.value)
     with pytest.raises(ValueError):
-        corpus.build_freeze({}, {"s": "x"}, [], datetime(2024, 1, 1))
+        spans.match_spans(F.col("g"), F.col("p"), 1.5)
+    with pytest.raises(ValueError):
+        text.matches_regex("x", "a", flags=256)
+    assert text.col is not None and one.select(text.matches_regex(F.lit("ÄB\nc"), "äb.C", True, 2 | 16)).first()[0]
+
+
+def test_spans_alike_and_empty(spark):
+    df = spark.createDataFrame([((3, 3), (3, 3)), ((0, 10), (5, 15))], "a struct<start:int,end:int>, b struct<start:int,end:int>")
+    assert [round(r[0], 6) for r in df.select(spans.span_iou(df.a, df.b)).collect()] == [0.0, 0.333333]
+    kind = "array<struct<start:int,end:int,label:string>>"
+    df = spark.createDataFrame([([(0, 10, None)], [(1, 9, None), (20, 25, None)]), ([], [])], f"g {kind}, p {kind}")
+    assert [(r[0].label, r[0].true_positive, r[0].false_positive) for r in df.select(metrics.span_f1_score(df.g, df.p)).collect()] == [("mismatch", 1, 1), ("exact", 0, 0)]
+
+
+def test_numbers_of_other_scripts(spark):
+    df = spark.createDataFrame([("١٢٣",), ("１,２.5",), ("𝟙",)], "x string")
+    assert [r[0] for r in df.select(text.numeric("x")).collect()] == [123.0, 12.5, 1.0]
+
+
+def test_rulers_of_artifacts():
+    good = {"taxonomyVersion": "1", "criteria": ["a", "b"], "calibrationIds": {"a": SHA}}
+    assert scores.ruler_of({"ruler": good})["freezeId"] is None
+    for bad in ({}, {"ruler": None}, {"ruler": good | {"criteria": ["a", "a"]}}, {"ruler": good | {"criteria": [" "]}}, {"ruler": good | {"calibrationIds": {"a": "x"}}}, {"ruler": good | {"freezeId": "x"}}, {"ruler": good | {"taxonomyVersion": ""}}):
+        with pytest.raises(scores.RulerError):
+            scores.ruler_of(bad)
+    assert scores.ruler_fingerprint(good) != scores.ruler_fingerprint(good | {"criteria": ["b", "a"]})
+
+
+def test_labels_of_transitions(spark):
+    ddl = "case_id string, name string, score double, direction string, label string"
+    a, b = (spark.createDataFrame([("1", "n", None, "maximize", label)], ddl) for label in ("", None))
+    assert [tuple(r) for r in scores.transitions(scores.diff_criteria(a, b)).collect()] == [("n", "<none> -> <none>", 1)]
+
+
+def test_ledger_appends_in_order(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    record = lambda case, status, i: (case, "sha256:" + str(i) * 64, SHA, status)
+    frame = lambda rows: spark.createDataFrame(rows, "case_id string, revision_identity string, context_fingerprint string, status string").repartition(3)
+    ledger.append(frame([record("a", "passed", 1), record("b", "passed", 2)]), path)
+    ledger.append(frame([record("a", "passed", 3), record("b", "failed", 4)]), path)
+    ledger.append(frame([record("b", "skipped", 5)]), path)
+    rows = ledger.read_file(spark, path)
+    seqs = [r.seq for r in rows.collect()]
+    assert len(set(seqs)) == len(seqs) == 5
+    assert {r.case_id: r.revision_identity[-1] for r in ledger.passing_checkpoints(rows).collect()} == {"a": "3", "b": "2"}
+    with pytest.raises(ledger.LedgerError):
+        ledger.append(frame([record("a", "done", 1)]), path)
+    assert ledger.read_file(spark, path).count() == 5
+
+
+def test_ledger_lines_in_splits(spark, tmp_path):
+    line = lambda i: json.dumps({"case_id": "c", "revision_identity": "sha256:" + f"{i:064x}", "context_fingerprint": SHA, "status": "passed"})
+    path = tmp_path / "l.jsonl"
+    path.write_text("".join(line(i) + "\n" for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        rows = ledger.read_file(spark, str(path))
+        assert rows.rdd.getNumPartitions() > 5
+        assert [int(r.revision_identity[7:], 16) for r in rows.orderBy("seq").collect()] == list(range(3000))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    path.write_text(path.read_text() + "{}\n")
+    with pytest.raises(ledger.LedgerError, match="l.jsonl:3001"):
+        ledger.read_file(spark, str(path))
+
+
+def test_judges_ask_side_by_side(spark):
+    def _port():
+        import asyncio
+
+        state = {"now": 0, "most": 0}
+
+        async def ask(messages, operation):
+            state["now"] += 1
+            state["most"] = max(state["most"], state["now"])
+            await asyncio.sleep(0.02)
+            state["now"] -= 1
+            return {"label": str(min(state["most"], 4)), "explanation": messages[-1]["content"]}
+
+        return ask
+
+    rubric = judges.ChoiceRubric({str(i): float(i) for i in range(1, 5)}, prompt="Q {{q}} of {{ r }}")
+    df = spark.createDataFrame([(i, {"q": "x{{r}}", "r": str(i)}) for i in range(40)], "case_id int, inputs map<string,string>").coalesce(1)
+    got = judges.judge(df, _port, rubric, evaluator_id="e", evaluator_version="1", allow_uncalibrated=True, concurrency=4).collect()
+    assert len(got) == 40 and max(r.score for r in got) == 4 and all(r.explanation == f"Q x{{{{r}}}} of {r.case_id}" for r in got)
+    short = spark.createDataFrame([(1, {"r": "1"})], "case_id int, inputs map<string,string>")
+    with pytest.raises(Exception, match="missing prompt substitutions: q"):
+        judges.judge(short, _port, rubric, evaluator_id="e", evaluator_version="1", allow_uncalibrated=True).collect()
+
+
+def test_calibration_ids(spark):
+    rows = [(1, "choice", "a", "a", True), (2, "choice", "b", None, False)]
+    df = spark.createDataFrame(rows, "record_id int, mode string, expected_label string, actual_label string, available boolean")
+    judge = {"evaluator_id": "e", "evaluator_version": "1", "rubric_hash": SHA, "mode": "choice"}
+    want = {"judgeId": "e", "judgeVersion": "1", "rubricHash": SHA, "mode": "choice", "minimumRecords": 5, "agreementFloor": 0.8, "labelledRecords": [{"record_id": 1, "expected_label": "a"}, {"record_id": 2, "expected_label": "b"}], "outcomes": [{"record_id": 1, "actual_label": "a", "available": True, "agreed": True}, {"record_id": 2, "actual_label": None, "available": False, "agreed": None}]}
+    assert calibration.calibration_id(judge, df.orderBy(F.desc("record_id"))) == hashing.content_hash(want)
+    report = spark.createDataFrame([("e", "1", SHA, True), ("f", "1", SHA, False)], "evaluator_id string, evaluator_version string, rubric_hash string, calibrated boolean")
+    calibration.assert_licensed(judge, report)
+    with pytest.raises(calibration.UncalibratedJudgeError):
+        calibration.assert_licensed(judge | {"evaluator_id": "f"}, report)
+
+
+def test_secrets(spark):
+    texts = {"key sk-proj-" + "a" * 24: ["sk_key"], "sk-ant-" + "b" * 24: ["sk_ant_key"], 'password = "0123456789abcdefg"': ["credential"], "plain": [], None: []}
+    df = spark.createDataFrame([(k,) for k in texts], "x string")
+    assert {r[0]: r[1] for r in df.select("x", text.secret_kinds("x")).collect()} == texts
