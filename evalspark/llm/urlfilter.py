@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalspark.llm.common import join_spread, save
+
 #: Rules up to this many are sent to all executors (about 1 MB); more are joined by a shuffle.
 BROADCAST_RULES = 10_000
 
@@ -49,7 +51,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", u
     dots and all prefixes of the path of a length that some rule has.  They are
     joined with the rules on 32 bits of their digests, the full digests confirm,
     and of the rules that fit the one with the longest host, then the longest
-    path, wins.  A host or page count that is very frequent costs one expansion.
+    path, wins.  A frequent host and path costs one expansion, and the pages that
+    have it stay spread when the rule comes back to them.
 
     A null URL, or one without ://, has an empty host and path and no rule, so
     its verdict is the default; repeated pages each give a row; rules that are
@@ -69,18 +72,21 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", u
         F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]) if lengths else F.array().cast("array<string>"),
         lambda p: p.isNotNull(),
     )
-    pairs = rows.where(F.col("host") != "").groupBy("host", "path").agg(F.lit(1).alias("one"))
+    # A host ends where the path's first / is, so both together name the pair.
+    rows = rows.withColumn("pair", F.concat("host", "path"))
+    pairs = rows.groupBy("pair", "host", "path").agg(F.count("*").alias("n"))
     wanted = (
-        pairs.select("host", "path", F.explode(F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.sha2(_expression(h, p), 256))))).alias("wanted"))
+        pairs.where(F.col("host") != "").select("pair", F.explode(F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.sha2(_expression(h, p), 256))))).alias("wanted"))
         .withColumn("short", short(F.col("wanted")))
     )
     known = known.withColumn("short", short(F.col("digest")))
     best = (
         wanted.join(F.broadcast(known) if few else known, "short")
         .where(F.col("wanted") == F.col("digest"))
-        .groupBy("host", "path")
+        .groupBy("pair")
         .agg(F.max_by(F.struct("rule", "verdict"), F.struct("weight", "rule")).alias("best"))
     )
-    return rows.join(best, ["host", "path"], "left").select(
+    judged = save(pairs.select("pair", "n").join(best, "pair", "left"), "judged")
+    return join_spread(rows, judged, "pair", "n").select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
     )
