@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evalspark.llm.common import partitions, save
+from evalspark.llm.common import drop_since, partitions, save, written
 
 WORDS = 5
 #: Of long texts one hash in SCALE is retained, on average.
@@ -15,6 +15,12 @@ SCALE = 8
 LEAST = 32
 
 
+def _below(hashes: Column, scale: int) -> Column:
+    """Those hashes of which one in scale is kept; the cut must not be a parameter of the test, where it would be the place."""
+    cut = F.lit(-(1 << 63) + (1 << 64) // scale) if scale > 1 else None
+    return hashes if cut is None else F.filter(hashes, lambda h: h < cut)
+
+
 def with_sketch(df: DataFrame, text: str, name: str, *, words: int = WORDS, scale: int = SCALE, runs: str | None = None) -> DataFrame:
     """Adds the sorted distinct hashes below a cut of all runs of words, and in the column runs, if named, all of them.
 
@@ -30,11 +36,11 @@ def with_sketch(df: DataFrame, text: str, name: str, *, words: int = WORDS, scal
     out = (
         df.withColumn("_words", F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
         .withColumn("_runs", F.array_distinct(F.when(F.size("_words") >= words, hashes).when(F.size("_words") > 0, F.array(F.xxhash64(F.array_join("_words", " ")))).otherwise(F.array().cast("array<bigint>"))))
-        .withColumn("_low", F.filter("_runs", lambda h: h < F.lit(-(1 << 63) + (1 << 64) // scale)) if scale > 1 else F.col("_runs"))
+        .withColumn("_low", _below(F.col("_runs"), scale))
     )
     while scale > 1:
         scale //= 2
-        more = F.filter("_runs", lambda h, cut=-(1 << 63) + (1 << 64) // scale: h < F.lit(cut)) if scale > 1 else F.col("_runs")
+        more = _below(F.col("_runs"), scale)
         out = out.withColumn("_low", F.when(F.size("_low") >= LEAST, F.col("_low")).otherwise(more))
     out = out.withColumn(name, F.array_sort("_low"))
     return (out.withColumn(runs, F.col("_runs")) if runs else out).drop("_words", "_runs", "_low")
@@ -90,7 +96,9 @@ def edited_fingerprints(docs: DataFrame, *, words: int = WORDS, scale: int = SCA
     own_id = F.col(id_col).cast("long")
     base = docs.select(own_id.alias("doc_id"), F.coalesce(own_id, F.lit(0)).alias("a"), F.xxhash64(text, own_id.isNull()).alias("b"), text.alias("text"))
     ids = base.groupBy("a", "b", "doc_id", F.length("text").cast("long").alias("n_chars")).agg(F.count("*").alias("rows"))
+    before = written()
     order = save(following(ids), "next")
+    drop_since(before, order)
     repeated = order.count() < docs.count()
     # Texts are shuffled once for three uses, without sketches: making these again takes no disk.
     texts = base.select("a", "b", "text").repartition(partitions(docs.sparkSession), "a", "b")
