@@ -8,10 +8,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import documents, join_spread, keyed, partitions, save
+from evalspark.llm.common import documents, drop_since, join_spread, keyed, lean, partitions, save, slices, written
 from evalspark.llm.graph import components
 
 SEED = 42
@@ -24,6 +24,8 @@ _PAIRS = np.array(
 )
 #: Groups of this many fingerprints and more are searched by flipping bits.
 LARGE = 4096
+#: Anchors with more fingerprints than this are split by a further part of the fingerprints.
+HOT = 8192
 
 
 def shingles(text: str, words: int) -> list[bytes]:
@@ -47,7 +49,7 @@ def fingerprints(docs: DataFrame, words: int, *, seeds: tuple[int, ...] = (SEED,
     names = ["doc_id", *(f"fp{i}" for i in range(len(seeds)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             found: list[list[int]] = [[] for _ in seeds]
             for text in batch.column(1):
                 runs = shingles(text.as_py(), words)
@@ -55,7 +57,7 @@ def fingerprints(docs: DataFrame, words: int, *, seeds: tuple[int, ...] = (SEED,
                     own.append(fingerprint(np.array([xxhash.xxh64_intdigest(x, seed) for x in runs], dtype="<u8")))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in found)], names=names)
 
-    return documents(docs, id_col, text_col).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return documents(docs, id_col, text_col).mapInArrow(lean(run), ", ".join(f"{n} long" for n in names))
 
 
 def anchors(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,12 +126,20 @@ def _masks(threshold: int) -> Iterator[np.int64]:
     return (x.view(np.int64) for x in found - {np.uint64(0)})
 
 
-def links(fps: DataFrame, threshold: int = 2) -> DataFrame:
+def parts_of(fp: Column, threshold: int) -> list[Column]:
+    """threshold + 1 parts of the fingerprint's bits: of two fingerprints within threshold bits one part at least is equal."""
+    edges = [64 * i // (threshold + 1) for i in range(threshold + 2)]
+    return [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1)) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def links(fps: DataFrame, threshold: int = 2, *, hot: int = HOT) -> DataFrame:
     """(u, v) edges that connect all distinct fingerprints fp which differ in threshold bits or fewer.
 
     With a threshold of 3 or less, one of two blocks of 31 bits differs in one
     bit at most, and the two fingerprints meet at an anchor of that block.
-    A fingerprint goes to 32 anchors at most.
+    A fingerprint goes to 32 anchors at most.  Those of an anchor with more than
+    hot go on to threshold + 1 groups each, by an equal part of all 64 bits, so
+    its pairs are found by many tasks.
     """
     if not 0 <= threshold <= 3:
         raise ValueError("the two blocks of 31 bits find all pairs up to 3 differing bits")
@@ -146,23 +156,36 @@ def links(fps: DataFrame, threshold: int = 2) -> DataFrame:
                     yield pd.DataFrame({"key": key, "away": np.repeat([False, True], [len(home), away.sum()]), "fp": np.concatenate([fp, np.repeat(fp, away.sum(axis=1))])})
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        held: list[pd.DataFrame] = []  # rows of the last group, which may go on
         for frame in frames:
-            rows = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            key = rows["key"].to_numpy()
-            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last group may go on
-            yield of(rows.iloc[:cut])
-            rest = rows.iloc[cut:]
-        if rest is not None:
-            yield of(rest)
-
-    def of(rows: pd.DataFrame) -> pd.DataFrame:
+            key = frame["key"].to_numpy()
+            if not len(key):
+                continue
+            if held and key[0] != held[-1]["key"].iloc[-1]:
+                yield of(held)
+                held = []
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut:
+                yield of([*held, frame.iloc[:cut]])
+                held = []
+            held.append(frame.iloc[cut:])
+        if held:
+            yield of(held)
+
+    def of(some: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(some, ignore_index=True)
         u, v = _links(rows["key"].to_numpy(), ~rows["away"].to_numpy(dtype=bool), rows["fp"].to_numpy(), threshold)
         return pd.DataFrame({"u": u, "v": v})
 
-    dealt = fps.select("fp").mapInPandas(deal, "key long, away boolean, fp long")
+    dealt = save(fps.select("fp").mapInPandas(lean(deal), "key long, away boolean, fp long"), "anchors")
+    crowded = save(dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key"), "crowded")
+    rows = dealt
+    if not crowded.isEmpty():
+        further = F.array(*[F.xxhash64("key", F.lit(i), part) for i, part in enumerate(parts_of(F.col("fp"), threshold))])
+        split = dealt.join(crowded, "key").select(F.explode(further).alias("key"), "away", "fp")
+        rows = dealt.join(crowded, "key", "left_anti").unionByName(split)
     parts = partitions(fps.sparkSession)
-    return dealt.repartition(parts, "key").sortWithinPartitions("key", "away").mapInPandas(compare, "u long, v long")
+    return rows.repartition(parts, "key").sortWithinPartitions("key", "away").mapInPandas(lean(compare), "u long, v long")
 
 
 def simhash_groups(docs: DataFrame, *, words: int = 3, threshold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,12 +199,14 @@ def simhash_groups(docs: DataFrame, *, words: int = 3, threshold: int = 2, id_co
     any other; null ids are passed over in the smallest id, which is null only
     where a component has no id at all; repeated rows each give a row.
     """
+    before = written()
     rows = save(fingerprints(docs, words, id_col=id_col, text_col=text_col).withColumnRenamed("fp0", "fp"), "fingerprints")
     nodes = save(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
     linked = components(links(nodes, threshold))
     groups = nodes.join(linked, nodes["fp"] == linked["node"]).groupBy("root").agg(F.min("first").alias("component_id"))
     named = linked.join(groups, "root").select(F.col("node").alias("fp"), "component_id")
     ids = save(nodes.join(named, "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id")), "ids")
+    drop_since(before, rows, ids)
     return join_spread(rows, ids, "fp", "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -258,13 +283,14 @@ def near_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_
     names = ["a", "b", "doc_id", "node", "n", "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 3):
             sets = [hashed(data.as_py().decode(), words) for data in batch.column(3)]
             node = pa.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) - (1 << 63) for x in sets], pa.int64())
             keys = pa.array([band_keys(x).tobytes() if len(x) else b"" for x in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], node, pa.array([len(x) for x in sets], pa.int64()), keys], names=names)
 
-    rows = keyed(docs, id_col, text_col).mapInArrow(run, "a long, b long, doc_id long, node long, n long, keys binary")
+    rows = keyed(docs, id_col, text_col).mapInArrow(lean(run), "a long, b long, doc_id long, node long, n long, keys binary")
+    before = written()
     rows = save(rows, "sets")
     nodes = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
 
@@ -284,15 +310,15 @@ def near_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_
             last = [key[-1:], n[-1:], node[-1:]]
 
     parts = partitions(docs.sparkSession)
-    dealt = nodes.select("node", "n", "keys").mapInArrow(deal, "key long, n long, node long")
-    linked = components(dealt.repartition(parts, "key").sortWithinPartitions("key", "n").mapInArrow(chain, "u long, v long"))
+    dealt = nodes.select("node", "n", "keys").mapInArrow(lean(deal), "key long, n long, node long")
+    linked = components(dealt.repartition(parts, "key").sortWithinPartitions("key", "n").mapInArrow(lean(chain), "u long, v long"))
     linked = save(linked, "candidates")
     # One document of each candidate node; its set is built again from the text.
     one = rows.groupBy("node").agg(F.min(F.struct("a", "b")).alias("k")).join(linked, "node").select("k.a", "k.b", "node", "root")
     texts = keyed(docs, id_col, text_col).join(one.hint("shuffle_hash"), ["a", "b"]).select("root", "node", "bytes")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2):
             sets = pa.array([hashed(x.as_py().decode(), words).tobytes() for x in batch.column(2)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets], names=["root", "node", "hashes"])
 
@@ -319,8 +345,9 @@ def near_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_
     def pairs(done: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], pa.int64()) for i in (0, 1)], names=["node", "group"])
 
-    sets = texts.mapInArrow(tokens, "root long, node long, hashes binary")
-    decided = save(sets.repartition(parts, "root").sortWithinPartitions("root", "node").mapInArrow(decide, "node long, group long"), "decided")
+    sets = texts.mapInArrow(lean(tokens), "root long, node long, hashes binary")
+    decided = save(sets.repartition(parts, "root").sortWithinPartitions("root", "node").mapInArrow(lean(decide), "node long, group long"), "decided")
+    drop_since(before, rows, decided)
     return rows.join(decided, "node", "left").select("a", "b", "doc_id", F.coalesce("group", "node").alias("group"))
 
 
@@ -330,8 +357,10 @@ def drop_near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8
     Null ids come last.  Of rows alike in id and text one stays; a null text is
     the empty text, and all texts without words are one group.
     """
+    before = written()
     groups = save(near_groups(docs, words=words, similarity=similarity, id_col=id_col, text_col=text_col), "groups")
     kept = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "a", "b")).alias("k")).select("k.a", "k.b")
+    drop_since(before, groups)
     columns = docs.columns
     own = docs.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)))
     named = {c: f"_c{i}" for i, c in enumerate(columns)}
