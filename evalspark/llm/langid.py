@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import save
+from evalspark.llm.common import lean, save, slices
 
 UNKNOWN = "und"
 SIZES = (3, 4)
@@ -21,7 +21,7 @@ TRAIN_DOCS = 40_000
 MIN_SHARE = 5e-6
 #: ... and this part of its share in the language where it is most frequent.
 MIN_PART = 0.25
-CHARS = 1 << 18
+CHARS = 1 << 16
 
 
 @lru_cache(maxsize=1)
@@ -71,33 +71,38 @@ def _slots(h: np.ndarray) -> list[np.ndarray]:
 
 
 class Filters:
-    """One Bloom filter a language, sliced by bits: a slot holds a bit for each language."""
+    """One Bloom filter a language, sliced by bits: a slot holds a bit for each language, 64 of them in a word."""
 
     def __init__(self, langs: list[str], grams: dict[str, np.ndarray]):
-        if len(langs) > 64:
-            raise ValueError("a slot holds 64 languages at most")
-        self.langs, self.table = langs, np.zeros(SLOTS, dtype=np.uint64)
+        self.langs, self.tables = langs, [np.zeros(SLOTS, dtype=np.uint64) for _ in range(-(-len(langs) // 64))]
         for i, lang in enumerate(langs):
             for slot in _slots(grams[lang]):
-                self.table[slot] |= np.uint64(1 << i)
+                self.tables[i // 64][slot] |= np.uint64(1 << i % 64)
         # How often a language claims an n-gram that it doesn't hold.
-        self.wrong = np.array([((self.table >> np.uint64(i)) & np.uint64(1)).mean() ** HASHES for i in range(len(langs))])
+        self.wrong = np.array([self._bit(self.tables, i).mean() ** HASHES for i in range(len(langs))])
 
-    def languages(self, h: np.ndarray) -> np.ndarray:
-        """Bitmask of all languages that hold each n-gram."""
+    @staticmethod
+    def _bit(words: list[np.ndarray], i: int) -> np.ndarray:
+        return (words[i // 64] >> np.uint64(i % 64)) & np.uint64(1)
+
+    def languages(self, h: np.ndarray) -> list[np.ndarray]:
+        """Bitmask of all languages that hold each n-gram, in words of 64 languages."""
         first, *rest = _slots(h)
-        mask = self.table[first]
-        for slot in rest:
-            mask = mask & self.table[slot]
-        return mask
+        masks = []
+        for table in self.tables:
+            mask = table[first]
+            for slot in rest:
+                mask = mask & table[slot]
+            masks.append(mask)
+        return masks
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         langs, scores = [], []
         for _, letters, hashes, owner in ngrams(texts):
             n = len(letters)
             total = np.bincount(owner, minlength=n)
-            mask = self.languages(hashes)
-            hits = np.stack([np.bincount(owner[(mask >> np.uint64(i)) & np.uint64(1) == 1], minlength=n) for i in range(len(self.langs))] or [np.zeros(n)])
+            masks = self.languages(hashes)
+            hits = np.stack([np.bincount(owner[self._bit(masks, i) == 1], minlength=n) for i in range(len(self.langs))] or [np.zeros(n)])
             wrong = self.wrong[:, None] if self.langs else 0.0
             share = np.clip((hits - total * wrong) / np.maximum(total, 1) / (1 - np.minimum(wrong, 0.999)), 0.0, 1.0)
             best = share.argmax(axis=0)
@@ -125,15 +130,14 @@ def fit(labelled: DataFrame, *, max_docs: int = TRAIN_DOCS, id_col: str = "doc_i
         rows = rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(1 << 20)) < int(max_docs / n * (1 << 20)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, len(whole), 256):
-                langs, texts = (c.to_pylist() for c in whole.slice(at, 256).columns)
-                for lang in sorted(set(langs)):
-                    for _, _, h, _ in ngrams([t for t, own in zip(texts, langs, strict=True) if own == lang]):
-                        grams, counts = np.unique(h, return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams.view(np.int64)), pa.array(counts)], names=["lang", "gram", "n"])
-
-    counts = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, "lang string, gram long, n long")
+        for some in slices(batches, 1):
+            langs, texts = (c.to_pylist() for c in some.columns)
+            for lang in sorted(set(langs)):
+                for _, _, h, _ in ngrams([t for t, own in zip(texts, langs, strict=True) if own == lang]):
+                    grams, counts = np.unique(h, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams.view(np.int64)), pa.array(counts)], names=["lang", "gram", "n"])
+
+    counts = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(lean(count), "lang string, gram long, n long")
     counts = save(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "ngrams")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     least = F.create_map(*[x for lang, t in totals.items() for x in (F.lit(lang), F.lit(t * MIN_SHARE))]) if totals else None
@@ -152,16 +156,17 @@ def predict(docs: DataFrame, filters: Filters, *, id_col: str = "doc_id", text_c
     The score is the part of the text's n-grams that the language holds,
     corrected for those the filter claims wrongly.  A null text, or one without
     a letter, is und with score 0; among languages that are level the one with
-    more text learned wins; repeated rows are alike; null ids stay null.
+    more text learned wins; repeated rows are alike; null ids stay null.  Any
+    number of languages may be learned.
     """
     kinds = dict(docs.dtypes)
     names = ["doc_id", "lang_pred", "score", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, len(whole), 256)):
+        for batch in slices(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             langs, scores = filters.predict(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *batch.columns[2:]], names=names)
 
     schema = ", ".join(["doc_id long", "lang_pred string", "score double", *(f"`{c}` {kinds[c]}" for c in keep)])
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col), *(F.col(c) for c in keep)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col), *(F.col(c) for c in keep)).mapInArrow(lean(run), schema)
