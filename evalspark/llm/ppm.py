@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import save
+from evalspark.llm.common import drop_since, lean, save, slices, written
 
 ORDER = 5
 #: Bytes that UTF-8 never has: before a text's start, and at its end.
@@ -173,7 +173,7 @@ def gram_counts(texts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["gram", "n"])
 
         parts: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
+        for batch in slices(batches, 0):
             for _, _, key, _ in grams(_bytes(batch.column(0))):
                 parts.append(np.unique(key, return_counts=True))
                 if sum(len(k) for k, _ in parts) > BLOCK:
@@ -184,7 +184,7 @@ def gram_counts(texts: DataFrame) -> DataFrame:
         if parts:
             yield out(parts)
 
-    return texts.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(lean(count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -199,7 +199,7 @@ def _word_counts(texts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
         found: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches, 0):
             for text in _bytes(batch.column(0)):
                 found.update(text.lower().split())
                 found[b" "] += 1
@@ -209,7 +209,7 @@ def _word_counts(texts: DataFrame) -> DataFrame:
         if found:
             yield out(found)
 
-    return texts.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(lean(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Head:
@@ -245,6 +245,7 @@ def score_documents(docs: DataFrame, train_on: DataFrame, *, head_grams: int = H
     are scored each.
     """
     learned = train_on.select(F.col(text_col).alias("text"))
+    before = written()
     counts = save(_word_counts(learned), "words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     low = float(np.log10(total["n"] + total["v"] + 1))
@@ -260,38 +261,36 @@ def score_documents(docs: DataFrame, train_on: DataFrame, *, head_grams: int = H
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs, table = shared.value.ready()
         log10 = np.append(shared.value.log10, 0.0)  # the last is for grams that are not in the head
-        for whole in batches:
-            for start in range(0, len(whole), 256):
-                batch = whole.slice(start, 256)
-                texts = _bytes(batch.column(2))
-                scores, others, ends = np.zeros(len(texts)), [], []
-                for at, end, key, owner in grams(texts):
-                    found_at = table.find(key)
-                    scores[at:end] = np.bincount(owner, weights=log10[found_at], minlength=end - at)
-                    other = key[found_at < 0].view(np.int64)
-                    ends.append(np.bincount(owner[found_at < 0], minlength=end - at))
-                    others.append(other)
-                grams_of = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], *ends]).cumsum(), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *others])))
-                tokens, known, base, offsets = [], [], [], [0]
-                rare_words: list[bytes] = []
-                rare_times: list[int] = []
-                for text in texts:
-                    words = text.lower().split()
-                    words.append(b" ")
-                    found = [logs[w] for w in words if w in logs]
-                    rare = Counter(w for w in words if w not in logs) if len(found) < len(words) else {}
-                    tokens.append(len(words))
-                    known.append(len(found))
-                    base.append(sum(found))
-                    rare_words += rare.keys()
-                    rare_times += rare.values()
-                    offsets.append(len(rare_words))
-                each = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_times, pa.int64())], names=["word", "times"])
-                columns = [pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), each), grams_of]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["row", "doc_id", "n_tokens", "n_known", "base", "score", "rest", "grams"])
+        for batch in slices(batches, 2, 256):
+            texts = _bytes(batch.column(2))
+            scores, others, ends = np.zeros(len(texts)), [], []
+            for at, end, key, owner in grams(texts):
+                found_at = table.find(key)
+                scores[at:end] = np.bincount(owner, weights=log10[found_at], minlength=end - at)
+                other = key[found_at < 0].view(np.int64)
+                ends.append(np.bincount(owner[found_at < 0], minlength=end - at))
+                others.append(other)
+            grams_of = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], *ends]).cumsum(), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *others])))
+            tokens, known, base, offsets = [], [], [], [0]
+            rare_words: list[bytes] = []
+            rare_times: list[int] = []
+            for text in texts:
+                words = text.lower().split()
+                words.append(b" ")
+                found = [logs[w] for w in words if w in logs]
+                rare = Counter(w for w in words if w not in logs) if len(found) < len(words) else {}
+                tokens.append(len(words))
+                known.append(len(found))
+                base.append(sum(found))
+                rare_words += rare.keys()
+                rare_times += rare.values()
+                offsets.append(len(rare_words))
+            each = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_times, pa.int64())], names=["word", "times"])
+            columns = [pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), each), grams_of]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["row", "doc_id", "n_tokens", "n_known", "base", "score", "rest", "grams"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scored = save(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, rest array<struct<word: binary, times: long>>, grams array<long>"), "scored")
+    scored = save(rows.mapInArrow(lean(run), "row long, doc_id long, n_tokens long, n_known long, base double, score double, rest array<struct<word: binary, times: long>>, grams array<long>"), "scored")
     rare_words = scored.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.times").join(counts, "word")
     others = scored.select("row", F.explode("grams").alias("gram")).groupBy("row", "gram").agg(F.count("*").alias("times"))
     others = save(others, "others")
@@ -304,6 +303,8 @@ def score_documents(docs: DataFrame, train_on: DataFrame, *, head_grams: int = H
         .groupBy("row")
         .agg(F.sum("times").alias("more"), F.sum("gain").alias("gain"), F.sum("log10").alias("log10"))
     )
+    more = save(more, "more")
+    drop_since(before, scored, more)
     return scored.drop("rest", "grams").join(more, "row", "left").select(
         "doc_id",
         "n_tokens",
