@@ -61,6 +61,24 @@ def test_bpe_operator(spark, texts, ids):
     assert bpe.encode_decode(frame(spark, [])).count() == 0
 
 
+def test_bpe_of_long_texts_by_many_tasks(spark):
+    """Texts above the bound for one task, with an unsplit stretch of many parts; and one of 10 MB."""
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    r = random.Random(21)
+    run = lambda n, letters="abthé": "".join(r.choices(letters, k=n))
+    some = [run(900) + " ".join(run(5) for _ in range(80)) + "<|endoftext|>" + run(700) + "  \n " + run(300, "日本a!") + "<|endoftext|><|endoftext|>", "x" * 1500 + " y", "short", None, " " * 900 + "a's", run(400)]
+    ids = [3, None, 5, 6, 3, 3]
+    got = bpe.encode_decode(frame(spark, some, ids), limit=50, whole=350, part=64).collect()
+    want = Counter((i, t or "", tuple(library.encode(t or "", add_special_tokens=False).ids)) for i, t in zip(ids, some, strict=True))
+    assert Counter((x.doc_id, x.decoded, tuple(x.ids)) for x in got) == want
+    large = "".join(r.choices(["the", "ing", "a", "Qu", "x"], k=5_000_000))
+    assert len(large) > 9_000_000
+    row = bpe.encode_decode(spark.createDataFrame([(1, large)], "doc_id long, text string"), digests=True).first()
+    assert row.decoded_sha256 == hashlib.sha256(large.encode()).hexdigest()
+    own = bpe.Codec(bpe.vocabulary_path(), bpe.split_pattern())
+    assert row.ids_sha256 == hashlib.sha256(",".join(map(str, own.encode(large))).encode()).hexdigest()
+
+
 def test_pack_histogram_holds_every_piece():
     r = random.Random(2)
     for size in (1, 8, 64):
@@ -105,6 +123,42 @@ def test_sharding(spark, texts, ids, shards):
     assert sharding.shard_documents(frame(spark, []), shards, nodes=8).count() == 0
 
 
+def test_sharding_places_keys_on_the_ring(spark):
+    """Each row's shard, from the ring walked key by key: home first, then clockwise to the next shard with room."""
+    n, shards, nodes = 400, 6, 8
+    rows = sharding.shard_documents(spark.range(n).selectExpr("id AS doc_id", "concat('t', id) AS text"), shards, nodes=nodes).collect()
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    points = sorted((signed(int.from_bytes(hashlib.blake2b(b"%d/%d" % (s, v), digest_size=8).digest(), "big")), s) for s in range(shards) for v in range(nodes))
+    arcs = defaultdict(int)
+    where = {}
+    for i in range(n):
+        h = signed(xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42))
+        arc = next((k for k, (p, _) in enumerate(points) if p >= h), 0)
+        arcs[arc] += 1
+        where[i] = arc
+    room = [n // shards + (s < n % shards) for s in range(shards)]
+    want = defaultdict(Counter)
+    left = {}
+    for arc in sorted(arcs):
+        home = points[arc][1]
+        take = min(arcs[arc], room[home])
+        room[home] -= take
+        want[arc][home] += take
+        left[arc] = arcs[arc] - take
+    for arc in sorted(left):
+        at = arc
+        while left[arc]:
+            at = (at + 1) % len(points)
+            take = min(left[arc], room[points[at][1]])
+            room[points[at][1]] -= take
+            want[arc][points[at][1]] += take
+            left[arc] -= take
+    got = defaultdict(Counter)
+    for x in rows:
+        got[where[x.doc_id]][x.shard] += 1
+    assert {a: +c for a, c in want.items()} == dict(got)
+
+
 def test_bounded_loads_keep_keys_at_home():
     points, owners = sharding.ring(6, 16)
     counts = {a: 10 + a % 7 for a in range(len(points))}
@@ -141,10 +195,46 @@ def test_language_id(spark):
 def test_filters_hold_what_was_put_in():
     grams = {x: np.random.default_rng(i).integers(0, 1 << 63, 5000, dtype=np.uint64) for i, x in enumerate("ab")}
     filters = langid.Filters(["a", "b"], grams)
-    assert (filters.languages(grams["a"]) & 1 == 1).all() and (filters.languages(grams["b"]) & 2 == 2).all()
+    assert (filters.languages(grams["a"])[0] & 1 == 1).all() and (filters.languages(grams["b"])[0] & 2 == 2).all()
     assert filters.wrong.max() < 0.01
 
 
+def test_more_languages_than_a_word_has_bits(spark):
+    r = random.Random(15)
+    kinds = {f"l{i:02}": ["".join(r.choices("abcdefghijklmnop", k=4)) for _ in range(6)] for i in range(70)}
+    rows = [(i, " ".join("".join(r.choices(kinds[k], k=2)) for _ in range(60)), k) for i, k in enumerate(list(kinds) * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = langid.fit(docs)
+    assert len(filters.langs) == 70 and len(filters.tables) == 2
+    assert all(x.lang_pred == x.lang for x in langid.predict(docs, filters, keep=("lang",)).collect())
+
+
+def test_language_id_by_exact_sets(spark):
+    """The prediction is that of the n-gram sets which the filters stand for, learned and counted here in plain Python."""
+    r = random.Random(16)
+    kinds = {"aa": ["bo", "ka", "lu", "mi"], "bb": ["bo", "fi", "gow", "mi"], "cc": ["ño", "él", "ka"]}
+    rows = [(i, " ".join("".join(r.choices(kinds[k], k=2)) for _ in range(r.randint(1, 8))), k) for i, k in enumerate(r.choices(list(kinds), k=150))]
+
+    def grams(text):
+        out = []
+        for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+            w = f" {word} "
+            out += [w[i : i + n] for n in langid.SIZES for i in range(len(w) - n + 1) if w[i : i + n].strip() and " " not in w[i + 1 : i + n - 1]]
+        return out
+
+    counts = {k: Counter() for k in kinds}
+    for _, text, k in rows:
+        counts[k].update(grams(text))
+    share = {k: {g: n / sum(c.values()) for g, n in c.items()} for k, c in counts.items()}
+    most = {g: max(s.get(g, 0) for s in share.values()) for s in share.values() for g in s}
+    held = {k: {g for g, x in s.items() if x >= langid.MIN_SHARE and x >= langid.MIN_PART * most[g]} for k, s in share.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for x in langid.predict(docs, langid.fit(docs), keep=("text",)).collect():
+        found = grams(x.text)
+        parts = {k: sum(g in held[k] for g in found) / len(found) for k in kinds}
+        assert x.score == pytest.approx(max(parts.values()), abs=0.01) and parts[x.lang_pred] == max(parts.values())
+
+
 def brute_fingerprint(text, words=3):
     w = (text or "").encode().lower().split()
     runs = [b" ".join(w[i : i + words]) for i in range(len(w) - words + 1)] or ([b" ".join(w)] if w else [])
@@ -194,6 +284,21 @@ def test_large_groups_by_flipping_bits(monkeypatch):
     assert set(zip(*few, strict=True)) == set(zip(*simhash._links(key, home, fp, 2), strict=True))
 
 
+def test_crowded_anchors(spark):
+    """Anchors with more fingerprints than the bound are split, and no link is lost."""
+    r = np.random.default_rng(4)
+    fp = np.unique(np.concatenate([np.bitwise_xor(r.integers(0, 8, 200), np.int64(1) << r.integers(40, 62, 200)), r.integers(-(1 << 62), 1 << 62, 50)]))
+    df = spark.createDataFrame([(int(x),) for x in fp], "fp long")
+    for threshold in (0, 1, 2, 3):
+        roots = []
+        for hot in (3, 1 << 20):
+            found = {x.node: x.root for x in simhash.components(simhash.links(df, threshold, hot=hot)).collect()}
+            roots.append({int(x): found.get(int(x), int(x)) for x in fp})
+        assert roots[0] == roots[1]
+    near = sum(int(a ^ b).bit_count() <= 2 if (a ^ b) >= 0 else False for i, a in enumerate(fp.tolist()) for b in fp.tolist()[:i])
+    assert near > 100
+
+
 def test_near_copies(spark):
     r = random.Random(5)
     base = [" ".join(f"w{r.randint(0, 10**6)}" for _ in range(200)) for _ in range(20)]
@@ -270,7 +375,7 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize(("hot", "widths"), [(1024, (32, 4, 1)), (2, (16, 4, 1)), (0, (8, 1))])
+@pytest.mark.parametrize(("hot", "widths"), [(1 << 16, (32, 4, 1)), (200, (16, 4, 1)), (0, (8, 1))])
 def test_suffix_dedup(spark, hot, widths):
     r = random.Random(6)
     base = ["".join(r.choice("abcdé ") for _ in range(300)) for _ in range(5)]
@@ -284,6 +389,20 @@ def test_suffix_dedup(spark, hot, widths):
     assert suffix.remove_repeats(frame(spark, []), 70).count() == 0
 
 
+def test_suffix_dedup_with_production_values(spark):
+    """Texts of megabytes, passages over the borders of blocks, and one text whole in another's midst."""
+    r = random.Random(17)
+    text = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    passage, copy = text(700), text(3000)
+    a = text(suffix.BLOCK - 300) + passage + text(2 * suffix.BLOCK - 500) + copy + text(900)
+    b = text(5000) + passage + text(399) + copy[1000:1500] + text(100)
+    some = [a, b, copy, copy, text(1 << 21) + passage[100:520], None, passage[:400], passage[1:400]]
+    rows = {x.doc_id: x for x in suffix.remove_repeats(frame(spark, some)).collect()}
+    for i, want in enumerate(brute_repeats(some, 400)):
+        assert (rows[i].n_bytes, rows[i].n_removed, rows[i].n_spans, rows[i].kept_sha256) == want
+    assert rows[6].n_removed == 400 and rows[7].n_removed == 0 and rows[0].n_removed >= 3700
+
+
 def test_suffix_order():
     r = random.Random(7)
     for letters in ("ab", "a", "abcdefgh"):
@@ -375,6 +494,41 @@ def test_urls(spark):
     assert urlfilter.judge_urls(pages.where("false"), urlfilter.rule_table(spark, rules)).count() == 0
 
 
+def test_cover_tree():
+    """Nesting, covering, separation and levels; every vector stands below one leaf."""
+    r = np.random.default_rng(6)
+    for x in (r.normal(size=(400, 5)).round(2) * 100, np.repeat(r.integers(0, 9, (40, 3)), 9, axis=0).astype(float), np.ones((100, 4)), r.normal(size=(1, 3))):
+        tree = topk.CoverTree(x)
+        assert sorted(tree.order) == list(range(len(x)))
+        for n, kids in enumerate(tree.children):
+            below = x[tree.order[slice(*tree.span[n])]]
+            away = np.sqrt(((below - x[tree.centers[n]]) ** 2).sum(axis=1))
+            assert away.max() <= tree.radius[n] + 1e-6
+            if not len(kids):
+                assert len(below) <= topk.LEAF or away.max() == 0
+                continue
+            cover = topk.BASE ** (tree.level[n] - 1)
+            centers = x[[tree.centers[c] for c in kids]]
+            assert tree.centers[n] == tree.centers[kids[0]] and tree.radius[n] <= topk.BASE ** tree.level[n] + 1e-6
+            assert all(tree.radius[c] <= cover + 1e-6 and (tree.level[c] is None or tree.level[c] < tree.level[n]) for c in kids)
+            gaps = np.sqrt(((centers[:, None] - centers[None, :]) ** 2).sum(axis=2))[~np.eye(len(kids), dtype=bool)]
+            assert (gaps > cover * (1 - 1e-6)).all()
+
+
+def test_top_k_of_clusters(spark):
+    """Clusters far apart, in many small groups and blocks."""
+    r = np.random.default_rng(8)
+    middle = r.normal(size=(12, 8)) * 40
+    x = np.concatenate([m + r.normal(size=(150, 8)) for m in middle]).astype(np.float32)
+    vectors = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {(q.query_id, q["rank"]): (q.vec_id, q.score) for q in topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 4, rows=100, per_block=10).collect()}
+    whole = np.floor(1024 * x.astype(float)).astype(int)
+    for q in range(0, len(x), 50):
+        score = whole @ whole[q]
+        best = sorted((-int(s), i) for i, s in enumerate(score) if i != q)[:4]
+        assert [got[q, n] for n in range(1, 5)] == [(i, -s) for s, i in best]
+
+
 @pytest.mark.parametrize("blocks", [(8192, 2048), (40, 3)])
 def test_top_k(spark, blocks):
     r = np.random.default_rng(3)
@@ -391,6 +545,32 @@ def test_top_k(spark, blocks):
     assert topk.top_k(vectors.where("false"), vectors.where("false"), 5).count() == 0
 
 
+def test_queries_leave_settings_and_folders_as_they_were(spark, tmp_path):
+    from evalspark.llm import common, queries
+
+    docs = frame(spark, ["one two three four five six seven " * 40, "some words " * 300, None, "x"]).select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [float(i), 1.0], 0) for i in range(300)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(1, "http://a.com/x", ""), (2, None, "")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    common.clear()
+    shown = lambda: {r.key: r.value for r in spark.sql("SET").collect()}
+    for name, query in queries.queries().items():
+        before = shown()
+        assert query(spark, str(tmp_path)).count() > 0, name
+        assert shown() == before, name
+    left = common.written()
+    common.clear()
+    fs = spark._jvm.org.apache.hadoop.fs
+    assert left and not common.written()
+    assert not any(fs.Path(t).getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs.Path(t)) for t in left)
+
+
+def test_top_k_refuses_inexact_products(spark):
+    vectors = spark.createDataFrame([(0, [1e9, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large for exact products"):
+        topk.top_k(vectors, vectors, 1).collect()
+
+
 def test_top_k_of_a_query_with_two_vectors(spark):
     vectors = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [3.0, 0.0]), (2, [0.0, 2.0]), (3, [1.0, 0.5])], "vec_id long, embedding array<float>")
     rows = topk.top_k(vectors, vectors.where("vec_id = 0"), 3, factor=2).collect()
@@ -417,6 +597,64 @@ def test_sketches(spark, texts, ids):
     assert sketch.edited_fingerprints(frame(spark, ["a b c d e f g h"])).first().near_next == 1
 
 
+def graded(runs, scale=sketch.SCALE):
+    """The sketch of a set of hashes: those below the least cut that leaves LEAST of them, or all."""
+    while scale > 1:
+        low = {h for h in runs if h < -(1 << 63) + (1 << 64) // scale}
+        if len(low) >= sketch.LEAST:
+            return low
+        scale //= 2
+    return set(runs)
+
+
+def runs_of(text):
+    """The hashes of all runs of five words, as Spark chains them."""
+    words = text.lower().split()
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    if 0 < len(words) < 5:
+        return {signed(xxh64_intdigest(" ".join(words).encode(), 42))}
+    out = set()
+    for i in range(len(words) - 4):
+        h = 42
+        for w in words[i : i + 5]:
+            h = xxh64_intdigest(w.encode(), h)
+        out.add(signed(h))
+    return out
+
+
+def test_fingerprints_by_brute_force(spark):
+    r = random.Random(18)
+    some = [" ".join(f"w{r.randint(0, 300)}" for _ in range(r.choice([0, 1, 3, 4, 5, 6, 40, 300, 1500]))) for _ in range(60)]
+    some += [some[0], some[0] + " extra words at the end of it", "", "One two THREE four five six"]
+    rows = {x.doc_id: x for x in sketch.edited_fingerprints(frame(spark, some)).collect()}
+    text = lambda hashes: "".join(f"{h % (1 << 64):016x}" for h in sorted(hashes))
+    part = lambda own, other: len(own & other) / len(own) if own else float(not other)
+    for i, t in enumerate(some):
+        after = some[(i + 1) % len(some)]
+        k = len(t) // 4
+        edited = t[: len(t) - k] + after[:k]
+        own = graded(runs_of(t))
+        got = rows[i]
+        assert (got.n_chars, got.fingerprint, got.edited_fingerprint) == (len(t), text(own), text(graded(runs_of(edited))))
+        assert got.near_edited == pytest.approx(part(own, runs_of(edited))) and got.near_next == pytest.approx(part(own, runs_of(after)))
+
+
+def test_sketches_merge(spark):
+    """Below the smaller cut the sketch of a union is the union of sketches, however unequal the texts."""
+    r = random.Random(19)
+    words = lambda n: [f"w{r.randint(0, 10**6)}" for _ in range(n)]
+    cut_of = lambda runs: next((-(1 << 63) + (1 << 64) // s for s in (8, 4, 2) if sum(h < -(1 << 63) + (1 << 64) // s for h in runs) >= sketch.LEAST), 1 << 63)
+    for n in (6, 40, 200, 3000):
+        texts = [" ".join(words(n)), " ".join(words(2000))]
+        rows = sketch.with_sketch(spark.createDataFrame([(t,) for t in texts], "text string"), "text", "s").collect()
+        a, b = (set(x.s) for x in rows)
+        whole = runs_of(texts[0]) | runs_of(texts[1])
+        cut = min(cut_of(runs_of(t)) for t in texts)
+        below = lambda hashes, cut=cut: {h for h in hashes if h < cut}
+        assert below(a) | below(b) == below(whole) and below(graded(whole)) >= below(graded(whole) & whole)
+        assert {h for h in graded(whole)} <= whole and below(a | b) == {h for h in whole if h < cut}
+
+
 def test_sketches_estimate_containment(spark):
     r = random.Random(8)
     a = [f"w{r.randint(0, 10**6)}" for _ in range(4000)]
