@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from evalspark.llm.bpe import codec, split_pattern, vocabulary_path
-from evalspark.llm.common import Intervals, documents, ranked, save
+from evalspark.llm.common import Intervals, documents, lean, ranked, save, slices
 
 
 def pack_histogram(counts: dict[int, int], size: int) -> list[tuple[int, dict[int, int]]]:
@@ -57,21 +57,19 @@ def pieces(docs: DataFrame, size: int, *, vocabulary: str | None, id_col: str, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                rows: list[tuple] = []
-                some = batch.slice(at, 256)
-                for doc, text in zip(some.column(0).to_pylist(), some.column(1), strict=True):
-                    ids = np.array([*own.encode(text.as_py()), 0], dtype="<u4")
-                    for start in range(0, len(ids), size):
-                        cut = ids[start : start + size]
-                        rows.append((doc, start, len(cut), zlib.crc32(cut.tobytes()), len(ids), *([cut.astype(np.int32)] if keep_ids else [])))
-                if rows:
-                    kinds = [pa.int64()] * 5 + [ids_kind] * keep_ids
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        for some in slices(batches, 1):
+            rows: list[tuple] = []
+            for doc, text in zip(some.column(0).to_pylist(), some.column(1), strict=True):
+                ids = np.array([*own.encode(text.as_py()), 0], dtype="<u4")
+                for start in range(0, len(ids), size):
+                    cut = ids[start : start + size]
+                    rows.append((doc, start, len(cut), zlib.crc32(cut.tobytes()), len(ids), *([cut.astype(np.int32)] if keep_ids else [])))
+            for at in range(0, len(rows), 4096):
+                columns = zip(zip(*rows[at : at + 4096], strict=True), [pa.int64()] * 5 + [ids_kind] * keep_ids, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names=names)
 
     schema = ", ".join(f"{n} long" for n in names[:5]) + (", ids array<int>" if keep_ids else "")
-    return documents(docs, id_col, text_col).mapInArrow(run, schema)
+    return documents(docs, id_col, text_col).mapInArrow(lean(run), schema)
 
 
 def pack_documents(docs: DataFrame, size: int = 1024, *, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
