@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from evalspark.llm.common import documents, drop_since, join_spread, keyed, lean, partitions, save, slices, written
 from evalspark.llm.graph import components
@@ -216,6 +217,12 @@ BANDS, ROWS = 24, 6
 _FACTORS, _OFFSETS, _WEIGHTS = (x | np.uint64(1) for x in np.random.default_rng(SEED).integers(0, 1 << 64, (3, BANDS * ROWS), dtype=np.uint64))
 
 
+#: Bytes of linked candidates' sets that meet in one task; more are compared by chunks.
+BOUND = 1 << 20
+#: Sets of such a group that all others are held against first.
+HUBS = 8
+
+
 def hashed(text: str, words: int) -> np.ndarray:
     """The sorted distinct hashes of the text's runs of words."""
     runs = set(shingles(text, words))
@@ -272,13 +279,14 @@ def similar_groups(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return group
 
 
-def near_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, bound: int = BOUND, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(a, b, doc_id, group): groups of documents linked by pairs whose sets of runs of words have this Jaccard similarity.
 
     a and b are the key of keyed().  Documents that share a band's key, or are
-    linked by such, are candidates; the sets of all candidates that are linked
-    meet in one place, where each pair is decided by its exact similarity, and
-    no group is capped.  Documents with the same set are one node.
+    linked by such, are candidates.  The sets of candidates that are linked meet
+    in one task where they hold up to bound bytes, and in many, by chunks of
+    about that size, where they hold more; each pair is decided by its exact
+    similarity, and no group is capped.  Documents with the same set are one node.
     """
     names = ["a", "b", "doc_id", "node", "n", "keys"]
 
@@ -331,8 +339,7 @@ def near_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_
                 if r != root:
                     done += of(held)
                     root, held = r, []
-                if not held or held[-1][0] != node:  # rows alike in id and text come one after another
-                    held.append((node, hashes))
+                held.append((node, hashes))
             yield pairs(done)
         yield pairs(of(held))
 
@@ -345,12 +352,77 @@ def near_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_
     def pairs(done: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], pa.int64()) for i in (0, 1)], names=["node", "group"])
 
-    sets = texts.mapInArrow(lean(tokens), "root long, node long, hashes binary")
-    decided = save(sets.repartition(parts, "root").sortWithinPartitions("root", "node").mapInArrow(lean(decide), "node long, group long"), "decided")
+    # Rows alike in id and text give a set twice.
+    sets = save(texts.mapInArrow(lean(tokens), "root long, node long, hashes binary").dropDuplicates(["node"]), "hashes")
+    loads = save(sets.groupBy("root").agg(F.sum(F.octet_length("hashes")).alias("size")).withColumn("chunks", F.ceil(F.col("size") / bound)), "loads")
+    small = sets.join(loads.where("chunks = 1").select("root"), "root")
+    decided = small.repartition(parts, "root").sortWithinPartitions("root", "node").mapInArrow(lean(decide), "node long, group long")
+    large = loads.where("chunks > 1").select("root", "chunks")
+    if not large.isEmpty():
+        members = save(sets.join(large, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks"))), "members")
+        linked = components(_large_links(members, similarity, bound))
+        decided = decided.union(linked.select("node", F.col("root").alias("group")))
+    decided = save(decided, "decided")
     drop_since(before, rows, decided)
     return rows.join(decided, "node", "left").select("a", "b", "doc_id", F.coalesce("group", "node").alias("group"))
 
 
+def similar_pairs(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of all pairs of sets, of sorted distinct hashes, with this exact Jaccard similarity or more."""
+    size = np.array([len(x) for x in right])
+    token = np.concatenate(right)
+    by = np.argsort(token, kind="stable")
+    token, owner = token[by], np.repeat(np.arange(len(right)), size)[by]
+    us, vs = [], []
+    for i, own in enumerate(left):
+        lo, hi = np.searchsorted(token, own, "left"), np.searchsorted(token, own, "right")
+        n = hi - lo
+        at = np.arange(n.sum()) - np.repeat(n.cumsum() - n, n) + np.repeat(lo, n)
+        shared = np.bincount(owner[at], minlength=len(right))
+        near = np.flatnonzero(shared >= similarity * (len(own) + size - shared) - 1e-9)
+        us.append(np.full(len(near), i))
+        vs.append(near)
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def _large_links(members: DataFrame, similarity: float, bound: int) -> DataFrame:
+    """(u, v) edges that connect the same sets as all pairs of this similarity within a root; members: root, node, hashes, chunks, chunk.
+
+    No task holds more than two chunks of about bound bytes.  Each set is held
+    against a few hubs of its root, twice; in a group of near copies that leaves
+    few.  What no hub is similar to is then held, in blocks, against all sets of
+    the root, so no link is lost whatever the hubs are.
+    """
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"u": [], "v": []}).astype("int64")
+        one, other = ([np.frombuffer(x, dtype="<u8") for x in df["hashes"]] for df in (a, b))
+        i, j = similar_pairs(one, other, similarity)
+        u, v = a["node"].to_numpy()[i], b["node"].to_numpy()[j]
+        u, v = _forest(u[u != v], v[u != v])
+        return pd.DataFrame({"u": u, "v": v})
+
+    def against(right: DataFrame) -> DataFrame:
+        """Edges of the members with right (root, block, node, hashes, chunks), each chunk with each block of its root."""
+        blocks = right.select("root", (F.col("block") + 0).alias("block")).distinct()  # columns of its own, as right is met again
+        left = members.join(blocks, "root").groupBy("root", "chunk", "block")
+        spread = right.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        return save(left.cogroup(spread.groupBy("root", "chunk", "block")).applyInPandas(compare, "u long, v long"), "links")
+
+    rest, edges = members, None
+    for turn in range(2):
+        place = F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("node", F.lit(turn))))
+        hubs = save(rest.withColumn("_place", place).where(F.col("_place") <= HUBS).select("root", F.lit(0).cast("long").alias("block"), "node", "hashes", "chunks"), "hubs")
+        found = against(hubs)
+        edges = found if edges is None else edges.union(found)
+        met = found.select(F.col("u").alias("node")).union(found.select("v")).distinct()
+        rest = save(rest.join(met, "node", "left_anti").join(hubs.select("node"), "node", "left_anti"), "rest")
+    loads = rest.groupBy("root").agg(F.ceil(F.sum(F.octet_length("hashes")) / bound).alias("blocks"))
+    last = rest.join(loads, "root").withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")))
+    return edges.union(against(save(last.select("root", "block", "node", "hashes", "chunks"), "last")))
+
+
 def drop_near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group of near copies: the one with the smallest id, then key.
 
