@@ -209,29 +209,36 @@ def test_more_languages_than_a_word_has_bits(spark):
     assert all(x.lang_pred == x.lang for x in langid.predict(docs, filters, keep=("lang",)).collect())
 
 
-def test_language_id_by_exact_sets(spark):
-    """The prediction is that of the n-gram sets which the filters stand for, learned and counted here in plain Python."""
-    r = random.Random(16)
-    kinds = {"aa": ["bo", "ka", "lu", "mi"], "bb": ["bo", "fi", "gow", "mi"], "cc": ["ño", "él", "ka"]}
-    rows = [(i, " ".join("".join(r.choices(kinds[k], k=2)) for _ in range(r.randint(1, 8))), k) for i, k in enumerate(r.choices(list(kinds), k=150))]
+def brute_grams(text):
+    out = []
+    for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+        w = f" {word} "
+        out += [w[i : i + n] for n in langid.SIZES for i in range(len(w) - n + 1) if w[i : i + n].strip() and " " not in w[i + 1 : i + n - 1]]
+    return out
 
-    def grams(text):
-        out = []
-        for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
-            w = f" {word} "
-            out += [w[i : i + n] for n in langid.SIZES for i in range(len(w) - n + 1) if w[i : i + n].strip() and " " not in w[i + 1 : i + n - 1]]
-        return out
 
-    counts = {k: Counter() for k in kinds}
-    for _, text, k in rows:
-        counts[k].update(grams(text))
+def brute_languages(rows):
+    """For each (text, language or none) the parts of its n-grams that each language's exact set holds."""
+    counts = defaultdict(Counter)
+    for text, k in rows:
+        if k is not None and text is not None:
+            counts[k].update(brute_grams(text))
     share = {k: {g: n / sum(c.values()) for g, n in c.items()} for k, c in counts.items()}
     most = {g: max(s.get(g, 0) for s in share.values()) for s in share.values() for g in s}
     held = {k: {g for g, x in s.items() if x >= langid.MIN_SHARE and x >= langid.MIN_PART * most[g]} for k, s in share.items()}
+    found = [brute_grams(text or "") for text, _ in rows]
+    return [{k: sum(g in held[k] for g in f) / len(f) for k in counts} if f else {} for f in found]
+
+
+def test_language_id_by_exact_sets(spark):
+    """The prediction is that of the n-gram sets which the filters stand for, learned and counted here in plain Python."""
+    r = random.Random(16)
+    kinds = {"aa": ["bo", "ka", "lu", "mi"], "bb": ["bo", "fi", "gow", "mi"], "cc": ["ño", "él", "ka"]}
+    rows = [(i, " ".join("".join(r.choices(kinds[k], k=2)) for _ in range(r.randint(1, 8))), k) for i, k in enumerate(r.choices(list(kinds), k=150))]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    for x in langid.predict(docs, langid.fit(docs), keep=("text",)).collect():
-        found = grams(x.text)
-        parts = {k: sum(g in held[k] for g in found) / len(found) for k in kinds}
+    want = brute_languages([(t, k) for _, t, k in rows])
+    for x in langid.predict(docs, langid.fit(docs)).collect():
+        parts = want[x.doc_id]
         assert x.score == pytest.approx(max(parts.values()), abs=0.01) and parts[x.lang_pred] == max(parts.values())
 
 
@@ -321,7 +328,8 @@ def brute_groups(texts, words, similarity):
     return {frozenset(i for i, g in enumerate(group) if g == k) for k in group}
 
 
-def test_near_groups_by_exact_similarity(spark):
+@pytest.mark.parametrize("bound", [simhash.BOUND, 1000])
+def test_near_groups_by_exact_similarity(spark, bound):
     """Pairs of similarity 0.7 to 0.95: words replaced, text appended, a line of few words, short texts."""
     r = random.Random(12)
     word = lambda n=10**6: f"w{r.randint(0, n)}"
@@ -338,7 +346,7 @@ def test_near_groups_by_exact_similarity(spark):
         some += [" ".join(t), " ".join(other)]
     want = brute_groups(some, 5, 0.8)
     assert 60 < sum(len(x) == 2 for x in want) < 180
-    rows = simhash.near_groups(frame(spark, some)).collect()
+    rows = simhash.near_groups(frame(spark, some), bound=bound).collect()
     got = defaultdict(set)
     for x in rows:
         got[x.group].add(x.doc_id)
@@ -348,6 +356,28 @@ def test_near_groups_by_exact_similarity(spark):
     assert sum(len(x) == 2 for x in want - got) <= 1
 
 
+def test_large_near_groups_lose_no_link(spark):
+    """Groups above the bound for one task: variants of few texts, linked in chains and through the hubs or not at all."""
+    r = random.Random(22)
+    word = lambda: f"w{r.randint(0, 10**6)}"
+    some = []
+    for _ in range(3):
+        t = [word() for _ in range(120)]
+        for step in range(60):
+            if step % 3 == 0:  # the chain goes on from the variant, so its ends aren't similar
+                t = [x if r.random() > 0.01 else word() for x in t]
+            some.append(" ".join(x if r.random() > 0.012 else word() for x in t))
+    want = brute_groups(some, 5, 0.8)
+    for bound in (1 << 20, 20_000, 3_000):
+        got = defaultdict(set)
+        for x in simhash.near_groups(frame(spark, some), bound=bound).collect():
+            got[x.group].add(x.doc_id)
+        got = {frozenset(x) for x in got.values()}
+        assert all(any(g <= w for w in want) for g in got)
+        # A link is missed only where its two texts share no band and nothing links them otherwise.
+        assert len(got) <= len(want) + 2
+
+
 def test_similar_groups():
     r = random.Random(13)
     base = [[r.randint(0, 10**6) for _ in range(r.randint(1, 40))] for _ in range(25)]
