@@ -60,7 +60,16 @@ def query_fields(text: Column) -> Column:
 
 
 _TYPES = {"string": "STRING", "integer": "BIGINT", "boolean": "BOOLEAN", "null": "VOID"}
-_KNOWN = {"type", "required", "properties", "additionalProperties", "enum", "const", "minLength", "minimum", "maximum", "items", "$schema", "title", "description"}
+#: Bounds: for each keyword what it measures, and when the measure breaks it.
+_BOUNDS = {
+    "minLength": ("length", lambda x, n: x < n), "maxLength": ("length", lambda x, n: x > n),
+    "minimum": ("number", lambda x, n: x < n), "maximum": ("number", lambda x, n: x > n),
+    "exclusiveMinimum": ("number", lambda x, n: x <= n), "exclusiveMaximum": ("number", lambda x, n: x >= n),
+    "multipleOf": ("number", lambda x, n: F.abs(x / n - F.round(x / n)) > 1e-9),
+    "minItems": ("items", lambda x, n: x < n), "maxItems": ("items", lambda x, n: x > n),
+    "minProperties": ("names", lambda x, n: x < n), "maxProperties": ("names", lambda x, n: x > n),
+}
+_KNOWN = {"type", "required", "properties", "additionalProperties", "enum", "const", "pattern", "items", "allOf", "anyOf", "oneOf", "not", "$schema", "title", "description", *_BOUNDS}
 
 
 def schema_errors(json_col: Column, schema: dict[str, Any]) -> Column:
@@ -75,10 +84,10 @@ def _errors(value: Column, schema: dict[str, Any], path: str) -> Column:
     kind = F.schema_of_variant(value)
     checks: list[Column] = []
     error = lambda bad, what: F.when(F.coalesce(bad, F.lit(False)), F.array(F.lit(f"{path}: {what}"))).otherwise(F.array().cast("array<string>"))
-    is_object, is_text = kind.startswith("OBJECT"), kind == "STRING"
+    is_object, is_array, is_text = kind.startswith("OBJECT"), kind.startswith("ARRAY"), kind == "STRING"
     number = F.try_variant_get(value, "$", "double")
     is_number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
-    tests = {"object": is_object, "array": kind.startswith("ARRAY"), "number": is_number, "integer": is_number & (number == F.floor(number))} | {k: kind == v for k, v in _TYPES.items() if k != "integer"}
+    tests = {"object": is_object, "array": is_array, "number": is_number, "integer": is_number & (number == F.floor(number))} | {k: kind == v for k, v in _TYPES.items() if k != "integer"}
     if "type" in schema:
         wanted = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
         good = F.lit(False)
@@ -89,13 +98,22 @@ def _errors(value: Column, schema: dict[str, Any], path: str) -> Column:
     for key, values in (("enum", schema.get("enum")), ("const", [schema["const"]] if "const" in schema else None)):
         if values is not None:
             checks.append(error(~F.coalesce(F.to_json(value).isin([json.dumps(v, ensure_ascii=False) for v in values]), F.lit(False)), key))
-    if "minLength" in schema:
-        checks.append(error(is_text & (F.length(text) < schema["minLength"]), "minLength"))
-    if "minimum" in schema:
-        checks.append(error(is_number & (number < schema["minimum"]), "minimum"))
-    if "maximum" in schema:
-        checks.append(error(is_number & (number > schema["maximum"]), "maximum"))
     names = F.json_object_keys(F.to_json(value))
+    items = F.try_variant_get(value, "$", "array<variant>")
+    # Each measure is null, and breaks nothing, where the value isn't of its type.
+    measures = {"length": F.when(is_text, F.length(text)), "number": F.when(is_number, number), "items": F.when(is_array, F.size(items)), "names": F.when(is_object, F.size(names))}
+    checks += [error(broken(measures[what], F.lit(schema[key])), key) for key, (what, broken) in _BOUNDS.items() if key in schema]
+    if "pattern" in schema:
+        checks.append(error(is_text & ~text.rlike(f"(?U){schema['pattern']}"), "pattern"))
+    fits = lambda key: [F.size(_errors(value, inner, path)) == 0 for inner in schema[key]]
+    count = lambda tests: sum((t.cast("int") for t in tests), F.lit(0))
+    checks += [_errors(value, inner, path) for inner in schema.get("allOf", [])]
+    if "anyOf" in schema:
+        checks.append(error(count(fits("anyOf")) == 0, "anyOf"))
+    if "oneOf" in schema:
+        checks.append(error(count(fits("oneOf")) != 1, "oneOf"))
+    if "not" in schema:
+        checks.append(error(F.size(_errors(value, schema["not"], path)) == 0, "not"))
     for name in schema.get("required", []):
         checks.append(error(is_object & ~F.array_contains(names, name), f"required {name}"))
     if schema.get("additionalProperties") is False:
@@ -105,6 +123,5 @@ def _errors(value: Column, schema: dict[str, Any], path: str) -> Column:
         field = F.try_variant_get(value, f"$.{name}", "variant")
         checks.append(F.when(is_object & F.array_contains(names, name), _errors(field, inner, f"{path}.{name}")).otherwise(F.array().cast("array<string>")))
     if "items" in schema:
-        items = F.try_variant_get(value, "$", "array<variant>")
-        checks.append(F.when(kind.startswith("ARRAY"), F.flatten(F.transform(items, lambda v: _errors(v, schema["items"], f"{path}[]")))).otherwise(F.array().cast("array<string>")))
+        checks.append(F.when(is_array, F.flatten(F.transform(items, lambda v: _errors(v, schema["items"], f"{path}[]")))).otherwise(F.array().cast("array<string>")))
     return F.concat(*checks) if checks else F.array().cast("array<string>")

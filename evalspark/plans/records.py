@@ -7,7 +7,7 @@ from datetime import UTC, date, datetime
 
 from pyspark.sql import functions as F
 
-from evalspark.functions import hashing, spans, text
+from evalspark.functions import hashing, jsonwalk, spans, text
 from evalspark.operators import calibration, compare, corpus, judges, metrics, scores
 from evalspark.plans.queries import _JUDGED, _SCORES, _filled, _judged, _ladder, _runs, _span_sides, _MATCHED, query, quoted_port, table
 from evalspark.sources import ledger
@@ -300,13 +300,14 @@ _HASH = "sha256:" + "0" * 64
     j AS (SELECT '{{' || string_agg('"' || n || '":"' || h || '"', ',' ORDER BY n) || '}}' s FROM s),
     b AS (SELECT '"configHash":"sha256:' || sha256('{{"k":1.5}}') || '","corpusHash":"{_HASH}","createdAt":"2024-01-01T00:00:00+00:00","hypotheses":[{{"id":"h1","statement":"it holds"}}]' a, ',"schemaVersion":"evalspark-freeze/v1","sourceHashes":' || s || ',"world":{{"contentHash":"{_HASH}","name":"w","revision":"1","revisions":{{}}}}' z FROM j),
     f AS (SELECT a, z, 'sha256:' || sha256('{{"config":{{"k":1.5}},' || a || z || '}}') i FROM b)
-    SELECT i AS manifest_id, 'preregistration.json' AS file, sha256('{{"config":{{"k":1.5}},' || a || ',"manifestId":"' || i || '"' || z || '}}' || chr(10)) AS sha256 FROM f""")
+    SELECT i AS manifest_id, 'preregistration.md' AS file, sha256('# Preregistration ' || i || chr(10) || chr(10) || '- created 2024-01-01T00:00:00+00:00' || chr(10) || '- world w at 1' || chr(10) || '- configuration sha256:' || sha256('{{"k":1.5}}') || chr(10) || '- corpus {_HASH}' || chr(10) || chr(10) || '## Sources' || chr(10) || chr(10) || (SELECT string_agg('- ' || n || ': ' || h, chr(10) ORDER BY n) FROM s) || chr(10) || chr(10) || '## Hypotheses' || chr(10) || chr(10) || '- h1: it holds' || chr(10)) AS sha256 FROM f
+    UNION ALL SELECT i, 'preregistration.json', sha256('{{"config":{{"k":1.5}},' || a || ',"manifestId":"' || i || '"' || z || '}}' || chr(10)) AS sha256 FROM f""")
 def q57_freeze(spark, d):
-    """A freeze over the regions as sources, and the file that records it."""
+    """A freeze over the regions as sources, and the files that record it."""
     sources = {r[0]: f"{r[0]} {r[1]}" for r in table(spark, d, "region").select("r_name", "r_regionkey").collect()}  # a table of fixed size
     made = corpus.build_freeze({"k": 1.5}, sources, _HASH, {"name": "w", "revision": "1", "contentHash": _HASH}, _CREATED, [{"id": "h1", "statement": "it holds"}])
     files = corpus.preregistration_files(made)
-    rows = spark.createDataFrame([(made["manifestId"], n, t) for n, t in files.items() if n.endswith(".json")], "manifest_id string, file string, t string")
+    rows = spark.createDataFrame([(made["manifestId"], n, t) for n, t in files.items()], "manifest_id string, file string, t string")
     return rows.select("manifest_id", "file", F.sha2("t", 256).alias("sha256"))
 
 
@@ -353,3 +354,12 @@ def q65_quoted(spark, d):
     """The rule of the port for trials as an expression alone."""
     hit = F.lower("text").contains(F.lower("lang"))
     return table(spark, d, "documents").where("lang IS NOT NULL").select(F.col("doc_id").cast("string").alias("case_id"), hit.cast("double").alias("score"), F.when(hit, "grounded").otherwise("hallucinated").alias("label"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE regexp_replace(lower(o_orderpriority), '[^0-9a-z]+', '', 'g') || ',total' END AS fields FROM orders""")
+def q66_json_fields(spark, d):
+    """Names that a query of JSON mentions, at several depths; where a third of the texts is no JSON, none."""
+    o = table(spark, d, "orders")
+    named = F.to_json(F.struct(F.struct(F.concat(F.lit("t."), "o_orderpriority").alias("field")).alias("q"), F.struct(F.struct(F.lit("x.y.Total").alias("value_field"), F.lit("b").alias("note")).alias("most")).alias("more")))
+    asked = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("not "), named)).otherwise(named)
+    return o.select("o_orderkey", F.array_join(jsonwalk.query_fields(asked), ",").alias("fields"))

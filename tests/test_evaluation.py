@@ -121,7 +121,19 @@ def test_schema_errors(spark):
     df = spark.createDataFrame([('{"id":7}',), ('{"id":"x","y":1}',), ("{",)], "j string")
     assert [len(r[0]) for r in df.select(jsonwalk.schema_errors(df.j, schema)).collect()] == [0, 2, 1]
     with pytest.raises(ValueError):
-        jsonwalk.schema_errors(df.j, {"pattern": "x"})
+        jsonwalk.schema_errors(df.j, {"format": "date"})
+
+
+def test_schema_keywords(spark):
+    cases = [
+        ({"maxLength": 2, "pattern": "^a"}, '"bcd"', 2), ({"maxLength": 3, "pattern": "^a"}, '"abc"', 0), ({"maxLength": 1}, "12345", 0),
+        ({"exclusiveMinimum": 3, "exclusiveMaximum": 5}, "3", 1), ({"exclusiveMinimum": 3, "exclusiveMaximum": 5}, "4", 0), ({"multipleOf": 0.5}, "1.75", 1), ({"multipleOf": 0.5}, "2.5", 0),
+        ({"minItems": 2, "items": {"type": "integer"}}, '["x"]', 2), ({"maxItems": 1}, "[1, 2]", 1), ({"minProperties": 1}, "{}", 1), ({"maxProperties": 1}, '{"a": 1}', 0),
+        ({"allOf": [{"minimum": 2}, {"maximum": 0}]}, "1", 2), ({"anyOf": [{"type": "string"}, {"type": "null"}]}, "1", 1), ({"anyOf": [{"type": "string"}, {"type": "null"}]}, "null", 0),
+        ({"oneOf": [{"minimum": 1}, {"minimum": 2}]}, "3", 1), ({"oneOf": [{"minimum": 1}, {"minimum": 2}]}, "1", 0), ({"not": {"type": "object"}}, "{}", 1), ({"not": {"type": "object"}}, "[]", 0),
+    ]
+    row = spark.range(1).select(*(F.size(jsonwalk.schema_errors(F.lit(text), schema)).alias(f"c{i}") for i, (schema, text, _) in enumerate(cases))).first()
+    assert list(row) == [n for _, _, n in cases]
 
 
 def test_forbidden_values(spark):
