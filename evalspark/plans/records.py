@@ -45,7 +45,7 @@ def q38_grouped_evidence(spark, d):
 
 @query("""
     SELECT CAST(c_custkey AS VARCHAR) AS case_id, CASE WHEN k = 0 THEN 'empty_wrong' WHEN k = 1 THEN 'ambiguous_shape' WHEN k = 2 AND abs(c_acctbal) > 0 THEN 'wrong_value' END AS subtype,
-           CASE WHEN k >= 2 THEN c_acctbal + CASE WHEN k = 2 THEN c_acctbal ELSE 0 END END AS observed, CASE WHEN k >= 2 THEN c_acctbal END AS expected, CASE WHEN k = 0 THEN 0 ELSE 1 END AS row_count, CAST(greatest(0, c_custkey % 4 - 1) AS INT) AS repair_rounds
+           CASE WHEN k >= 2 THEN c_acctbal + CASE WHEN k = 2 THEN c_acctbal ELSE 0 END END AS observed, CASE WHEN k >= 2 THEN c_acctbal END AS expected, CAST(CASE WHEN k = 0 THEN 0 ELSE 1 END AS BIGINT) AS row_count, CAST(greatest(0, c_custkey % 4 - 1) AS INT) AS repair_rounds
     FROM (SELECT *, c_custkey % 5 k FROM customer)""")
 def q39_scalar_evidence(spark, d):
     c = table(spark, d, "customer").withColumn("k", F.col("c_custkey") % 5)
@@ -112,7 +112,7 @@ def q42_id_evidence(spark, d):
     v AS (SELECT CASE WHEN h THEN CASE WHEN x THEN 0.0 ELSE 1.0 END WHEN NOT x OR p OR n THEN 0.0 ELSE 1.0 END AS score,
         CASE WHEN h THEN CASE WHEN x THEN 'unexpected_execution' ELSE 'correct' END WHEN NOT x THEN CASE WHEN s = 'P' THEN 'refused' WHEN r LIKE '1%' THEN 'repair_exhausted' WHEN r LIKE '2%' THEN 'rejected_pre_execution' WHEN r LIKE '3%' THEN 'refused' ELSE 'runtime_error' END
              WHEN p THEN 'field_conformance' WHEN n THEN 'empty_wrong' ELSE 'correct' END AS label FROM o)
-    SELECT label, sum(score) AS score, count(*) AS n FROM v GROUP BY 1""")
+    SELECT label, CAST(sum(score) AS DOUBLE) AS score, count(*) AS n FROM v GROUP BY 1""")
 def q43_verdict_scores(spark, d):
     found = scores.normalize_scores(scores.verdict_scores(_ladder(spark, d)))
     return found.groupBy("label").agg(F.sum("score").alias("score"), F.count("*").alias("n"))
