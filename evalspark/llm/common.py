@@ -135,6 +135,37 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = (
     return docs.select(F.coalesce(own, F.lit(0)).alias("a"), F.xxhash64(text, own.isNull()).alias("b"), own.alias("doc_id"), text.cast("binary").alias("bytes"), *keep)
 
 
+def repeats(rows: DataFrame, *key: str) -> DataFrame | None:
+    """The keys, (a, b) of keyed() if none are named, that n rows share, two at least; None if all rows have keys of their own."""
+    key, before = key or ("a", "b"), written()
+    again = save(rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), "repeats")
+    if not again.isEmpty():
+        return again
+    drop_since(before)
+    return None
+
+
+def once(rows: DataFrame, again: DataFrame | None) -> DataFrame:
+    """One row of each key (a, b); those of a frequent key are merged before the shuffle."""
+    return rows if again is None else rows.dropDuplicates(["a", "b"])
+
+
+def join_keys(rows: DataFrame, table: DataFrame, again: DataFrame | None, key: list[str], how: str = "inner") -> DataFrame:
+    """rows joined, inner or left, with table, which has a bounded number of rows for each key; again: repeats() of rows.
+
+    Keys with more than a part in 4 times the shuffle partitions of all rows, that
+    many at most, have their part of the table broadcast, so their rows stay
+    spread.  Where that is bounded by a row's text, it is no larger than as many
+    texts of mean size.
+    """
+    hot = None if again is None else again.where(F.col("n") > rows.count() / (4 * partitions(rows.sparkSession))).select(*key)
+    if hot is None or hot.isEmpty():
+        return rows.join(table, key, how)
+    hot = F.broadcast(hot)
+    cold = rows.join(hot, key, "left_anti").join(table, key, how)
+    return cold.unionByName(rows.join(hot, key, "left_semi").join(F.broadcast(table.join(hot, key, "left_semi")), key, how))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

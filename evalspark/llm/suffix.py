@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import drop, drop_since, keyed, lean, partitions, save, slices, written
+from evalspark.llm.common import drop, drop_since, join_keys, keyed, lean, once, partitions, repeats, save, slices, written
 
 LENGTH, GRAM = 400, 32
 BLOCK = 1 << 18
@@ -170,7 +170,7 @@ def _sort(classes: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        live, last = 0, (None, None)
+        live, last = 0, None
 
         def out() -> Iterator[pa.RecordBatch]:
             rows: list[tuple[bytes, int, int]] = []
@@ -184,13 +184,11 @@ def _sort(classes: DataFrame, length: int) -> DataFrame:
 
         for batch in slices(batches, 3):
             for row in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-                if row[:2] == last:  # rows alike in id and text give the same context twice
-                    continue
-                if row[0] != last[0] and live >= LIVE:
+                if row[0] != last and live >= LIVE:
                     yield from out()
                     held, live = [], 0
                 held.append(row)
-                live, last = live + row[2], row[:2]
+                live, last = live + row[2], row[0]
         if held:
             yield from out()
 
@@ -215,7 +213,6 @@ def _solve(classes: DataFrame, sizes: DataFrame, length: int, widths: tuple[int,
     slice_ = lambda x: F.floor(x / width)
     cut = (
         classes.join(large, "g")
-        .dropDuplicates(["g", "c"])
         .withColumn("j", F.explode(F.sequence(slice_(F.col("off") - F.col("n") + 1), slice_(F.col("off")))))
         # Windows whose distance to the anchor is from j * width to j * width + width - 1.
         .withColumn("from", F.greatest(F.lit(0), F.col("off") - F.col("j") * width - (width - 1)).cast("int"))
@@ -235,8 +232,8 @@ def _solve(classes: DataFrame, sizes: DataFrame, length: int, widths: tuple[int,
     return small.union(back.select(F.col("whole").alias("c"), (F.col("first") + F.col("from")).alias("first"), (F.col("last") + F.col("from")).alias("last")))
 
 
-def repeated_ranges(rows: DataFrame, length: int = LENGTH, *, hot: int = HOT, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
-    """(a, b, ranges): for each key, the windows that are repeated, as [first, last] pairs.  rows: a, b, bytes."""
+def repeated_ranges(rows: DataFrame, again: DataFrame | None, length: int = LENGTH, *, hot: int = HOT, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """(a, b, ranges): for each key, the windows that are repeated, as [first, last] pairs.  rows: a, b, bytes; again: repeats() of them."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in slices(batches, 2, size=BLOCK):
@@ -264,17 +261,19 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, *, hot: int = HOT, wi
     classes = save(classes.join(sizes.select("g"), "g"), "classes")
     wanted = classes.groupBy("a", "b").agg(F.collect_list(F.struct("g", "c", "n", "off", (F.col("rows") > 1).alias("dup"), "p")).alias("wanted"))
     mixed = (
-        rows.select("a", "b", "bytes")
+        once(rows.select("a", "b", "bytes"), again)
         .join(wanted.hint("shuffle_hash"), ["a", "b"])
         .select("bytes", F.explode("wanted").alias("w"))
         .select("w.g", "w.c", "w.n", "w.off", "w.dup", F.expr(f"substring(bytes, CAST(w.p AS INT) + 1, w.n + {length - 1})").alias("ctx"))
     )
     mixed = save(mixed, "mixed")
+    often = save(classes.where("rows > 1").select("c", F.col("rows").alias("n")), "often")
     drop(classes)
     found = save(_solve(mixed, sizes, length, widths, hot), "found")
-    drop_since(before, places, found)
+    drop_since(before, places, found, often)
+    # A context has fewer windows than a passage has bytes, and so has the table for each c.
     return (
-        places.join(found, "c")
+        join_keys(places, found, often, ["c"])
         .groupBy("a", "b")
         .agg(F.collect_set(F.struct((F.col("p") + F.col("first")).alias("first"), (F.col("p") + F.col("last")).alias("last"))).alias("ranges"))
     )
@@ -295,7 +294,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, *, id_col: str = "doc_
     names = [f"_keep{i}" for i in range(len(keep))]
     kinds = dict(docs.dtypes)
     rows = keyed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *(F.col(c).alias(n) for c, n in zip(keep, names, strict=True))), "_id", "_text", tuple(names))
-    ranges = repeated_ranges(rows, length, hot=hot, widths=widths)
+    before = written()
+    again = repeats(rows)
+    ranges = repeated_ranges(rows, again, length, hot=hot, widths=widths)
+    if again is not None:  # they are read twice
+        ranges = save(ranges, "ranges")
+        drop_since(before, ranges, again)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -315,5 +319,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, *, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in columns), *batch.columns[3:]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *names])
 
     schema = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string", *(f"{n} {kinds[c]}" for n, c in zip(names, keep, strict=True))])
-    done = rows.join(ranges.hint("shuffle_hash"), ["a", "b"], "left").select("doc_id", "bytes", "ranges", *names).mapInArrow(lean(cut), schema)
+    done = join_keys(rows, ranges.hint("shuffle_hash"), again, ["a", "b"], "left").select("doc_id", "bytes", "ranges", *names).mapInArrow(lean(cut), schema)
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)))
