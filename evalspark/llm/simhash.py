@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evalspark.llm.common import documents, drop_since, join_spread, keyed, lean, partitions, save, slices, written
+from evalspark.llm.common import documents, drop_since, join_keys, join_spread, keyed, lean, once, partitions, repeats, save, slices, written
 from evalspark.llm.graph import components
 
 SEED = 42
@@ -323,7 +323,7 @@ def near_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, bou
     linked = save(linked, "candidates")
     # One document of each candidate node; its set is built again from the text.
     one = rows.groupBy("node").agg(F.min(F.struct("a", "b")).alias("k")).join(linked, "node").select("k.a", "k.b", "node", "root")
-    texts = keyed(docs, id_col, text_col).join(one.hint("shuffle_hash"), ["a", "b"]).select("root", "node", "bytes")
+    texts = once(keyed(docs, id_col, text_col), repeats(rows)).join(one.hint("shuffle_hash"), ["a", "b"]).select("root", "node", "bytes")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
@@ -352,8 +352,7 @@ def near_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, bou
     def pairs(done: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], pa.int64()) for i in (0, 1)], names=["node", "group"])
 
-    # Rows alike in id and text give a set twice.
-    sets = save(texts.mapInArrow(lean(tokens), "root long, node long, hashes binary").dropDuplicates(["node"]), "hashes")
+    sets = save(texts.mapInArrow(lean(tokens), "root long, node long, hashes binary"), "hashes")
     loads = save(sets.groupBy("root").agg(F.sum(F.octet_length("hashes")).alias("size")).withColumn("chunks", F.ceil(F.col("size") / bound)), "loads")
     small = sets.join(loads.where("chunks = 1").select("root"), "root")
     decided = small.repartition(parts, "root").sortWithinPartitions("root", "node").mapInArrow(lean(decide), "node long, group long")
@@ -364,7 +363,7 @@ def near_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, bou
         decided = decided.union(linked.select("node", F.col("root").alias("group")))
     decided = save(decided, "decided")
     drop_since(before, rows, decided)
-    return rows.join(decided, "node", "left").select("a", "b", "doc_id", F.coalesce("group", "node").alias("group"))
+    return join_keys(rows, decided, repeats(rows, "node"), ["node"], "left").select("a", "b", "doc_id", F.coalesce("group", "node").alias("group"))
 
 
 def similar_pairs(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -436,7 +435,6 @@ def drop_near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8
     columns = docs.columns
     own = docs.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)))
     named = {c: f"_c{i}" for i, c in enumerate(columns)}
-    rows = keyed(own, named[id_col], named[text_col], tuple(named.values())).drop("doc_id", "bytes").join(kept, ["a", "b"], "left_semi")
-    if groups.select("a", "b").distinct().count() < groups.count():
-        rows = rows.dropDuplicates(["a", "b"])
+    rows = keyed(own, named[id_col], named[text_col], tuple(named.values())).drop("doc_id", "bytes")
+    rows = once(rows, repeats(groups)).join(kept, ["a", "b"], "left_semi")
     return rows.select(*(F.col(n).alias(c) for c, n in named.items()))
