@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evalspark.llm.common import drop_since, partitions, save, written
+from evalspark.llm.common import drop_since, join_keys, once, partitions, repeats, save, written
 
 WORDS = 5
 #: Of long texts one hash in SCALE is retained, on average.
@@ -99,27 +99,25 @@ def edited_fingerprints(docs: DataFrame, *, words: int = WORDS, scale: int = SCA
     before = written()
     order = save(following(ids), "next")
     drop_since(before, order)
-    repeated = order.count() < docs.count()
+    again = repeats(base) if order.count() < docs.count() else None
     # Texts are shuffled once for three uses, without sketches: making these again takes no disk.
-    texts = base.select("a", "b", "text").repartition(partitions(docs.sparkSession), "a", "b")
+    texts = once(base.select("a", "b", "text"), again).repartition(partitions(docs.sparkSession), "a", "b")
     sketched = with_sketch(texts, "text", "sketch", words=words, scale=scale)
     sketches = sketched.select("a", "b", "sketch").join(order.hint("shuffle_hash"), ["a", "b"])
-    if repeated:
-        sketches = sketches.dropDuplicates(["a", "b"])
     # Each sketch goes to the next text, where all runs of that are at hand.
     wanted = sketches.select(F.col("a").alias("from_a"), F.col("b").alias("from_b"), F.floor(F.col("n_chars") / 4).cast("int").alias("k"), "sketch", F.col("next_a").alias("a"), F.col("next_b").alias("b"))
     sent = with_sketch(texts, "text", "_own", words=words, scale=1, runs="next_runs").join(wanted.hint("shuffle_hash"), ["a", "b"]).select(
         F.col("from_a").alias("a"), F.col("from_b").alias("b"), F.substring("text", F.lit(1), F.col("k")).alias("head"), containment(F.col("sketch"), F.col("next_runs")).alias("near_next")
     )
-    if repeated:
-        sent = sent.dropDuplicates(["a", "b"])
     n = F.length("text").cast("long")
     whole = (
         sketched.join(sent.hint("shuffle_hash"), ["a", "b"])
         .join(order.select("a", "b", "doc_id").hint("shuffle_hash"), ["a", "b"])
-        .select("doc_id", "sketch", "near_next", n.alias("n_chars"), F.concat(F.substring("text", F.lit(1), (n - F.floor(n / 4)).cast("int")), "head").alias("edited"))
+        .select("a", "b", "doc_id", "sketch", "near_next", n.alias("n_chars"), F.concat(F.substring("text", F.lit(1), (n - F.floor(n / 4)).cast("int")), "head").alias("edited"))
     )
-    return with_sketch(whole, "edited", "edited_sketch", words=words, scale=scale, runs="edited_runs").select(
+    result = with_sketch(whole, "edited", "edited_sketch", words=words, scale=scale, runs="edited_runs").select(
+        "a",
+        "b",
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
@@ -128,3 +126,6 @@ def edited_fingerprints(docs: DataFrame, *, words: int = WORDS, scale: int = SCA
         containment(F.col("sketch"), F.col("edited_runs")).alias("near_edited"),
         "near_next",
     )
+    if again is not None:
+        result = join_keys(base.select("a", "b"), save(result, "result"), again, ["a", "b"])
+    return result.drop("a", "b")
