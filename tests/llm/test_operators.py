@@ -14,7 +14,7 @@ from xxhash import xxh64_intdigest
 
 import public_tokenizers
 from evalspark.llm import bpe, langid, packing, ppm, sharding, simhash, sketch, suffix, topk, urlfilter
-from evalspark.llm.common import join_spread
+from evalspark.llm.common import join_keys, join_spread, repeats
 
 EXTRA = "doc_id long, text string, lang string, source string, n_chars long, rank int, g string, key string, _bucket long"
 
@@ -722,3 +722,36 @@ def test_join_spread(spark):
     got = join_spread(rows, table, "k", "n")
     assert Counter(tuple(r) for r in got.select("k", "v", "name").collect()) == Counter((r.k, r.v, r.k * 2) for r in rows.collect())
     assert join_spread(rows.where("false"), table.where("false"), "k", "n").count() == 0
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_keys(spark, how):
+    rows = spark.createDataFrame([(i % 9 if i % 3 else 7, i % 2 if i % 3 else 0, i) for i in range(300)], "a long, b long, x int")
+    table = spark.createDataFrame([(i, 0, f"t{i}") for i in range(8)] + [(7, 0, "more")], "a long, b long, t string")
+    again = repeats(rows)
+    assert again.agg(F.sum("n")).first()[0] == 300 and repeats(rows, "x") is None
+    want = Counter(map(tuple, rows.join(table, ["a", "b"], how).collect()))
+    assert Counter(map(tuple, join_keys(rows, table, again, ["a", "b"], how).collect())) == want
+    assert Counter(map(tuple, join_keys(rows, table, None, ["a", "b"], how).collect())) == want
+
+
+def test_a_third_of_all_rows_alike(spark):
+    """Rows alike in id and text, that many, are spread by what joins them, and each gives its row."""
+    r = random.Random(23)
+    text = lambda: " ".join(r.choice(WORDS) + r.choice(WORDS) for _ in range(r.randint(20, 60)))
+    hot, passage = text(), "passage " * 30
+    some = [hot] * 60 + [text() + (passage if i % 2 else "") for i in range(100)] + [None] * 20
+    own = [7] * 60 + list(range(100, 200)) + [8] * 20
+    docs = frame(spark, some, own)
+    rows = suffix.remove_repeats(docs, 70).collect()
+    assert Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in rows) == Counter((i, *x) for i, x in zip(own, brute_repeats(some, 70), strict=True))
+    kept = simhash.drop_near_copies(docs).collect()
+    assert sorted(x.doc_id for x in kept) == [7, 8, *range(100, 200)]
+    rows = sketch.edited_fingerprints(docs).collect()
+    assert Counter(x.doc_id for x in rows) == Counter(own) and len({tuple(x) for x in rows}) == 102
+    place = {i: t or "" for i, t in zip(own, some, strict=True)}
+    order = sorted(place)
+    for x in rows:
+        t, after = place[x.doc_id], place[order[(order.index(x.doc_id) + 1) % len(order)]]
+        k = len(t) // 4
+        assert x.n_chars == len(t) and x.edited_sha256 == hashlib.sha256((t[: len(t) - k] + after[:k]).encode()).hexdigest()
