@@ -6,7 +6,7 @@ import dataclasses
 import enum
 import hashlib
 import json
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from datetime import date
 from decimal import Decimal
 from functools import singledispatch
@@ -46,6 +46,23 @@ def content_hash(value: Any) -> str:
     return "sha256:" + hashlib.sha256(canonical_json(value).encode()).hexdigest()
 
 
+def content_hash_of_lists(value: Mapping[str, Any], lists: Mapping[str, Iterable[str]]) -> str:
+    """content_hash of value with lists beside its own keys; their items are canonical JSON already and are taken one at a time."""
+    digest, between = hashlib.sha256(), "{"
+    for k in sorted({*value, *lists}):
+        digest.update(f"{between}{canonical_json(k)}:".encode())
+        between = ","
+        if k not in lists:
+            digest.update(canonical_json(value[k]).encode())
+            continue
+        digest.update(b"[")
+        for i, item in enumerate(lists[k]):
+            digest.update(f"{',' if i else ''}{item}".encode())
+        digest.update(b"]")
+    digest.update(b"}" if between == "," else b"{}")
+    return "sha256:" + digest.hexdigest()
+
+
 def sha256_of(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(text, 256))
 

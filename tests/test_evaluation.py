@@ -523,6 +523,20 @@ def test_calibration_ids(spark):
         calibration.assert_licensed(judge | {"evaluator_id": "f"}, report)
 
 
+def test_calibration_ids_of_many_records(spark):
+    n = 100_001
+    own = lambda i: (i, ("a", 'b"é', None)[i % 3], ("a", "c", None)[i % 7 % 3], i % 5 > 0)
+    text = lambda i, k, *v: F.element_at(F.array(*map(F.lit, v)), (i % k % 3 + 1).cast("int"))
+    i = F.col("record_id")
+    df = spark.range(n, 0, -1, 5).select((F.col("id") - 1).alias("record_id"), F.lit("choice").alias("mode"))
+    df = df.select("*", text(i, 3, "a", 'b"é', None).alias("expected_label"), text(i, 7, "a", "c", None).alias("actual_label"), (i % 5 > 0).alias("available"))
+    judge = {"evaluator_id": "e", "evaluator_version": "1", "rubric_hash": SHA, "mode": "choice"}
+    for most, at_once in ((n, calibration.AT_ONCE), (40, 7), (0, 7)):
+        rows = [own(i) for i in range(most)]
+        want = {"judgeId": "e", "judgeVersion": "1", "rubricHash": SHA, "mode": "choice", "minimumRecords": 5, "agreementFloor": 0.8, "labelledRecords": [{"record_id": i, "expected_label": e} for i, e, _, _ in rows], "outcomes": [{"record_id": i, "actual_label": a, "available": ok, "agreed": e == a if ok else None} for i, e, a, ok in rows]}
+        assert calibration.calibration_id(judge, df.where(i < most), at_once=at_once) == hashing.content_hash(want)
+
+
 def test_secrets(spark):
     texts = {"key sk-proj-" + "a" * 24: ["sk_key"], "sk-ant-" + "b" * 24: ["sk_ant_key"], 'password = "0123456789abcdefg"': ["credential"], "plain": [], None: []}
     df = spark.createDataFrame([(k,) for k in texts], "x string")
