@@ -6,6 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def exact_mean(x: Column | str) -> Column:
+    """The mean of a group's doubles as the decimals they are printed as, in any order of the rows.
+
+    A sum of doubles depends on its order in the last digits, which decides where
+    the mean lies on a bound.  Digits past the 18th decimal are rounded; where a
+    value or the sum has no such decimal, as NaN and infinities, it is the plain mean.
+    """
+    x = F.col(x) if isinstance(x, str) else x
+    decimal = x.try_cast("decimal(38,18)")
+    total = F.when(F.count(decimal) == F.count(x), F.try_sum(decimal))
+    return F.coalesce(total.cast("double") / F.nullif(F.count(x), F.lit(0)), F.avg(x))
+
+
 def required_successes(n: Column) -> Column:
     """Two thirds, rounded up; fewer than one attempt raises an error."""
     return F.when(n < 1, F.raise_error(F.lit("at least one attempt is required")).cast("int")).otherwise(F.floor((n * 2 + 2) / 3).cast("int"))

@@ -449,6 +449,26 @@ def test_rulers_of_artifacts():
     assert scores.ruler_fingerprint(good) != scores.ruler_fingerprint(good | {"criteria": ["b", "a"]})
 
 
+def test_means_on_a_bound(spark, tmp_path):
+    """Means that are 20 exactly, in orders of rows whose sums of doubles are just below, and a row without a time."""
+    r, rows = random.Random(3), []
+    for user in range(200):
+        cents = [r.randint(1, 3999) for _ in range(9)]
+        values = [x / 100 for x in (*cents, 20_000 - sum(cents))]
+        rows += [(user, "view", "2024-01-02 00:00:00", x) for x in values] + [(user, "view", None if user % 2 else "2024-01-20 00:00:00", 20.5)]
+    means = {u: [x for v, _, t, x in rows if v == u and t == "2024-01-02 00:00:00"] for u in range(200)}
+    assert any(list(itertools.accumulate(x))[-1] / 10 < 20 for x in means.values())  # as sum() adds without such errors
+    df = spark.createDataFrame(rows, "user_id long, event_type string, ts string, value double")
+    df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(x) for x in QUERIES["q12_diff_criteria"](spark, str(tmp_path)).collect()] == [("view", "unchanged", 200)]
+
+
+def test_exact_means(spark):
+    df = spark.createDataFrame([(1, 0.1), (1, 0.2), (1, 0.3), (2, math.inf), (2, 1.0), (3, None), (4, 1e30), (4, 3e30), (5, math.nan), (6, None), (6, -7.5)], "k int, x double")
+    got = {r[0]: r[1] for r in df.groupBy("k").agg(stats.exact_mean("x")).collect()}
+    assert math.isnan(got.pop(5)) and got == {1: 0.6 / 3, 2: math.inf, 3: None, 4: 2e30, 6: -7.5}
+
+
 def test_labels_of_transitions(spark):
     ddl = "case_id string, name string, score double, direction string, label string"
     a, b = (spark.createDataFrame([("1", "n", None, "maximize", label)], ddl) for label in ("", None))
