@@ -461,6 +461,7 @@ def test_means_on_a_bound(spark, tmp_path):
     df = spark.createDataFrame(rows, "user_id long, event_type string, ts string, value double")
     df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
     assert [tuple(x) for x in QUERIES["q12_diff_criteria"](spark, str(tmp_path)).collect()] == [("view", "unchanged", 200)]
+    assert sorted(map(str, map(tuple, QUERIES["q31_rollup_report"](spark, str(tmp_path)).collect()))) == ["('view', 'unchanged', 200)", "('view', None, 200)", "(None, None, 200)"]
 
 
 def test_exact_means(spark):
