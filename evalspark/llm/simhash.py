@@ -211,8 +211,10 @@ def simhash_groups(docs: DataFrame, *, words: int = 3, threshold: int = 2, id_co
     return join_spread(rows, ids, "fp", "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: For near copies: a document goes to BANDS keys of ROWS least hashes each.  A pair of Jaccard
-#: similarity J shares a key with probability 1 - (1 - J**ROWS)**BANDS: 0.9993 at 0.8, 0.99999 at 0.85.
+#: Near copies are candidates where the fingerprints of their sets of runs differ in up to this many bits.
+NEAR_BITS = 3
+#: Those of a similarity near the least differ in more, so a document also goes to BANDS keys of ROWS
+#: least hashes each.  A pair of Jaccard similarity J shares a key with probability 1 - (1 - J**ROWS)**BANDS: 0.9993 at 0.8, 0.99999 at 0.85.
 BANDS, ROWS = 24, 6
 _FACTORS, _OFFSETS, _WEIGHTS = (x | np.uint64(1) for x in np.random.default_rng(SEED).integers(0, 1 << 64, (3, BANDS * ROWS), dtype=np.uint64))
 
@@ -279,28 +281,16 @@ def similar_groups(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return group
 
 
-def near_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, bound: int = BOUND, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(a, b, doc_id, group): groups of documents linked by pairs whose sets of runs of words have this Jaccard similarity.
+def fingerprint_edges(sets: DataFrame, threshold: int = NEAR_BITS) -> DataFrame:
+    """(u, v) edges that connect all nodes whose fingerprints are equal or differ in threshold bits or fewer; sets: distinct (node, fp)."""
+    fps = save(sets.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "nodes")
+    alike = join_spread(sets, fps, "fp", "n").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    end = lambda c: fps.select(F.col("fp").alias(c), F.col("first").alias(f"_{c}"))
+    return alike.union(links(fps, threshold).join(end("u"), "u").join(end("v"), "v").select("_u", "_v"))
 
-    a and b are the key of keyed().  Documents that share a band's key, or are
-    linked by such, are candidates.  The sets of candidates that are linked meet
-    in one task where they hold up to bound bytes, and in many, by chunks of
-    about that size, where they hold more; each pair is decided by its exact
-    similarity, and no group is capped.  Documents with the same set are one node.
-    """
-    names = ["a", "b", "doc_id", "node", "n", "keys"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 3):
-            sets = [hashed(data.as_py().decode(), words) for data in batch.column(3)]
-            node = pa.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) - (1 << 63) for x in sets], pa.int64())
-            keys = pa.array([band_keys(x).tobytes() if len(x) else b"" for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], node, pa.array([len(x) for x in sets], pa.int64()), keys], names=names)
-
-    rows = keyed(docs, id_col, text_col).mapInArrow(lean(run), "a long, b long, doc_id long, node long, n long, keys binary")
-    before = written()
-    rows = save(rows, "sets")
-    nodes = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+def band_edges(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) edges that connect the nodes which share the key of a band; nodes: node, n and keys, one row each."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,9 +307,36 @@ def near_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, bou
             yield pa.RecordBatch.from_arrays([pa.array(node[:-1][linked]), pa.array(node[1:][linked])], names=["u", "v"])
             last = [key[-1:], n[-1:], node[-1:]]
 
-    parts = partitions(docs.sparkSession)
     dealt = nodes.select("node", "n", "keys").mapInArrow(lean(deal), "key long, n long, node long")
-    linked = components(dealt.repartition(parts, "key").sortWithinPartitions("key", "n").mapInArrow(lean(chain), "u long, v long"))
+    return dealt.repartition(partitions(nodes.sparkSession), "key").sortWithinPartitions("key", "n").mapInArrow(lean(chain), "u long, v long")
+
+
+def near_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, bound: int = BOUND, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(a, b, doc_id, group): groups of documents linked by pairs whose sets of runs of words have this Jaccard similarity.
+
+    a and b are the key of keyed().  Documents whose fingerprints the covering
+    code links, or that share a band's key of least hashes, or are linked by
+    such, are candidates.  The sets of candidates that are linked meet in one task where they hold up to bound bytes, and in many, by chunks of
+    about that size, where they hold more; each pair is decided by its exact
+    similarity, and no group is capped.  Documents with the same set are one node.
+    """
+    names = ["a", "b", "doc_id", "node", "n", "fp", "keys"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 3):
+            sets = [hashed(data.as_py().decode(), words) for data in batch.column(3)]
+            node = pa.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) - (1 << 63) for x in sets], pa.int64())
+            fp = pa.array([fingerprint(x) for x in sets], pa.int64())
+            keys = pa.array([band_keys(x).tobytes() if len(x) else b"" for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], node, pa.array([len(x) for x in sets], pa.int64()), fp, keys], names=names)
+
+    rows = keyed(docs, id_col, text_col).mapInArrow(lean(run), "a long, b long, doc_id long, node long, n long, fp long, keys binary")
+    before = written()
+    rows = save(rows, "sets")
+    nodes = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    parts = partitions(docs.sparkSession)
+    own = save(rows.where("n > 0").select("node", "fp").distinct(), "fingerprints")
+    linked = components(fingerprint_edges(own).union(band_edges(nodes, similarity)))
     linked = save(linked, "candidates")
     # One document of each candidate node; its set is built again from the text.
     one = rows.groupBy("node").agg(F.min(F.struct("a", "b")).alias("k")).join(linked, "node").select("k.a", "k.b", "node", "root")

@@ -356,6 +356,29 @@ def test_near_groups_by_exact_similarity(spark, bound):
     assert sum(len(x) == 2 for x in want - got) <= 1
 
 
+def test_fingerprints_find_near_copies(spark, monkeypatch):
+    """Without the bands the copies whose fingerprints differ in 3 bits or fewer are still found, and no others."""
+    monkeypatch.setattr(simhash, "band_edges", lambda nodes, similarity: spark.createDataFrame([], "u long, v long"), raising=False)
+    r = random.Random(31)
+    word = lambda: f"w{r.randint(0, 10**6)}"
+    some = []
+    for i in range(24):
+        t = [word() for _ in range(1000)]
+        some += [" ".join(t), " ".join(x if 3 * j < i or j % 40 else word() for j, x in enumerate(t)), " ".join([*t[: 40 * i], word(), *t[40 * i :]])]
+    fp = [simhash.fingerprint(simhash.hashed(t, 5)) for t in some]
+    near = lambda a, b: ((fp[a] ^ fp[b]) & (1 << 64) - 1).bit_count() <= 3
+    exact = {frozenset(g): i for i, g in enumerate(brute_groups(some, 5, 0.8))}
+    same = {(a, b) for g in exact for a in g for b in g if a < b and near(a, b)}
+    assert len(same) > 12 and sum(len(g) for g in exact if len(g) > 1) > 40
+    got = defaultdict(set)
+    for x in simhash.near_groups(frame(spark, some)).collect():
+        got[x.group].add(x.doc_id)
+    group = list(range(len(some)))
+    for a, b in sorted(same):
+        group = [group[a] if g == group[b] else g for g in group]
+    assert {frozenset(x) for x in got.values()} == {frozenset(i for i, g in enumerate(group) if g == k) for k in group}
+
+
 def test_large_near_groups_lose_no_link(spark):
     """Groups above the bound for one task: variants of few texts, linked in chains and through the hubs or not at all."""
     r = random.Random(22)
