@@ -19,6 +19,11 @@ def exact_mean(x: Column | str) -> Column:
     return F.coalesce(total.cast("double") / F.nullif(F.count(x), F.lit(0)), F.avg(x))
 
 
+def whole(x: Column) -> Column:
+    """The floor as a double; floor() gives a long, which turns NaN to 0 and cuts what is beyond a long."""
+    return F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x)
+
+
 def required_successes(n: Column) -> Column:
     """Two thirds, rounded up; fewer than one attempt raises an error."""
     return F.when(n < 1, F.raise_error(F.lit("at least one attempt is required")).cast("int")).otherwise(F.floor((n * 2 + 2) / 3).cast("int"))

@@ -470,6 +470,19 @@ def test_exact_means(spark):
     assert math.isnan(got.pop(5)) and got == {1: 0.6 / 3, 2: math.inf, 3: None, 4: 2e30, 6: -7.5}
 
 
+def test_rollup_against_sql(spark, tmp_path):
+    """Means that are no numbers or beyond a long, rows without a type or value, and no rows at all."""
+    values = [math.nan, math.inf, -math.inf, 1e30, 3e30, -0.5, 40.0, None]
+    rows = [(u, None if u % 7 == 0 else "view", f"2024-01-{day} 00:00:00", values[(u // k) % 8]) for u in range(64) for day, k in (("02", 1), ("20", 8))]
+    for n, some in enumerate((rows, [])):
+        df = spark.createDataFrame(some, "user_id long, event_type string, ts string, value double")
+        df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/{n}/events.parquet")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW events AS FROM '{tmp_path}/{n}/events.parquet/*.parquet'")
+        want = con.execute(SQL["q31_rollup_report"]).fetchall()
+        assert Counter(want) == Counter(map(tuple, QUERIES["q31_rollup_report"](spark, f"{tmp_path}/{n}").collect()))
+
+
 def test_small_balances_against_sql(spark, tmp_path):
     """A balance that is twice what it should be is wrong however small it is."""
     balances = [-0.05, 0.05, 0.01, -0.01, 0.0, -0.0, 0.06, 1e7]
