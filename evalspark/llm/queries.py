@@ -19,6 +19,8 @@ from evalspark.llm.topk import top_k
 from evalspark.llm.urlfilter import judge_urls, rule_table
 
 SHARDS, SEQUENCE = 24, 1024
+#: Bytes of a repeated passage: those of the law, and those of the further text, 50 words of five with their blanks.
+REPEAT, PASSAGE = 400, 250
 RULES = (
     ("allow", "com", "/"),
     ("block", "example.com", "/en/"),
@@ -52,7 +54,9 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), 400).withColumnRenamed("kept", "text")
+    # text is what the law leaves, text_without_passages what shorter passages would.
+    rows = remove_repeats(table(spark, sf_dir, "documents"), REPEAT, shorter=PASSAGE)
+    return rows.withColumnsRenamed({"kept": "text", "kept_shorter": "text_without_passages"})
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

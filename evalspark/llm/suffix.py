@@ -7,6 +7,10 @@ next to each other with one anchor make up a context.  Contexts whose anchor
 occurs once can't repeat; of all others the suffixes at their windows are
 sorted, and what a suffix shares with the one before it decides.  Contexts alike
 are sorted as two, so copies too are found by the sort and not by counting.
+
+Passages of several lengths are found in one sort: what repeats over a longer
+one does so over the shortest, so that one's windows are sorted, by as many bytes
+as the longest has.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ _INDEX = np.uint64((1 << 24) - 1)
 HOT = 1 << 16
 #: Windows of a context after each splitting.
 WIDTHS = (32, 4, 1)
+#: Windows next to each other whose bytes are compared at once, at least.
+RUN = 16
 #: Windows that are sorted at once, besides those of one group.
 LIVE = 1 << 16
 
@@ -60,11 +66,13 @@ def _runs(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return first, last, anchor[first], h[anchor[first]].view(np.int64)
 
 
-def contexts(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+def contexts(texts: list[bytes], length: int = LENGTH, reach: int = 0) -> Iterator[tuple[int, int, int, int, int, bytes]]:
     """(text, first window, windows, windows up to the anchor's, anchor hash, bytes) of every context.
 
-    Short texts are taken together; windows that reach into the next are left
-    out.  Long texts go in blocks that overlap, which may cut a context in two.
+    The bytes are reach from each window on, if that is more than length and the
+    text has them.  Short texts are taken together; windows that go over into the
+    next are left out.  Long texts go in blocks that overlap, which may cut a
+    context in two.
     """
     at = 0
     while at < len(texts):
@@ -88,7 +96,7 @@ def contexts(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[int, in
                     to = min(q, stop - length)
                     if to >= p:
                         a = int(anchor[i]) + block
-                        yield at + doc, p - int(bounds[doc]), to - p + 1, a - p, int(key[i]), data[p : to + length]
+                        yield at + doc, p - int(bounds[doc]), to - p + 1, a - p, int(key[i]), data[p : min(stop, to + max(length, reach))]
                     p, doc = max(p, stop), doc + 1
         at = end
 
@@ -132,32 +140,63 @@ def suffix_order(text: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray
     return order[asked[order]]
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """Length of the common prefix of each suffix and the one before it, up to depth, in steps of 8 bytes below it."""
+def shared_starts(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    """For each suffix, whether it and the one before it in this order have length bytes in common.
+
+    Neighbouring places whose suffixes before them are neighbours as well overlap,
+    so their bytes are compared once; others are compared by words.
+    """
+    before = np.full(len(text), -1, dtype=np.int64)
+    before[order[1:]] = order[:-1]
+    places = np.flatnonzero(before >= 0)
+    apart = places - before[places]
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(places) != 1) | (np.diff(apart) != 0)])[: len(places)])
+    runs = np.diff(np.append(first, len(places)))
+    same = np.zeros(len(text), dtype=bool)
+    long = runs >= RUN
+    if long.any():
+        head, n = first[long], runs[long]
+        size = n + length - 1
+        begin = np.cumsum(size) - size
+        at = np.repeat(places[head] - begin, size) + np.arange(size.sum())
+        differs = np.concatenate([[0], np.cumsum(text[at] != text[at - np.repeat(apart[head], size)])])
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(begin, n) + k
+        same[np.repeat(places[head], n) + k] = differs[at + length] == differs[at]
+    left = places[np.repeat(~long, runs)]
     words = np.zeros(len(text), dtype=np.uint64)
     for j in range(8):
-        words[: len(text) - j] |= text[j:].astype(np.uint64) << np.uint64(8 * j)
-    lengths = np.zeros(len(order), dtype=np.int64)
-    left = np.arange(1, len(order))
-    for at in range(0, depth, 8):
-        at = min(at, depth - 8)
-        left = left[words[order[left] + at] == words[order[left - 1] + at]]
-        lengths[left] = at + 8
-    return lengths
-
-
-def repeated_windows(parts: list[bytes], windows: list[int], length: int = LENGTH) -> list[np.ndarray]:
-    """For each context, which of its windows also start elsewhere in these contexts."""
-    text = np.frombuffer(b"".join(parts) + bytes(length + 16), dtype=np.uint8)
+        end = j + (len(text) - j) // 8 * 8
+        words[j:end:8] = text[j:end].view(np.uint64)
+    for at in range(0, length, 8):
+        at = min(at, length - 8)
+        left = left[words[left + at] == words[before[left] + at]]
+    same[left] = True
+    return same[order]
+
+
+def repeated_windows(parts: list[bytes], windows: list[int], lengths: tuple[int, ...] = (LENGTH,)) -> list[list[np.ndarray]]:
+    """For each length, shortest first, and each context, which of its windows also start elsewhere in these contexts.
+
+    A window whose part has fewer bytes than a length is none of that length.
+    """
+    reach = lengths[-1]
+    text = np.frombuffer(b"".join(parts) + bytes(reach + 16), dtype=np.uint8)
     begin = np.cumsum([0] + [len(p) for p in parts])
     starts = np.concatenate([np.arange(n) + b for n, b in zip(windows, begin, strict=False)])
-    order = suffix_order(text, starts, length)
-    shared = common_prefixes(text, order, length) >= length
-    again = shared.copy()
-    again[:-1] |= shared[1:]
-    hit = np.zeros(len(text), dtype=bool)
-    hit[order[again]] = True
-    return [hit[b : b + n] for n, b in zip(windows, begin, strict=False)]
+    ends = np.repeat(begin[1:], windows)
+    order = suffix_order(text, starts, reach)
+    out = []
+    for length in lengths:
+        fits = np.zeros(len(text), dtype=bool)
+        fits[starts[starts + length <= ends]] = True
+        own = order[fits[order]]
+        again = shared_starts(text, own, length)
+        again[:-1] |= again[1:].copy()
+        hit = np.zeros(len(text), dtype=bool)
+        hit[own[again]] = True
+        out.append([hit[b : b + n] for n, b in zip(windows, begin, strict=False)])
+    return out
 
 
 def _intervals(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,22 +204,23 @@ def _intervals(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2] - 1
 
 
-def _sort(classes: DataFrame, length: int) -> DataFrame:
-    """(c, first, last): the repeated windows of each context c; all contexts of a group g are together."""
+def _sort(classes: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """(c, first, last, length): the windows of each context c that repeat over length bytes; all contexts of a group g are together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         live, last = 0, None
 
         def out() -> Iterator[pa.RecordBatch]:
-            rows: list[tuple[bytes, int, int]] = []
+            rows: list[tuple[bytes, int, int, int]] = []
             twins = [x for x in held if x[4]]
-            hits = repeated_windows([x[3] for x in held + twins], [x[2] for x in held + twins], length)
-            for (_, c, *_), hit in zip(held, hits, strict=False):
-                rows += [(c, a, b) for a, b in zip(*_intervals(hit), strict=True)]
+            found = repeated_windows([x[3] for x in held + twins], [x[2] for x in held + twins], lengths)
+            for length, hits in zip(lengths, found, strict=True):
+                for (_, c, *_), hit in zip(held, hits, strict=False):
+                    rows += [(c, a, b, length) for a, b in zip(*_intervals(hit), strict=True)]
             for at in range(0, len(rows), 1 << 14):
-                columns = zip(zip(*rows[at : at + (1 << 14)], strict=True), (pa.binary(), pa.int32(), pa.int32()), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names=["c", "first", "last"])
+                columns = zip(zip(*rows[at : at + (1 << 14)], strict=True), (pa.binary(), pa.int32(), pa.int32(), pa.int32()), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names=["c", "first", "last", "length"])
 
         for batch in slices(batches, 3):
             for row in zip(*(col.to_pylist() for col in batch.columns), strict=True):
@@ -194,10 +234,10 @@ def _sort(classes: DataFrame, length: int) -> DataFrame:
 
     parts = partitions(classes.sparkSession)
     rows = classes.select("g", "c", "n", "ctx", "dup").repartition(parts, "g").sortWithinPartitions("g", "c")
-    return rows.mapInArrow(lean(run), "c binary, first int, last int")
+    return rows.mapInArrow(lean(run), "c binary, first int, last int, length int")
 
 
-def _solve(classes: DataFrame, sizes: DataFrame, length: int, widths: tuple[int, ...], hot: int) -> DataFrame:
+def _solve(classes: DataFrame, sizes: DataFrame, lengths: tuple[int, ...], widths: tuple[int, ...], hot: int) -> DataFrame:
     """Repeated windows of contexts (g, c, n, off, ctx, dup); dup ones occur twice or more, whether or not they stand here twice.
 
     sizes has the windows of each group g.  Groups of over hot windows are split:
@@ -207,8 +247,8 @@ def _solve(classes: DataFrame, sizes: DataFrame, length: int, widths: tuple[int,
     """
     large = save(sizes.where(F.col("size") > hot).select("g"), "large") if widths else None
     if large is None or large.isEmpty():
-        return _sort(classes, length)
-    small = _sort(classes.join(large, "g", "left_anti"), length)
+        return _sort(classes, lengths)
+    small = _sort(classes.join(large, "g", "left_anti"), lengths)
     width = widths[0]
     slice_ = lambda x: F.floor(x / width)
     cut = (
@@ -217,8 +257,8 @@ def _solve(classes: DataFrame, sizes: DataFrame, length: int, widths: tuple[int,
         # Windows whose distance to the anchor is from j * width to j * width + width - 1.
         .withColumn("from", F.greatest(F.lit(0), F.col("off") - F.col("j") * width - (width - 1)).cast("int"))
         .withColumn("to", F.least(F.col("n") - 1, F.col("off") - F.col("j") * width).cast("int"))
-        .withColumn("core", F.expr(f"substring(ctx, CAST(off - j * {width} AS INT) + 1, {length - width + 1})"))
-        .withColumn("part", F.expr(f"substring(ctx, `from` + 1, `to` - `from` + {length})"))
+        .withColumn("core", F.expr(f"substring(ctx, CAST(off - j * {width} AS INT) + 1, {lengths[0] - width + 1})"))
+        .withColumn("part", F.expr(f"substring(ctx, `from` + 1, `to` - `from` + {lengths[-1]})"))
         .withColumn("near", (F.col("off") - F.col("from")).cast("int"))
         .select(F.col("c").alias("whole"), "dup", F.xxhash64("g", "j", "core").alias("g"), F.col("from"), (F.col("to") - F.col("from") + 1).cast("int").alias("n"), F.col("near").alias("off"), F.col("part").alias("ctx"))
         .withColumn("c", F.unhex(F.md5(F.concat(F.col("ctx"), F.concat_ws(",", "g", "n", "off").cast("binary")))))
@@ -227,18 +267,18 @@ def _solve(classes: DataFrame, sizes: DataFrame, length: int, widths: tuple[int,
     narrow = save(cut.groupBy("g", "c").agg(F.first("n").alias("n"), F.first("off").alias("off"), F.first("ctx").alias("ctx"), (F.max("dup") | (F.count("*") > 1)).alias("dup")), "narrow")
     met = narrow.groupBy("g").agg(F.sum(F.col("n") * (1 + F.col("dup").cast("int"))).alias("size"), (F.max("dup") | (F.count("*") > 1)).alias("met"))
     met = save(met.where("met").select("g", "size"), "met")
-    found = _solve(narrow.join(met.select("g"), "g"), met, length, widths[1:], hot)
+    found = _solve(narrow.join(met.select("g"), "g"), met, lengths, widths[1:], hot)
     back = found.join(cut.select("whole", "c", "from"), "c")
-    return small.union(back.select(F.col("whole").alias("c"), (F.col("first") + F.col("from")).alias("first"), (F.col("last") + F.col("from")).alias("last")))
+    return small.union(back.select(F.col("whole").alias("c"), (F.col("first") + F.col("from")).alias("first"), (F.col("last") + F.col("from")).alias("last"), "length"))
 
 
-def repeated_ranges(rows: DataFrame, again: DataFrame | None, length: int = LENGTH, *, hot: int = HOT, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
-    """(a, b, ranges): for each key, the windows that are repeated, as [first, last] pairs.  rows: a, b, bytes; again: repeats() of them."""
+def repeated_ranges(rows: DataFrame, again: DataFrame | None, lengths: tuple[int, ...] = (LENGTH,), *, hot: int = HOT, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """(a, b, ranges): for each key, the windows that are repeated over each length, as (first, last, length).  rows: a, b, bytes; again: repeats() of them."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in slices(batches, 2, size=BLOCK):
             found = []
-            for doc, p, n, off, key, ctx in contexts(some.column(2).to_pylist(), length):
+            for doc, p, n, off, key, ctx in contexts(some.column(2).to_pylist(), lengths[0], lengths[-1]):
                 found.append((doc, p, n, off, key, xxhash.xxh3_128_digest(ctx + b"%d,%d" % (n, off), key & 0xFFFFFFFF)))
                 if len(found) >= 1 << 14:
                     yield table(some, found)
@@ -264,39 +304,66 @@ def repeated_ranges(rows: DataFrame, again: DataFrame | None, length: int = LENG
         once(rows.select("a", "b", "bytes"), again)
         .join(wanted.hint("shuffle_hash"), ["a", "b"])
         .select("bytes", F.explode("wanted").alias("w"))
-        .select("w.g", "w.c", "w.n", "w.off", "w.dup", F.expr(f"substring(bytes, CAST(w.p AS INT) + 1, w.n + {length - 1})").alias("ctx"))
+        .select("w.g", "w.c", "w.n", "w.off", "w.dup", F.expr(f"substring(bytes, CAST(w.p AS INT) + 1, w.n + {lengths[-1] - 1})").alias("ctx"))
     )
     mixed = save(mixed, "mixed")
     often = save(classes.where("rows > 1").select("c", F.col("rows").alias("n")), "often")
     drop(classes)
-    found = save(_solve(mixed, sizes, length, widths, hot), "found")
+    found = save(_solve(mixed, sizes, lengths, widths, hot), "found")
     drop_since(before, places, found, often)
     # A context has fewer windows than a passage has bytes, and so has the table for each c.
     return (
         join_keys(places, found, often, ["c"])
         .groupBy("a", "b")
-        .agg(F.collect_set(F.struct((F.col("p") + F.col("first")).alias("first"), (F.col("p") + F.col("last")).alias("last"))).alias("ranges"))
+        .agg(F.collect_set(F.struct((F.col("p") + F.col("first")).alias("first"), (F.col("p") + F.col("last")).alias("last"), "length")).alias("ranges"))
     )
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), hot: int = HOT, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+def _merged(ranges: pa.ListArray, length: int) -> list[list[tuple[int, int]]]:
+    """For each row the maximal runs of bytes, as (first, end), of its windows of this length."""
+    first, last, own = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in ranges.flatten().flatten())
+    row = np.repeat(np.arange(len(ranges)), ranges.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    base, some = row << 40, own == length
+    a, b = (base + first)[some], (base + last + length)[some]
+    order = np.argsort(a)
+    a, b = a[order], np.maximum.accumulate(b[order])
+    start = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]])[: len(a)])
+    end = b[np.append(start[1:], len(b)) - 1] if len(b) else b
+    out: list[list[tuple[int, int]]] = [[] for _ in range(len(ranges))]
+    for x, y in zip(a[start].tolist(), end.tolist(), strict=True):
+        out[x >> 40].append((x & (1 << 40) - 1, y & (1 << 40) - 1))
+    return out
+
+
+def _without(data: bytes, runs: list[tuple[int, int]]) -> bytes:
+    ends = [0, *(b for _, b in runs)]
+    return b"".join(data[x:y] for x, y in zip(ends, [*(a for a, _ in runs), len(data)], strict=True))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, *, shorter: int | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), hot: int = HOT, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """Removes every byte of a passage of length bytes that starts at two places of the texts, overlaps included.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs),
     kept_sha256, kept (the remaining bytes as text; what is left of a character
-    that was cut is dropped), and the columns named in keep.
+    that was cut is dropped), and the columns named in keep.  With shorter, a length
+    below the other, kept_shorter is what passages of that length would leave;
+    all other columns are as without it.
 
     A null text is empty; texts shorter than length lose nothing; repeated rows
     repeat each other's whole text; null ids stay null; an empty table gives no rows.
     """
-    if length < GRAM + max(widths, default=1):
+    lengths = (length,) if shorter is None else (shorter, length)
+    if lengths[0] < GRAM + max(widths, default=1):
         raise ValueError("passages must be longer than the anchor and a slice together")
+    if lengths[0] >= length and shorter is not None:
+        raise ValueError("shorter passages must be shorter")
     names = [f"_keep{i}" for i in range(len(keep))]
+    own = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *(["kept_shorter"] if shorter is not None else [])]
     kinds = dict(docs.dtypes)
     rows = keyed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *(F.col(c).alias(n) for c, n in zip(keep, names, strict=True))), "_id", "_text", tuple(names))
     before = written()
     again = repeats(rows)
-    ranges = repeated_ranges(rows, again, length, hot=hot, widths=widths)
+    ranges = repeated_ranges(rows, again, lengths, hot=hot, widths=widths)
     if again is not None:  # they are read twice
         ranges = save(ranges, "ranges")
         drop_since(before, ranges, again)
@@ -304,20 +371,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, *, id_col: str = "doc_
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             out = []
-            for data, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                spans = sorted((s["first"], s["last"] + length) for s in spans or ())
-                kept, at, runs, end = [], 0, 0, -1
-                for a, b in spans:
-                    if a > end:
-                        runs += 1
-                        kept.append(data[at:a])
-                    end = at = max(at, b)
-                kept.append(data[at:])
-                left = b"".join(kept)
-                out.append((len(data), len(data) - len(left), runs, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
-            columns = zip(zip(*out, strict=True), [pa.int64()] * 3 + [pa.string()] * 2, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in columns), *batch.columns[3:]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *names])
-
-    schema = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string", *(f"{n} {kinds[c]}" for n, c in zip(names, keep, strict=True))])
+            runs = {n: _merged(batch.column(2), n) for n in lengths}
+            for i, data in enumerate(batch.column(1).to_pylist()):
+                left, *rest = (_without(data, runs[n][i]) for n in reversed(lengths))
+                texts = (t.decode("utf-8", "ignore") for t in (left, *rest))
+                out.append((len(data), len(data) - len(left), len(runs[length][i]), hashlib.sha256(left).hexdigest(), *texts))
+            columns = zip(zip(*out, strict=True), [pa.int64()] * 3 + [pa.string()] * (len(own) - 3), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in columns), *batch.columns[3:]], names=["doc_id", *own, *names])
+
+    schema = ", ".join(["doc_id long", *(f"{n} {'long' if n[:2] == 'n_' else 'string'}" for n in own), *(f"{n} {kinds[c]}" for n, c in zip(names, keep, strict=True))])
     done = join_keys(rows, ranges.hint("shuffle_hash"), again, ["a", "b"], "left").select("doc_id", "bytes", "ranges", *names).mapInArrow(lean(cut), schema)
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)))
+    return done.select("doc_id", *own, *(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)))

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from xxhash import xxh64_intdigest
 
 import public_tokenizers
-from evalspark.llm import bpe, langid, packing, ppm, sharding, simhash, sketch, suffix, topk, urlfilter
+from evalspark.llm import bpe, langid, packing, ppm, queries, sharding, simhash, sketch, suffix, topk, urlfilter
 from evalspark.llm.common import join_keys, join_spread, repeats
 
 EXTRA = "doc_id long, text string, lang string, source string, n_chars long, rank int, g string, key string, _bucket long"
@@ -442,6 +442,34 @@ def test_suffix_dedup(spark, hot, widths):
     assert suffix.remove_repeats(frame(spark, []), 70).count() == 0
 
 
+@pytest.mark.parametrize(("hot", "widths"), [(1 << 16, (32, 4, 1)), (200, (16, 4, 1)), (0, (8, 1))])
+def test_suffix_dedup_of_two_lengths(spark, hot, widths):
+    """Each length as by brute force alone, at the ends of texts too, where a longer passage no longer fits."""
+    r = random.Random(16)
+    base = ["".join(r.choice("abcdefg ") for _ in range(400)) for _ in range(5)]
+    some = ["".join(r.choice(base)[r.randint(0, 60) : r.randint(120, 400)] if r.random() < 0.6 else "".join(r.choice("abcdefgh") for _ in range(r.randint(0, 90))) for _ in range(r.randint(0, 4))) for _ in range(60)]
+    some += [None, "", "a" * 500, "ab" * 60, base[0][:130], base[0][:131], base[0][60:190], base[1][:70] + base[2][:70], base[1][:70], some[3], some[3]]
+    rows = {x.doc_id: x for x in suffix.remove_repeats(frame(spark, some), 131, shorter=70, hot=hot, widths=widths).collect()}
+    for i, (long, short) in enumerate(zip(brute_repeats(some, 131), brute_repeats(some, 70), strict=True)):
+        x = rows[i]
+        assert (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) == long
+        assert hashlib.sha256(x.kept.encode()).hexdigest() == long[3] and hashlib.sha256(x.kept_shorter.encode()).hexdigest() == short[3]
+    assert any(x.kept != x.kept_shorter for x in rows.values())
+
+
+def test_passages_of_over_fifty_words(spark, tmp_path):
+    """A passage of 60 words and under 400 bytes in two texts: the law of op5 leaves it, its further text doesn't have it."""
+    r = random.Random(18)
+    words = lambda n: " ".join("".join(r.choices("abcdefgh", k=r.randint(3, 6))) for _ in range(n))
+    passage = words(60)
+    some = [words(80) + " " + passage + " " + words(50), passage + " " + words(90), words(120)]
+    assert 200 < len(passage) < 400
+    frame(spark, some).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {x.doc_id: x for x in queries.op5_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert [(rows[i].n_removed, rows[i].text) for i in range(3)] == [(0, t) for t in some]
+    assert [passage in rows[i].text_without_passages for i in range(2)] == [False, False] and rows[2].text_without_passages == some[2]
+
+
 def test_suffix_dedup_with_production_values(spark):
     """Texts of megabytes, passages over the borders of blocks, and one text whole in another's midst."""
     r = random.Random(17)
@@ -467,6 +495,19 @@ def test_suffix_order():
         assert cut == sorted(cut)
 
 
+def test_shared_starts():
+    r = random.Random(8)
+    base = bytes(r.choices(b"abc", k=300))
+    text = b"".join(base[i : i + r.randint(20, 200)] for i in (r.randint(0, 99) for _ in range(12)))
+    starts = np.array(sorted(r.sample(range(len(text)), len(text) * 4 // 5)))
+    data = np.frombuffer(text + bytes(80), np.uint8)
+    for some in (starts, np.arange(len(text)), starts[:1], starts[:0]):
+        order = suffix.suffix_order(data, some, 60) if len(some) else some
+        for length in (33, 60):
+            want = [i > 0 and data[p : p + length].tobytes() == data[order[i - 1] : order[i - 1] + length].tobytes() for i, p in enumerate(order)]
+            assert suffix.shared_starts(data, order, length).tolist() == want
+
+
 def test_ppm_is_a_distribution(spark):
     texts = [b"abracadabra", b"abc", b"", "ñandú".encode(), b"abra abra"]
     keys, counts = ppm._merge([np.unique(k, return_counts=True) for _, _, k, _ in ppm.grams(texts)])
